@@ -30,9 +30,9 @@ def insert_new(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str)
 
 
 def import_counts(new: DataFrame, created: DataFrame) -> DataFrame:
-    total = new.agg(F.count("*").alias("given"), F.first(F.lit(1)).alias("one"))
-    made = created.agg(F.count("*").alias("created"), F.first(F.lit(1)).alias("one")).select("created")
-    return total.join(made, F.lit(True)).select("created", (F.col("given") - F.col("created")).alias("skipped"))
+    """How many rows of a batch were created and how many skipped."""
+    made = created.agg(F.count("*")).scalar()
+    return new.agg(F.count("*").alias("given")).select(made.alias("created"), (F.col("given") - made).alias("skipped"))
 
 
 def patch(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

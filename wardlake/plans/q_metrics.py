@@ -25,13 +25,15 @@ def kpi_detections(lake):
  c AS (SELECT count(DISTINCT technique_id) AS covered FROM v_detections)
  SELECT cur AS detections, CASE WHEN prev > 0 THEN round((cur - prev) / prev * 100, 1) WHEN cur > 0 THEN 100.0 ELSE 0.0 END AS delta_pct, mttd AS mttd_minutes, mttr AS mttr_minutes, covered, round(covered / 420 * 100, 1) AS coverage_pct FROM d, i, c""")
 def kpi_overview(lake):
-    """Headline cards; three one-row aggregates beside each other."""
-    d = m.kpi_detections(lake.detections, WEEK, NOW_US, NOW_US - 2 * DAY_US).select(
-        F.col("current").alias("detections"), m.pct_change(F.col("current"), F.col("previous")).alias("delta_pct"), F.lit(1).alias("one"))
+    """Headline cards: three one-row aggregates, combined as scalar subqueries."""
     closed = F.col("status").isin("resolved", "closed")
-    i = lake.incidents.agg(F.round(F.avg("ttd_seconds") / 60, 2).alias("mttd_minutes"), F.round(F.avg(F.when(closed, F.col("ttr_seconds"))) / 60, 2).alias("mttr_minutes"), F.first(F.lit(1)).alias("one"))
-    c = lake.detections.agg(F.count_distinct("technique_id").alias("covered"), F.first(F.lit(1)).alias("one")).withColumn("coverage_pct", F.round(F.col("covered") / 420 * 100, 1))
-    return d.join(i, "one").join(c, "one").drop("one")
+    d = m.kpi_detections(lake.detections, WEEK, NOW_US, NOW_US - 2 * DAY_US)
+    mttd = lake.incidents.agg(F.round(F.avg("ttd_seconds") / 60, 2)).scalar()
+    mttr = lake.incidents.agg(F.round(F.avg(F.when(closed, F.col("ttr_seconds"))) / 60, 2)).scalar()
+    covered = lake.detections.agg(F.count_distinct("technique_id")).scalar()
+    out = d.select(F.col("current").alias("detections"), m.pct_change(F.col("current"), F.col("previous")).alias("delta_pct"),
+                   mttd.alias("mttd_minutes"), mttr.alias("mttr_minutes"), covered.alias("covered"))
+    return out.withColumn("coverage_pct", F.round(F.col("covered") / 420 * 100, 1))
 
 
 @query("tactic_trend", f"""SELECT *, CASE WHEN previous > 0 THEN round((count - previous) / previous * 100, 1) ELSE 0.0 END AS trend_pct FROM (

@@ -125,9 +125,8 @@ def saved_query_run(lake):
 def entity_timeline(lake):
     """Newest 200 events of an entity, with the total beside each row."""
     hit = lake.events.where(s.entity_filter("host", "host-5"))
-    newest = s.page(hit, [F.desc("time_us"), F.asc("id")], 200).select("id", "time_us", "summary", F.lit(1).alias("one"))
-    total = hit.groupBy(F.lit(1).alias("one")).agg(F.count("*").alias("total"))
-    return newest.join(total, "one").drop("one")
+    newest = s.page(hit, [F.desc("time_us"), F.asc("id")], 200)
+    return newest.select("id", "time_us", "summary", hit.agg(F.count("*")).scalar().alias("total"))
 
 
 @query("terms_agg", "SELECT dst_ip AS key, count(*) AS count FROM v_events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

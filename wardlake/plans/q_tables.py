@@ -20,9 +20,8 @@ def list_detections(lake):
     hit = lake.detections.where(
         F.col("severity").isin("critical", "high") & F.col("status").isin("active") & s.contains_ci(F.col("tactic"), "access")
         & s.contains_ci(F.col("host"), "host-1") & s.text_search("rule", ["name", "technique_id", "host", "username"]))
-    total = hit.groupBy(F.lit(1).alias("one")).agg(F.count("*").alias("matches"))
-    rows = s.page(hit, [F.desc("score"), F.asc("id")], 25, 25).select(*_DET.split(", "), F.lit(1).alias("one"))
-    return rows.join(total, "one").drop("one")
+    rows = s.page(hit, [F.desc("score"), F.asc("id")], 25, 25)
+    return rows.select(*_DET.split(", "), hit.agg(F.count("*")).scalar().alias("matches"))
 
 
 @query("list_incidents", """SELECT id, severity, status, created_us FROM v_incidents WHERE severity IN ('critical','high','medium') AND assigned_to = 'analyst-1'
@@ -184,8 +183,8 @@ def asset_discover(lake):
 def upsert_events(lake):
     """INSERT OR REPLACE by id, last write wins."""
     ev = lake.events.select((F.col("id") % 4000).alias("id"), "summary", "time_us")
-    cut = 1705500000000000
-    return t.upsert(ev.where(F.col("time_us") < cut).limit(0).unionByName(t.last_write_wins(ev.where(F.col("time_us") < cut), ["id"], F.col("time_us"))), ev.where(F.col("time_us") >= cut), ["id"], "time_us")
+    stored = t.last_write_wins(ev.where("time_us < 1705500000000000"), ["id"], F.col("time_us"))
+    return t.upsert(stored, ev.where("time_us >= 1705500000000000"), ["id"], "time_us")
 
 
 @query("bulk_status_update", "SELECT count(d.id) AS updated, count(*) FILTER (WHERE d.id IS NULL) AS not_found FROM (SELECT DISTINCT unnest(detection_ids) AS id FROM v_incidents) w LEFT JOIN v_detections d ON d.id = w.id")
