@@ -39,6 +39,16 @@ def slice_of(ts: Column, width_us: int) -> Column:
     return F.floor(ts / F.lit(width_us)).cast("long")
 
 
+def unpack_key(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns of a packed key, in the order the key was packed."""
+    parts = F.split(KEY, "\x01")
+    cols = {}
+    for i, (name, kind) in enumerate(types.items()):
+        part = F.get(parts, F.lit(i))
+        cols[name] = F.when(part.startswith("="), F.substr(part, F.lit(2))).cast(kind)
+    return df.withColumns(cols).drop(KEY)
+
+
 # ------------------------------------------------------------------------------ sliding frames
 
 

@@ -112,14 +112,12 @@ def geoip_enrich(lake):
     return enrich.geo_enrich(lake.events, lake.geo, public_ips(F.col("hostname"), F.col("src_ip"), F.col("dst_ip"))).select("alert_id", "ip", "country", "country_code")
 
 
-@query("risk_score", "SELECT id, CAST(round_even(least(((CAST(sev AS DOUBLE) - 1) / 4 * 0.60 + (k % 5) / 4 * 0.25 + least((k % 13) / 10.0::DOUBLE, 1.0) * 0.15) * 10.0 + least((k % 3) * 1.5::DOUBLE, 3.0), 10.0), 1) AS DOUBLE) AS score FROM (SELECT id, k, severity_id AS sev FROM v_events WHERE (k % 5 * 25 + (least(k % 13, 10)) * 6 + severity_id * 60) % 4 = 0) t WHERE abs((((CAST(sev AS DOUBLE) - 1) / 4 * 6.0 + (k % 5) / 4 * 2.5 + least((k % 13) / 10.0::DOUBLE, 1.0) * 1.5) * 10) % 1 - 0.5) > 0.001")
+@query("risk_score", """SELECT id, CAST(round_even(least(((CAST(severity_id AS DOUBLE) - 1) / 4 * 0.60 + least(value / 487.0::DOUBLE, 1.0) * 0.25 + least((k % 13) / 10.0::DOUBLE, 1.0) * 0.15) * 10.0
+ + least((k % 3) * 1.5::DOUBLE, 3.0), 10.0), 1) AS DOUBLE) AS score FROM v_events""")
 def risk_score(lake):
-    """Formula over synthetic inputs; exact .x5 ties are left out on both sides (half-even on binary fractions differs by engine)."""
-    k, sev = F.col("k"), F.col("severity_id")
-    rows = lake.events.where((k % 5 * 25 + F.least(k % 13, F.lit(10)) * 6 + sev * 60) % 4 == 0)
-    tenths = ((sev - 1) / 4 * 6.0 + (k % 5) / 4 * 2.5 + F.least((k % 13) / 10.0, F.lit(1.0)) * 1.5) * 10
-    rows = rows.where(F.abs(tenths % 1 - 0.5) > 0.001)
-    return rows.select("id", scoring.risk_score(sev, (k % 5) / 4, k % 13, enrich.ti_boost(k % 3)).alias("score"))
+    k = F.col("k")
+    crit = F.least(F.col("value") / 487.0, F.lit(1.0))
+    return lake.events.select("id", scoring.risk_score(F.col("severity_id"), crit, k % 13, enrich.ti_boost(k % 3)).alias("score"))
 
 
 _ALERT_SQL = f"""(SELECT md5(concat(CAST(id AS STRING), '|', rule_id)) AS alert_id, id AS event_id, time_us, rule_id, sev AS severity_id, coalesce(hostname, dst_ip, '') AS host FROM ({DETECT_SQL}) d0)"""

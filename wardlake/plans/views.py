@@ -183,9 +183,9 @@ FROM (
     CASE WHEN page_id % 2 = 0 THEN CAST(1706659200000000 + (page_id - 100) * 3600000000 AS BIGINT) ELSE NULL END, page_id % 3, NULL
   FROM pages
   UNION ALL
-  SELECT 2000000 + page_id, 'hash_md5', md5(concat('binary-', {_s('page_id % 150')})),
+  SELECT 2000000 + page_id, 'hash_md5', md5(concat('binary-', {_s('page_id')})),
     page_id * 17 % 101, 'web-feed', page_id % 7 <> 0, CAST(1700000000000000 + page_id * 3600000000 AS BIGINT), NULL, page_id % 3, NULL
-  FROM pages WHERE page_id < 150) c0"""
+  FROM pages) c0"""
 
 
 def _http(d: Dialect) -> str:
