@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,15 @@ def shannon_entropy(text: Column) -> Column:
     return F.when(F.length(text) > 0, bits).otherwise(F.lit(0.0))
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later filters and columns may use many times.
+
+    They come out of a generator, which the optimizer does not merge into what follows, so a
+    costly expression is neither repeated nor grown into code too large to compile.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def first_label(name: Column) -> Column:
     return F.substring_index(name, ".", 1)
 

@@ -29,10 +29,9 @@ def file_rollup(files: DataFrame, samples: int = 5) -> DataFrame:
     d = files.withColumn("pattern", F.regexp_replace("path", r"\d+", "*"))
     per = d.groupBy("pattern", "action", "path").agg(F.count("*").alias("n"), F.min("time_us").alias("lo"), F.max("time_us").alias("hi"))
     tot = per.groupBy("pattern", "action").agg(F.sum("n").alias("events"), F.min("lo").alias("first_us"), F.max("hi").alias("last_us"))
-    # a bounded top-n per (pattern, salt) first, then over the few survivors
-    salted = Window.partitionBy("pattern", "action", F.pmod(F.xxhash64("path"), F.lit(32))).orderBy("path")
-    few = per.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= samples)
-    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("pattern", "action").orderBy("path"))).where(F.col("_r") <= samples)
+    # "rank <= n" is applied before the shuffle as well, so a busy pattern sends n rows per task
+    w = Window.partitionBy("pattern", "action").orderBy("path")
+    few = per.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= samples)
     few = few.groupBy("pattern", "action").agg(F.array_sort(F.collect_list("path")).alias("samples"))
     return tot.join(few, ["pattern", "action"])
 

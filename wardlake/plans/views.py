@@ -40,6 +40,10 @@ class Dialect:
     def div(self, a: str, b: str) -> str:
         return f"(({a}) DIV ({b}))" if self.spark else f"(({a}) // ({b}))"
 
+    def pick(self, items: list[str], index: str) -> str:
+        texts = ", ".join("'" + i.replace("'", "''") + "'" for i in items)
+        return f"element_at(array({texts}), CAST(1 + {index} AS INT))" if self.spark else f"([{texts}])[1 + {index}]"
+
     def rx(self, col: str, pattern: str, group: int) -> str:
         if self.spark:
             return f"regexp_extract({col}, r'{pattern}', {group})"
@@ -264,10 +268,37 @@ SELECT c_custkey AS id, c_name AS name, c_acctbal > 1000 AS is_active,
 FROM customer"""
 
 
+PROCESS_NAMES = ("bash python3 node perl cron crontab at systemctl insmod sudo su uname whoami ps ls ip nmap ss getent id service dpkg mount chage finger "
+                 "wget ssh nc procdump tcpdump base64 chmod rm shred history touch tar find openssl gpg iptables userdel passwd vgremove lvremove anydesk "
+                 "ruby nginx java mimikatz.exe").split()
+PROCESS_ARGS = ["", " stop sshd", " disable auditd ", " -d payload", " --decode x", " -rf /tmp/x", " -c 'id'", " -e code", " enc -aes256 ", " --encrypt f", " -t 2020 f",
+                " -exec rm", " -F", " -l root ", " snapshot", " group", " list-units", " sekurlsa::logonpasswords", " | base64"]
+FILE_PATHS = ["/etc/shadow", "/etc/passwd", "/etc/shadow-", "/etc/sudoers.d/x", "/home/a/.ssh/authorized_keys", "/etc/cron.d/job", "/var/spool/at/1", "/etc/systemd/system/x.service",
+              "/etc/rc.local", "/root/.bashrc", "/etc/profile.d/a.sh", "/tmp/tool", "/dev/shm/x", "/usr/bin/ls", "/etc/ld.so.preload", "/usr/lib/libx.so", "/var/log/auth.log",
+              "/root/.bash_history", "/srv/app/.env", "/home/a/.ssh/id_rsa", "/var/www/html/s.php", "/etc/hosts", "/boot/vmlinuz", "/var/backups/db.bak", "/opt/app/readme.txt",
+              "/etc/ssh/sshd_config", "/var/spool/cron/root", "/home/a/.aws/credentials", "/srv/http/x.jsp", "/home/b/notes.log"]
+REGISTRY_KEYS = ["HKLM/Software/Microsoft/Windows/CurrentVersion/Run", "HKLM/SYSTEM/CurrentControlSet/Services/x", "HKLM/Software/Image File Execution Options/a.exe",
+                 "HKLM/SYSTEM/KnownDLLs", "HKLM/SYSTEM/CurrentControlSet/Control/Lsa", "HKLM/Software/Winlogon", "HKCU/Software/App"]
+REMOTE_PORTS = ["22", "23", "25", "53", "80", "443", "445", "3389", "5901", "9050", "6667", "4444", "21", "5938", "8443", "40000", "587", "31337"]
+
+
+def _endpoint(d: Dialect) -> str:
+    proc, arg = d.pick(PROCESS_NAMES, f"id % {len(PROCESS_NAMES)}"), d.pick(PROCESS_ARGS, f"k % {len(PROCESS_ARGS)}")
+    return f"""
+SELECT id, time_us, name, concat(name, arg) AS cmd_line, CASE k % 6 WHEN 0 THEN concat('/tmp/', name) WHEN 1 THEN concat('/dev/shm/', name) WHEN 2 THEN NULL ELSE concat('/usr/bin/', name) END AS exe_path,
+  CAST(k % 3 AS INT) AS uid, CAST(k % 4 AS INT) AS ppid, path, CASE k % 4 WHEN 0 THEN 'Create' WHEN 1 THEN 'Modify' WHEN 2 THEN 'Delete' ELSE 'Read' END AS action,
+  CAST(port AS INT) AS remote_port, CASE k % 3 WHEN 0 THEN 'ESTABLISHED' WHEN 1 THEN 'LISTEN' ELSE 'SYN_SENT' END AS state,
+  CASE k % 6 WHEN 0 THEN 'password' WHEN 1 THEN 'publickey' WHEN 2 THEN 'sudo' WHEN 3 THEN 'su' WHEN 4 THEN 'unknown' ELSE 'session' END AS auth_method,
+  CASE id % 3 WHEN 0 THEN 'Failure' ELSE 'Success' END AS status, CASE k % 5 WHEN 0 THEN 'Logoff' ELSE 'Logon' END AS outcome,
+  CASE id % 2 WHEN 0 THEN src_ip ELSE NULL END AS source_ip, reg_key
+FROM (SELECT id, time_us, k, src_ip, {proc} AS name, {arg} AS arg, {d.pick(FILE_PATHS, f"user_id % {len(FILE_PATHS)}")} AS path, {d.pick(REMOTE_PORTS, f"user_id % {len(REMOTE_PORTS)}")} AS port,
+       {d.pick(REGISTRY_KEYS, f"id % {len(REGISTRY_KEYS)}")} AS reg_key FROM v_events) p0"""
+
+
 VIEW_BUILDERS = {
     "v_events": _events, "v_flows": _flows, "v_detections": _detections, "v_rules": _rules, "v_incidents": _incidents,
     "v_assets": _assets, "v_iocs": _iocs, "v_http": _http, "v_dns": _dns, "v_suppressions": _suppressions,
-    "v_geo": _geo, "v_channels": _channels, "v_agents": _agents, "v_accounts": _accounts,
+    "v_endpoint": _endpoint, "v_geo": _geo, "v_channels": _channels, "v_agents": _agents, "v_accounts": _accounts,
 }
 _WORD = re.compile(r"\bv_[a-z]+\b")
 
