@@ -49,11 +49,11 @@ def dga_score() -> Column:
 
 def dga(df: DataFrame, name: str, min_len: int = 6, high: float = 0.7, medium: float = 0.5) -> DataFrame:
     """Queries whose name looks generated. Whitelisted platforms and short labels are skipped first."""
-    low = F.lower(name)
-    out = df.withColumn("sld", second_level(F.col(name))).where((F.octet_length("sld") >= min_len) & ~any_of([low.contains(w) for w in fixed.DGA_WHITELIST]))
+    out = once(df, _low=F.lower(name), sld=second_level(F.col(name)))
+    out = out.where((F.octet_length("sld") >= min_len) & ~any_of([F.col("_low").contains(w) for w in fixed.DGA_WHITELIST]))
     out = once(once(out, **dga_features(F.col("sld"))), score=F.round(dga_score(), 2))
     out = out.where(F.col("score") >= medium).withColumn("severity", F.when(F.col("score") >= high, "high").otherwise("medium"))
-    return out.drop("_s", "_n", "_digits", "_letters", "_vowels", "_run", "_pairs")
+    return out.drop("_low", "_s", "_n", "_digits", "_letters", "_vowels", "_run", "_pairs")
 
 
 def dns_tunnel(df: DataFrame, name: str, qtype: str, ts: str, order_id: str, entropy: float = 4.5, max_len: int = 100, burst: int = 100) -> DataFrame:
