@@ -134,16 +134,21 @@ def closed_windows(flows: DataFrame, delay: str, length: str) -> DataFrame:
 
 
 class TtlDedup(StatefulProcessor):
-    """Keep a row, then drop the key's rows until the TTL after it. State: one number per key."""
+    """Keep a row, then drop the key's rows until the TTL after it.
+
+    State is one number per key; an event-time timer removes it once the watermark has passed the
+    end of the TTL.
+    """
 
     def __init__(self, ttl_us: int, columns: list[str]):
         self.ttl_us, self.columns = ttl_us, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long", ttlDurationMs=max(self.ttl_us // 1000 * 4, 3_600_000))
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+        before = last = self.last.get()[0] if self.last.exists() else None
         batch = pd.concat(list(rows)).sort_values(["time_us", "id"], kind="stable")
         kept = []
         for i, t in enumerate(batch["time_us"].tolist()):
@@ -151,21 +156,31 @@ class TtlDedup(StatefulProcessor):
                 last = t
                 kept.append(i)
         if kept:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(last))
             self.last.update((int(last),))
             yield batch.iloc[kept][self.columns]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def _end(self, at: int) -> int:
+        return (int(at) + self.ttl_us) // 1000 + 1
+
     def close(self) -> None:
         pass
 
 
-def dedup_exact(alerts: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
+def dedup_exact(alerts: DataFrame, keys: list[str], ttl_us: int, delay: str = "10 minutes") -> DataFrame:
     """Greedy TTL dedup with keyed state. A micro-batch's rows of one key are ordered in memory; bound
     the batch with the source's rate options."""
     use_rocksdb(alerts.sparkSession)
     cols = [*keys, "id", "time_us"]
-    flat = alerts.select(*cols)
-    return flat.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=TtlDedup(ttl_us, cols), outputStructType=flat.schema, outputMode="Append", timeMode="ProcessingTime")
+    out = alerts.select(*cols).schema
+    return alerts.withWatermark("time", delay).select(*cols, "time").groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=TtlDedup(ttl_us, cols), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 class Beacon(StatefulProcessor):
