@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import ipaddress
 import operator
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,8 +25,12 @@ def all_of(preds: list[Column]) -> Column:
     return functools.reduce(operator.and_, preds) if preds else F.lit(True)
 
 
+_PRIVATE = "^(" + "|".join(re.escape(p) for p in fixed.PRIVATE_PREFIXES) + ")"
+
+
 def is_private(ip: Column) -> Column:
-    return F.coalesce(any_of([ip.startswith(p) for p in fixed.PRIVATE_PREFIXES]), F.lit(False))
+    """One anchored pattern over the prefixes, so the address is read once."""
+    return F.coalesce(ip.rlike(_PRIVATE), F.lit(False))
 
 
 def is_ipv4(ip: Column) -> Column:

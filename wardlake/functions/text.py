@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 def shannon_entropy(text: Column) -> Column:
     """Bits per character over the whole string; 0 for ''."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    parts = F.transform(
-        F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double")
-    )
+    n = F.length(text).cast("double")
+    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    # occurrences by native string replacement rather than by comparing characters one by one
+    parts = F.transform(chars, lambda c: n - F.length(F.replace(text, c)))
     bits = F.aggregate(parts, F.lit(0.0), lambda acc, k: acc - (k / n) * F.log2(k / n))
     return F.when(F.length(text) > 0, bits).otherwise(F.lit(0.0))
 

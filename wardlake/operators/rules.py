@@ -148,7 +148,8 @@ def match_keywords(words, columns: Iterable[str]) -> Column:
     """Any keyword is a substring of any value of the event."""
     items = words if isinstance(words, (list, tuple)) else [words]
     blob = F.lower(F.concat_ws("\x01", *[F.col(c).cast("string") for c in columns]))
-    return F.coalesce(any_of([F.contains(blob, F.lit(str(w).lower())) for w in items]), F.lit(False))
+    # bound once: the joined text is built one time however many keywords there are
+    return F.exists(F.array(blob), lambda b: any_of([F.contains(b, F.lit(str(w).lower())) for w in items]))
 
 
 def match_selection(sel, fields: Fields) -> Column:

@@ -311,7 +311,10 @@ class Lake:
         self.dir = str(sf_dir).rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """The table; one that lies in fewer files than there are cores is spread over them first."""
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
