@@ -186,6 +186,7 @@ def beacon_cv(packets: DataFrame, interval_s: float = 60.0, jitter_pct: float =
     """
     gap_us = int(interval_s * (1 - min(max(jitter_pct / 100, 0.0), 1.0)) * tl.SECOND)
     keys = list(FLOW_KEY)
+    packets = tl.busy_rows(packets, keys, F.count("*"), min_samples)
     s = tl.unpack_key(tl.anchors(packets, keys, "time_us", gap_us), FLOW_KEY).withColumnRenamed("anchor_us", "time_us")
     w = Window.partitionBy(*keys).orderBy("time_us")
     last = w.rowsBetween(-(max_samples - 2), 0)
@@ -200,6 +201,7 @@ def beacon_multi(packets: DataFrame, order_id: str, payload: str, window_us: int
                  min_gap_us: int = 2 * tl.SECOND, max_samples: int = 200) -> DataFrame:
     """First regular stretch per flow among the last ``max_samples`` debounced contacts of the window, with side signals."""
     keys = list(FLOW_KEY)
+    packets = tl.busy_rows(packets, keys, F.count("*"), min_samples)
     s = tl.first_in_ttl(packets.select(*keys, "time_us", order_id, payload), keys, "time_us", order_id, min_gap_us, 300 * tl.SECOND)
     ts = F.timestamp_micros("time_us")
     off = F.dayofweek(ts).isin(1, 7) | (F.hour(ts) < 8) | (F.hour(ts) >= 18)

@@ -49,6 +49,15 @@ def unpack_key(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns(cols).drop(KEY)
 
 
+def busy_rows(df: DataFrame, keys: Sequence[str], measure: Column, floor) -> DataFrame:
+    """Rows of keys whose aggregate reaches ``floor``: the only ones that can pass a later test.
+
+    The aggregate is combined map-side; what it leaves out never reaches the costlier steps.
+    """
+    busy = df.groupBy(*keys).agg(measure.alias("_m")).where(F.col("_m") >= floor).select(*keys)
+    return df.join(busy, list(keys), "left_semi")
+
+
 # ------------------------------------------------------------------------------ sliding frames
 
 

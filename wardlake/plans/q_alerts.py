@@ -12,6 +12,7 @@ from wardlake.operators import timeline as tl
 from wardlake.plans.q_rules import DETECT_SQL, RULES
 from wardlake.plans.registry import query
 from wardlake.plans.views import DAY_US, NOW_US
+from wardlake.session import settle
 
 HOUR_US = 3_600_000_000
 
@@ -131,7 +132,7 @@ _ALERT_SQL = f"""(SELECT md5(concat(CAST(id AS STRING), '|', rule_id)) AS alert_
   CAST(least(coalesce(m.n, 0) * 1.5, 3.0) AS DOUBLE) AS ti_boost, g.country AS geo_country
  FROM al LEFT JOIN ac ON ac.hostname = al.host LEFT JOIN ip ON ip.ip = al.host LEFT JOIN m ON m.alert_id = al.alert_id LEFT JOIN v_geo g ON al.dst_ip LIKE '45.33.32.%' AND CAST(split_part(al.dst_ip, '.', 4) AS INT) // 8 = g.id""")
 def enrich_alerts(lake):
-    out = al.enrich_alerts(al.rule_alerts(lake.events, RULES), lake.assets, lake.iocs, lake.geo)
+    out = al.enrich_alerts(settle(al.rule_alerts(lake.events, RULES)), lake.assets, lake.iocs, lake.geo)
     return out.select("alert_id", "asset_criticality", "recurrence", "ti_boost", "geo_country")
 
 
@@ -139,7 +140,7 @@ def enrich_alerts(lake):
  FROM {ttl_sql(_ALERT_SQL, 'rule_id, host', 6 * HOUR_US)} k JOIN {_ALERT_SQL} a ON a.rule_id = k.rule_id AND a.host = k.host AND a.time_us = k.kept LEFT JOIN (SELECT hostname, max(criticality) AS c FROM v_assets GROUP BY 1) c ON c.hostname = a.host ORDER BY base_score DESC, time_us DESC, event_id LIMIT 200""")
 def flagship_alerts(lake):
     """Events -> rule matches -> first per (rule, host) in each TTL -> asset criticality -> score -> top."""
-    alerts = al.rule_alerts(lake.events, RULES).select("event_id", "time_us", "rule_id", "severity_id", "host")
+    alerts = settle(al.rule_alerts(lake.events, RULES).select("event_id", "time_us", "rule_id", "severity_id", "host"))
     kept = tl.first_in_ttl(alerts, ["rule_id", "host"], "time_us", "event_id", 6 * HOUR_US)
     base = ((F.col("severity_id") - 1) / 4 * 0.60 + (F.col("criticality") - 1) / 4 * 0.25) * 10
     scored = enrich.asset_criticality(kept, lake.assets).select("rule_id", "host", "time_us", "event_id", "severity_id", F.round(F.least(base, F.lit(10.0)), 3).alias("base_score"))
@@ -177,7 +178,7 @@ def routing_match(lake):
  SELECT r.id, r.channel_id FROM r JOIN {ttl_sql('r', 'channel_id, rule_name, host', 12 * HOUR_US)} k ON r.channel_id = k.channel_id AND r.rule_name IS NOT DISTINCT FROM k.rule_name AND r.host = k.host AND r.time_us = k.kept""")
 def channel_dispatch_plan(lake):
     """Deliveries left after the per (channel, rule, host) rate limit."""
-    sent = al.route(lake.detections, lake.channels).select("id", "time_us", "rule_name", "host", "channel_id")
+    sent = settle(al.route(lake.detections, lake.channels).select("id", "time_us", "rule_name", "host", "channel_id"))
     return tl.first_in_ttl(sent, ["channel_id", "rule_name", "host"], "time_us", "id", 12 * HOUR_US).select("id", "channel_id")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlake.functions.text import once
+
 
 def _iso(us: str = "time_us"):
     return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -15,7 +17,7 @@ def _sec():
 
 
 def _json(df: DataFrame, **fields) -> DataFrame:
-    return df.select(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("value"))
+    return once(df, _text=F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))).select(F.col("_text").alias("value"))
 
 
 def zeek_conn_json(flows: DataFrame) -> DataFrame:
@@ -57,7 +59,8 @@ def syslog(ev: DataFrame) -> DataFrame:
     host = F.coalesce("hostname", F.lit("-"))
     five = F.concat(pri, F.lit("1 "), _iso(), F.lit(" "), host, F.lit(" app-"), F.col("k").cast("string"), F.lit(" "), F.col("id").cast("string"), F.lit(' ID47 [ex@32473 a="1\\]"][b c="2"] '), "summary")
     three = F.concat(pri, F.lit("Jan  5 10:00:00 "), host, F.lit(" sshd["), F.col("id").cast("string"), F.lit("]: "), "summary")
-    return ev.select("id", F.when(F.col("id") % 3 == 0, five).when(F.col("id") % 3 == 1, three).otherwise(F.concat(pri, F.lit("-- "), "summary")).alias("value"))
+    text = F.when(F.col("id") % 3 == 0, five).when(F.col("id") % 3 == 1, three).otherwise(F.concat(pri, F.lit("-- "), "summary"))
+    return once(ev, _text=text).select("id", F.col("_text").alias("value"))
 
 
 def authlog(ev: DataFrame) -> DataFrame:
