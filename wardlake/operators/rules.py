@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.functions.net import all_of, any_of, in_networks
+from wardlake.functions.text import once
 
 # fixed values: rule field names -> event columns, per rule category
 ALIASES = {
@@ -85,24 +86,40 @@ def load_rules(documents: Iterable[str | Mapping]) -> list[Rule]:
 
 
 class Fields:
-    """Resolves rule field names to columns of one event schema."""
+    """Resolves rule field names to columns of one event schema.
 
-    def __init__(self, columns: Iterable[str], category: str | None = None, flat: Mapping[str, str] = FLAT):
-        self.columns, self.flat = set(columns), flat
+    ``lowered`` names columns that already have a lower-cased copy beside them.
+    """
+
+    def __init__(self, columns: Iterable[str], category: str | None = None, flat: Mapping[str, str] = FLAT, lowered: Iterable[str] = ()):
+        self.columns, self.flat, self.lowered = set(columns), flat, set(lowered)
         self.alias = ALIASES.get("file_event" if (category or "").startswith("file_") else category or "", {})
 
-    def __call__(self, name: str) -> Column | None:
-        for n in (name, self.alias.get(name)):
+    def name(self, field_name: str) -> str | None:
+        for n in (field_name, self.alias.get(field_name)):
             if n is None:
                 continue
             if n in self.columns:
-                return F.col(n)
-            if n in self.flat and self.flat[n] in self.columns:
-                return F.col(self.flat[n])
+                return n
+            if self.flat.get(n) in self.columns:
+                return self.flat[n]
             if "." in n and n.split(".")[0] in self.columns:
-                return F.col(n)
+                return n
         return None
 
+    def __call__(self, field_name: str) -> Column | None:
+        n = self.name(field_name)
+        return None if n is None else F.col(n)
+
+    def low(self, field_name: str) -> Column | None:
+        n = self.name(field_name)
+        if n is None:
+            return None
+        return F.col(LOW + n) if n in self.lowered else F.lower(F.col(n).cast("string"))
+
+
+LOW = "_low_"
+
 
 def _is_regex(pattern: str) -> bool:
     try:
@@ -112,14 +129,15 @@ def _is_regex(pattern: str) -> bool:
         return False
 
 
-def match_field(col: Column | None, modifiers: list[str], values) -> Column:
+def match_field(col: Column | None, modifiers: list[str], values, low: Column | None = None) -> Column:
     """One 'field|modifiers: values' entry; never NULL."""
     items = values if isinstance(values, (list, tuple)) else [values]
     if col is None:
         return F.lit(False)
     if values is None:
         return col.isNull()
-    text, low = col.cast("string"), F.lower(col.cast("string"))
+    text = col.cast("string")
+    low = F.lower(text) if low is None else low
     mods = [m for m in modifiers if m != "all"]
     join = all_of if "all" in modifiers else any_of
 
@@ -141,6 +159,8 @@ def match_field(col: Column | None, modifiers: list[str], values) -> Column:
             return {"gt": number > x, "gte": number >= x, "lt": number < x, "lte": number <= x}[mods[0]]
         return low == s.lower()
 
+    if not modifiers and len(items) > 1:
+        return F.coalesce(low.isin(*[str(v).lower() for v in items]), F.lit(False))
     return F.coalesce(join([one(v) for v in items]), F.lit(False))
 
 
@@ -158,7 +178,7 @@ def match_selection(sel, fields: Fields) -> Column:
         preds = []
         for key, values in sel.items():
             name, *mods = key.split("|")
-            preds.append(match_field(fields(name), mods, values))
+            preds.append(match_field(fields(name), mods, values, fields.low(name)))
         return all_of(preds)
     if isinstance(sel, (list, tuple)) and sel and all(isinstance(x, Mapping) for x in sel):
         return any_of([match_selection(x, fields) for x in sel])
@@ -196,8 +216,8 @@ def match_condition(condition: str, selections: Mapping[str, Column]) -> Column:
     return build(ast.parse(text, mode="eval").body)
 
 
-def compile_rule(rule: Rule, columns: Iterable[str]) -> Column:
-    fields = Fields(columns, rule.category)
+def compile_rule(rule: Rule, columns: Iterable[str], lowered: Iterable[str] = ()) -> Column:
+    fields = Fields(columns, rule.category, lowered=lowered)
     names = {n: match_selection(sel, fields) for n, sel in rule.detection.items() if n != "condition"}
     return match_condition(str(rule.detection["condition"]), names)
 
@@ -215,37 +235,46 @@ def logsource_guard(rule: Rule) -> Column:
     return any_of(guards) if guards else F.lit(not (rule.product or rule.category or rule.service))
 
 
-def usable(rules: Iterable[Rule], columns: Iterable[str]) -> list[tuple[Rule, Column]]:
+def usable(rules: Iterable[Rule], columns: Iterable[str], lowered: Iterable[str] = ()) -> list[tuple[Rule, Column]]:
     """Enabled rules with their compiled predicate; a rule that does not compile is left out."""
     cols, out = list(columns), []
     for r in rules:
         if not r.enabled:
             continue
         try:
-            out.append((r, logsource_guard(r) & compile_rule(r, cols)))
+            out.append((r, compile_rule(r, cols, lowered)))
         except Exception:
             continue
     return out
 
 
 def detect(ev: DataFrame, rules: Iterable[Rule], per_block: int = 200) -> DataFrame:
-    """One row per (event, matching rule). Rules are evaluated in blocks to bound generated code."""
-    compiled = usable(rules, ev.columns)
-    blocks = []
-    for i in range(0, len(compiled), per_block):
-        hits = [
-            F.when(pred, F.struct(
-                F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule_title"), F.lit(r.level).alias("level"),
-                F.lit(fixed.SEVERITY_ID.get(r.level, 3)).alias("alert_severity"),
-                F.array(*[F.lit(t) for t in r.techniques]).cast("array<string>").alias("technique_ids"),
-                F.array(*[F.lit(t) for t in r.tactics]).cast("array<string>").alias("tactic_ids")))
-            for r, pred in compiled[i:i + per_block]
-        ]
-        blocks.append(F.filter(F.array(*hits), lambda x: x.isNotNull()))
-    if not blocks:
+    """One row per (event, matching rule), from one scan.
+
+    Rules are grouped by log source: a group's predicates are skipped whole for events of other
+    sources. Text columns are lower-cased once per event. The scan emits rule numbers; titles,
+    levels and techniques are joined to the matches afterwards.
+    """
+    text = [f.name for f in ev.schema if f.dataType.typeName() == "string"]
+    compiled = usable(rules, ev.columns, text)
+    if not compiled:
         raise ValueError("no rule compiled")
-    hits = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
-    return ev.withColumn("_m", F.explode(hits)).select("*", "_m.*").drop("_m")
+    groups: dict[tuple, list[int]] = {}
+    for i, (r, _) in enumerate(compiled):
+        groups.setdefault((r.product, r.category, bool(r.service)), []).append(i)
+    blocks = []
+    for members in groups.values():
+        guard = logsource_guard(compiled[members[0]][0])
+        for at in range(0, len(members), per_block):
+            hits = F.array_compact(F.array(*[F.when(compiled[i][1], F.lit(i)) for i in members[at:at + per_block]]))
+            blocks.append(F.when(guard, hits).otherwise(F.array().cast("array<int>")))
+    numbers = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
+    # outer: keeps the planner from deriving a filter that would evaluate every rule a second time
+    hit = once(ev, **{LOW + c: F.lower(c) for c in text}).select(*ev.columns, F.explode_outer(numbers).alias("_rule")).where("_rule IS NOT NULL")
+    about = ev.sparkSession.createDataFrame(
+        [(i, r.id, r.title, r.level, fixed.SEVERITY_ID.get(r.level, 3), r.techniques, r.tactics) for i, (r, _) in enumerate(compiled)],
+        "_rule int, rule_id string, rule_title string, level string, alert_severity int, technique_ids array<string>, tactic_ids array<string>")
+    return hit.join(about, "_rule").drop("_rule")
 
 
 def backtest(ev: DataFrame, document: str | Mapping) -> tuple[DataFrame | None, list[str]]:

@@ -148,7 +148,7 @@ def coverage_gaps(lake):
     return m.coverage_gaps(lake.rules.withColumn("enabled", F.expr(_LIVE))).orderBy("technique_id")
 
 
-@query("coverage_target", "SELECT 80.0 AS target_pct, pct AS current_pct, pct < 80.0 AS below_threshold FROM (SELECT round(least(count(DISTINCT technique), 105) / 105 * 100, 1) AS pct FROM " + _TECH + " AND enabled) t")
+@query("coverage_target", "SELECT CAST(80.0 AS DOUBLE) AS target_pct, pct AS current_pct, pct < 80.0 AS below_threshold FROM (SELECT round(least(count(DISTINCT technique), 105) / 105 * 100, 1) AS pct FROM " + _TECH + " AND enabled) t")
 def coverage_target(lake):
     """Current coverage beside an enabled target of 80 %."""
     return m.coverage_rules(lake.rules).select(F.lit(80.0).alias("target_pct"), F.col("pct").alias("current_pct"), (F.col("pct") < 80.0).alias("below_threshold"))

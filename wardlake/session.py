@@ -31,6 +31,8 @@ def local_session(cores: str = "8", app: str = "wardlake") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs several round trips per column; it adds up over large rule sets
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
