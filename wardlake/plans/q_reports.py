@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlake import fixed
-from wardlake.operators import alerts as al
 from wardlake.operators import incidents as inc
 from wardlake.operators import metrics as m
 from wardlake.operators import reports as rp

@@ -103,18 +103,18 @@ def rules_load(lake):
     return al.rule_alerts(lake.events, RULES).groupBy("rule_id", "level", F.get("technique_ids", F.lit(0)).alias("technique"), F.get("tactic_ids", F.lit(0)).alias("tactic")).agg(F.count("*").alias("hits"))
 
 
-@query("rules_enabled", "SELECT id, level FROM v_rules WHERE enabled AND id % 4 <> 0 OR id % 4 = 0 AND id % 8 = 0")
+@query("rules_enabled", "SELECT id, level FROM v_rules WHERE CASE WHEN logsource_product = 'windows' THEN hit_count > 25 ELSE enabled END")
 def rules_enabled(lake):
     """Stored rules override shipped ones by id, then disabled rules are skipped."""
     from wardlake.operators.tables import upsert
 
     shipped = lake.rules.select("id", "level", "enabled")
-    stored = lake.rules.where("id % 4 = 0").select("id", "level", F.expr("id % 8 = 0").alias("enabled"))
+    stored = lake.rules.where("logsource_product = 'windows'").select("id", "level", F.expr("hit_count > 25").alias("enabled"))
     return upsert(shipped, stored, ["id"]).where("enabled").select("id", "level")
 
 
-@query("rules_upsert", "SELECT id, CASE WHEN id % 3 = 0 THEN 'critical' ELSE level END AS level FROM v_rules")
+@query("rules_upsert", "SELECT id, CASE WHEN level = 'low' THEN 'critical' ELSE level END AS level FROM v_rules")
 def rules_upsert(lake):
     from wardlake.operators.tables import upsert
 
-    return upsert(lake.rules.select("id", "level"), lake.rules.where("id % 3 = 0").select("id", F.lit("critical").alias("level")), ["id"])
+    return upsert(lake.rules.select("id", "level"), lake.rules.where("level = 'low'").select("id", F.lit("critical").alias("level")), ["id"])

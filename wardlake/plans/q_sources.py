@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlake import fixed, schema
+from wardlake import schema
 from wardlake.operators import normalizers as nz
 from wardlake.plans import rawtext as raw
 from wardlake.plans.registry import query

@@ -217,13 +217,18 @@ def inactive_accounts(lake):
     return lake.accounts.where(F.col("is_active") & (F.col("last_login_us") < NOW_US - 90 * DAY_US)).select("id", "name")
 
 
-@query("snapshot_diff", """SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'Create' WHEN b.path IS NULL THEN 'Delete' ELSE 'Modify' END AS change, a.h AS before, b.h AS after FROM
- (SELECT concat('/etc/f', user_id) AS path, max(process_hash) AS h FROM v_events WHERE k % 3 <> 0 AND user_id % 7 <> 1 GROUP BY 1) a FULL JOIN (SELECT concat('/etc/f', user_id) AS path, max(process_hash) AS h FROM v_events WHERE user_id % 5 <> 1 AND k % 2 = 0 GROUP BY 1) b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h""")
+_CUT = 1705500000000000
+_SNAP = "(SELECT concat('/etc/f', user_id, '/', k) AS path, max(summary) AS h FROM v_events WHERE time_us {op} {cut} GROUP BY 1)"
+
+
+@query("snapshot_diff", f"""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'Create' WHEN b.path IS NULL THEN 'Delete' ELSE 'Modify' END AS change, a.h AS before, b.h AS after
+ FROM {_SNAP.format(op='<', cut=_CUT)} a FULL JOIN {_SNAP.format(op='>=', cut=_CUT)} b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h""")
 def snapshot_diff(lake):
-    ev = lake.events.withColumn("path", F.concat(F.lit("/etc/f"), F.col("user_id")))
-    before = ev.where("k % 3 <> 0 AND user_id % 7 <> 1").groupBy("path").agg(F.max("process_hash").alias("sha"))
-    after = ev.where("user_id % 5 <> 1 AND k % 2 = 0").groupBy("path").agg(F.max("process_hash").alias("sha"))
-    return t.snapshot_diff(before, after, "path", "sha")
+    """What was seen before a moment against what was seen from it on."""
+    ev = lake.events.withColumn("path", F.concat(F.lit("/etc/f"), "user_id", F.lit("/"), "k"))
+    before = ev.where(F.col("time_us") < _CUT).groupBy("path").agg(F.max("summary").alias("text"))
+    after = ev.where(F.col("time_us") >= _CUT).groupBy("path").agg(F.max("summary").alias("text"))
+    return t.snapshot_diff(before, after, "path", "text")
 
 
 # ------------------------------------------------------------------------------------- set operations
