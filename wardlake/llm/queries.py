@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, linededup, secretscan, simhash
+from wardlake.llm import bpe, itq, linededup, secretscan, simhash
 from wardlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,24 @@ FROM marked GROUP BY doc_id
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets in every document and in the layers hidden in it."""
     return secretscan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and whether it stays, of every vector; links at a cosine of 0.98 or more within a label."""
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op3_embedding_dedup"] = r"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), linked AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98
+), reach(vec_id, met) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN linked l ON l.a = r.met
+)
+SELECT e.vec_id, (SELECT count(*) FROM linked WHERE a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(met) AS component_id FROM reach GROUP BY vec_id) c ON e.vec_id = c.vec_id
+"""
