@@ -121,7 +121,7 @@ def index(items: list[tuple[int, str | None]]) -> Index:
 def _shared(shingles: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     bits, every = known
     at = np.flatnonzero(bits[shingles >> np.uint64(64 - FILTER_BITS)])
-    return at[np.isin(shingles[at], every)] if len(at) else at
+    return at[every[np.minimum(np.searchsorted(every, shingles[at]), len(every) - 1)] == shingles[at]]
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -164,9 +164,9 @@ def _verify(starts: np.ndarray, grams: int, shingles: np.ndarray, words: list[st
     within = np.zeros((len(starts), len(g.items)), bool)
     for b in range(BLOCKS):
         within |= g.tables[b][prints[:, b]]
-    for w, i in zip(*np.nonzero(within)):
-        if np.bitwise_count(prints[w] ^ g.prints[i]).sum() > RADIUS:
-            continue
+    wins, items = np.nonzero(within)
+    close = np.bitwise_count(prints[wins] ^ g.prints[items]).sum(1) <= RADIUS
+    for w, i in zip(wins[close].tolist(), items[close].tolist()):
         found = similarity(_grams(words[starts[w] : starts[w] + g.words], min(g.k, len(words))), g.shingles[i])
         if found >= threshold:
             best[g.items[i]] = max(best.get(g.items[i], 0.0), found)
