@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, decontam, itq, langid, linededup, secretscan, simhash, toxicity
-from wardlake.llm.common import remainder, table
+from wardlake.llm import bpe, decontam, itq, langid, linededup, secretscan, simhash, toxicity, warc
+from wardlake.llm.common import Scratch, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,34 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document holds a benchmark item, which ones, and the highest similarity."""
     out = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.col("hits.item").alias("item_ids"), F.coalesce(F.array_max("hits.similarity"), F.lit(0.0)).alias("similarity"))
+
+
+@query
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's WARC record with its place, hash and state in a second replica that has known damage."""
+    scratch = Scratch(spark)
+    first, second = warc.page_replicas(table(spark, sf_dir, "pages"), scratch)
+    found = warc.audit(first, second, scratch)
+    named = first.select("page_id", F.col("file").alias("f"), F.col("offset").alias("o"))
+    return named.join(found, (F.col("f") == F.col("file")) & (F.col("o") == F.col("offset"))).select("page_id", "file", "offset", "length", "hash", "status")
+
+
+ORACLES["op6_warc_fixity"] = r"""
+WITH named AS (
+    SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+        CASE WHEN page_id % 50 = 7 AND length(html) > 0 THEN left(html, length(html) - 1) || '~' ELSE coalesce(html, '') END AS hurt, md5(page_id || '|' || coalesce(url, '')) AS m
+    FROM pages
+), framed AS (
+    SELECT page_id, html, hurt, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+        || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+        || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap
+    FROM named
+), records AS (
+    SELECT page_id, head || strlen(html) || gap || html || gap AS a, head || strlen(hurt) || gap || hurt || gap AS b FROM framed
+), placed AS (
+    SELECT page_id, page_id // 512 AS file, strlen(a) AS length, sha256(a) AS hash, sha256(b) AS other FROM records
+)
+SELECT page_id, file, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", length, hash,
+    CASE WHEN page_id % 97 = 3 THEN 'missing' WHEN hash <> other THEN 'corrupt' ELSE 'ok' END AS status
+FROM placed
+"""
