@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, decontam, itq, langid, linededup, secretscan, simhash, toxicity, warc
+from wardlake.llm import bpe, decontam, itq, langid, linededup, mixing, secretscan, simhash, toxicity, warc
 from wardlake.llm.common import Scratch, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ SELECT page_id, file, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page
     CASE WHEN page_id % 97 = 3 THEN 'missing' WHEN hash <> other THEN 'corrupt' ELSE 'ok' END AS status
 FROM placed
 """
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and mixed-context score of every document."""
+    return mixing.score(table(spark, sf_dir, "documents"))
