@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wardlake.llm.common import by_batch, longs
 
 # fixed value: how the vocabulary's pre-tokenizer cuts texts into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+TOGETHER = 24 << 20  # bytes of text whose new words are merged in one index
 KNOWN_WORDS = 400_000  # words a worker keeps between batches; beyond that it starts anew
 
 
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         return pa.record_batch([batch["doc_id"], pa.ListArray.from_arrays(offsets, np.concatenate(ids).astype(np.int32))], ["doc_id", "ids"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(by_batch(run), "doc_id long, ids array<int>")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(by_batch(run, TOGETHER), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -267,5 +267,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         decoded = [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in ids]
         return pa.record_batch([batch["doc_id"], longs([len(x) for x in ids]), pa.array(hashes), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("text"))
-    return cols.mapInArrow(by_batch(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return cols.mapInArrow(by_batch(run, TOGETHER), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,18 @@ from wardlake.session import checkpoint_dir
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bound what goes to Python at once by size as well as by rows; the JVM keeps several such batches outside its heap."""
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,7 +44,7 @@ class Scratch:
     """Tables of one run, written to the shared checkpoint folder and read back: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark = bound_batches(spark)
         self.base = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
@@ -59,19 +70,31 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that handles each batch by itself."""
+def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], gather: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that handles each batch by itself, or batches put together to about so many bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield out
+        for batch in _gathered(batches, gather):
+            out = fn(batch)
+            if out is not None:
+                yield out
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], gather: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if held and size >= gather:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64))
 
