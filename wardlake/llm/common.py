@@ -51,9 +51,11 @@ class Scratch:
     def path(self) -> str:
         return f"{self.base}/{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, from_scan: bool = False) -> DataFrame:
+        """Write and read back. What comes from shuffles is written as one file per core of the cluster, rather than one per
+        shuffle partition; what comes straight from a scan of the input keeps the scan's tasks."""
         path = self.path()
-        df.write.parquet(path)
+        (df if from_scan else df.coalesce(self.spark.sparkContext.defaultParallelism)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -139,7 +139,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, scratch: Scr
     scratch = scratch or Scratch(embeddings.sparkSession)
     rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"].alias("embedding"), embeddings["label"].cast("long").alias("label"))
     good = usable(F.col("embedding")) & F.col("label").isNotNull()
-    rows = scratch.keep(rows.withColumn("good", good))
+    rows = scratch.keep(rows.withColumn("good", good), from_scan=True)
     linked = rows.where("good")
     classes = linked.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("members"))
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))

@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     scratch = scratch or Scratch(spark)
     others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"), (F.struct(*others) if others else F.lit(None).cast("string")).alias("rest"))
-    keys = scratch.keep(line_keys(docs, min_chars))
+    keys = scratch.keep(line_keys(docs, min_chars), from_scan=True)
     runs = LineRuns(spark, scratch, fanout)
     for b in range(batches):
         mine = keys.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)

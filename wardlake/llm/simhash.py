@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3, scratch: Scrat
     an empty table gives no rows. Other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    fps = scratch.keep(fingerprints(docs, k))
+    fps = scratch.keep(fingerprints(docs, k), from_scan=True)
     classes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = components(links(classes, radius, scratch), scratch)
     rooted = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
