@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import Scratch, by_batch, longs, texts
+from wardlake.llm.common import Scratch, by_batch, longs, mix64, texts
 from wardlake.llm.components import components
 
 BITS = 64
@@ -209,38 +209,46 @@ def _bucket(part: int, keys: np.ndarray) -> np.ndarray:
 
 
 def index_rows(classes: DataFrame, layout: Broadcast) -> DataFrame:
+    """classes(fp, others) -> a row in the bucket of each partition, with all columns (longs)."""
+    names = classes.columns
+
     def run(batch):
-        fps = batch["fp"].to_numpy()
-        keys = part_keys(fps.view(np.uint64), layout.value)
-        return pa.record_batch([longs(np.concatenate([_bucket(i, k) for i, k in enumerate(keys)])), longs(np.tile(fps, len(keys)))], ["bucket", "fp"])
+        keys = part_keys(batch["fp"].to_numpy().view(np.uint64), layout.value)
+        columns = [longs(np.tile(batch[c].to_numpy(), len(keys))) for c in names]
+        return pa.record_batch([longs(np.concatenate([_bucket(i, k) for i, k in enumerate(keys)])), *columns], ["bucket", *names])
 
-    return classes.select("fp").mapInArrow(by_batch(run), "bucket long, fp long")
+    return classes.mapInArrow(by_batch(run), ", ".join(f"{c} long" for c in ["bucket", *names]))
 
 
 def probe_rows(classes: DataFrame, layout: Broadcast, radius: int) -> DataFrame:
+    """classes(fp, others) -> a row in each bucket within the fingerprint's thresholds, with all columns, their names begun with p_."""
+    names = classes.columns
+
     def run(batch):
-        fps = batch["fp"].to_numpy()
+        fps = batch["fp"].to_numpy().view(np.uint64)
         lay = layout.value
-        keys, reach = part_keys(fps.view(np.uint64), lay), thresholds(fps.view(np.uint64), lay, radius)
-        buckets, probes = [], []
+        keys, reach = part_keys(fps, lay), thresholds(fps, lay, radius)
+        buckets, rows = [], []
         for i, part in enumerate(lay.parts):
             for k in range(1, radius + 2):
-                mine = reach[:, i] == k
-                diff = masks(WIDTH * len(part), k - 1)
-                buckets.append(_bucket(i, (keys[i][mine][:, None] ^ diff[None, :]).ravel()))
-                probes.append(np.repeat(fps[mine], len(diff)))
-        return pa.record_batch([longs(np.concatenate(buckets)), longs(np.concatenate(probes))], ["bucket", "probe"])
+                mine = np.flatnonzero(reach[:, i] == k)
+                if len(mine):
+                    diff = masks(WIDTH * len(part), k - 1)
+                    buckets.append(_bucket(i, (keys[i][mine][:, None] ^ diff[None, :]).ravel()))
+                    rows.append(np.repeat(mine, len(diff)))
+        rows = np.concatenate(rows)
+        return pa.record_batch([longs(np.concatenate(buckets)), *[longs(batch[c].to_numpy()[rows]) for c in names]], ["bucket", *[f"p_{c}" for c in names]])
 
-    return classes.select("fp").mapInArrow(by_batch(run), "bucket long, probe long")
+    return classes.mapInArrow(by_batch(run), ", ".join(f"{c} long" for c in ["bucket", *[f"p_{c}" for c in names]]))
 
 
 def links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """classes(fp, distinct) -> pairs (a, b), a < b, of all fingerprints at most radius bits apart; a pair can come more than once."""
     layout = classes.sparkSession.sparkContext.broadcast(plan(classes, radius))
-    probes = scratch.keep(probe_rows(classes, layout, radius))
-    index = scratch.keep(index_rows(classes, layout))
-    near = F.bit_count(F.col("probe").bitwiseXOR(F.col("fp"))) <= radius
-    return probes.join(index, (probes["bucket"] == index["bucket"]) & (F.col("probe") < F.col("fp")) & near).select(F.col("probe").alias("a"), F.col("fp").alias("b"))
+    probes = scratch.keep(probe_rows(classes.select("fp"), layout, radius))
+    index = scratch.keep(index_rows(classes.select("fp"), layout))
+    near = F.bit_count(F.col("p_fp").bitwiseXOR(F.col("fp"))) <= radius
+    return probes.join(index, (probes["bucket"] == index["bucket"]) & (F.col("p_fp") < F.col("fp")) & near).select(F.col("p_fp").alias("a"), F.col("fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3, scratch: Scratch | None = None) -> DataFrame:
@@ -260,3 +268,91 @@ def near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3, scratch: Scrat
     firsts = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = scratch.keep(rooted.join(firsts, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+REACH = 36  # of 2 x 64 bits: texts with a similarity of 0.8 differ by about 19 bits, unrelated ones by 64
+
+
+def _prints(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and two fingerprints from independent hashes of the same shingles, each shingle once."""
+
+    def run(batch):
+        pairs = np.zeros((batch.num_rows, 2), np.uint64)
+        for i, text in enumerate(batch["text"]):
+            grams = set(word_shingles(text.as_py(), k))
+            if grams:
+                h = np.fromiter(map(_hash, grams), np.uint64, len(grams))
+                pairs[i] = majority(h), majority(mix64(h ^ np.uint64(0xA0761D6478BD642F)))
+        return pa.record_batch([batch["doc_id"], longs(pairs[:, 0].view(np.int64)), longs(pairs[:, 1].view(np.int64))], ["doc_id", "fa", "fb"])
+
+    return docs.mapInArrow(by_batch(run), "doc_id long, fa long, fb long")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts' shingle sets are as similar as asked for (Jaccard)."""
+
+    def run(batch):
+        keep = []
+        for x, y in zip(batch["ta"], batch["tb"]):
+            a, b = (set(word_shingles(t.as_py(), k)) for t in (x, y))
+            both = len(a & b)
+            keep.append(both >= similarity * (len(a) + len(b) - both))
+        return batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left, right = (docs.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(by_batch(run), "a long, b long")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 7, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, text) -> doc_id, group: the smallest doc_id reachable over texts with that Jaccard similarity of k-word shingles.
+
+    Each text has two fingerprints; the partitions of each are probed for the radius as the pigeonhole
+    principle asks, whatever is met within REACH bits of both is a candidate, and the texts decide. All
+    pairs within the radius in either fingerprint are met, and others by the chance of meeting in a
+    partition: about 93 % at a similarity of 0.8, over 99 % from 0.86 on. A first pass compares
+    each member of a bucket with the bucket's first only, so that large groups are merged with few
+    comparisons; the second compares what is still apart.
+
+    One row per distinct doc_id that is not null (rows that share one count as one document, with the text
+    that sorts first). Blank texts form one group. An empty table gives no rows; other columns are not read.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    plain = texts(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(docs) else texts(docs).where("doc_id is not null")
+    prints = scratch.keep(_prints(plain, k), from_scan=True)
+    classes = scratch.keep(prints.groupBy("fa", "fb").agg(F.min("doc_id").alias("node")))
+    sc = docs.sparkSession.sparkContext
+    layouts = {f: sc.broadcast(plan(classes.select(F.col(f).alias("fp")), radius)) for f in ("fa", "fb")}
+
+    def sides(f: str, what: DataFrame) -> DataFrame:
+        other = "fb" if f == "fa" else "fa"
+        return what.select(F.col(f).alias("fp"), F.col(other).alias("other"), *[c for c in what.columns if c not in ("fa", "fb")])
+
+    def close(a: str, b: str) -> F.Column:
+        return F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) + F.bit_count(F.col(f"{a}other").bitwiseXOR(F.col(f"{b}other"))) <= REACH
+
+    stars = None
+    for f, layout in layouts.items():
+        index = scratch.keep(index_rows(sides(f, classes), layout))
+        firsts = index.groupBy("bucket").agg(F.min(F.struct("node", "fp", "other")).alias("p")).select("bucket", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "fp", "other")])
+        part = index.join(scratch.keep(firsts), "bucket").where((F.col("node") > F.col("p_node")) & close("", "p_")).select(F.col("p_node").alias("a"), F.col("node").alias("b"))
+        stars = part if stars is None else stars.unionAll(part)
+    linked = scratch.keep(_similar(scratch.keep(stars.distinct()), plain, k, similarity))
+    nodes = components(linked, scratch)
+    grouped = scratch.keep(classes.join(nodes.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("fa", "fb", "node", F.coalesce("component", "node").alias("comp")))
+    rest = None
+    for f, layout in layouts.items():
+        rows = sides(f, grouped)
+        index, probes = scratch.keep(index_rows(rows, layout)), scratch.keep(probe_rows(rows, layout, radius))
+        met = (probes["bucket"] == index["bucket"]) & (F.col("p_node") < F.col("node")) & (F.col("p_comp") != F.col("comp")) & close("p_", "")
+        part = probes.join(index, met).select(F.col("p_node").alias("a"), F.col("node").alias("b"))
+        rest = part if rest is None else rest.unionAll(part)
+    linked = linked.unionAll(scratch.keep(_similar(scratch.keep(rest.distinct()), plain, k, similarity)))
+    nodes = components(linked, scratch)
+    named = scratch.keep(classes.join(nodes.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("fa", "fb", F.coalesce("component", "node").alias("group")))
+    return prints.join(named, ["fa", "fb"]).select("doc_id", "group")
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether some doc_id comes more than once."""
+    ids = docs.select("doc_id").where("doc_id is not null")
+    return bool(ids.groupBy("doc_id").count().where("count > 1").limit(1).count())

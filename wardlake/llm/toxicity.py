@@ -287,3 +287,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.record_batch([batch["doc_id"], pa.array(probability(m, found))], ["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(by_batch(run), "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch):
+        m = shared.value
+        found = margins([t or "" for t in batch["text"].to_pylist()], m.weights, m.knee)
+        return batch.filter(pa.array(probability(m, found) < threshold))
+
+    return docs.mapInArrow(by_batch(run), docs.schema)
