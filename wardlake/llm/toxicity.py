@@ -32,9 +32,9 @@ GAPS = ((1, 1), (1, 2), (2, 1), (2, 2))
 REACH = 4  # symbols after the first that a triple can touch
 WINDOW = 15
 UNIT = float(np.sqrt(WINDOW * sum(DECAY ** (2 * (a + b - 2)) for a, b in ((1, 1), (1, 2), (2, 1), (2, 2)))))  # length of the triple vector of a stretch that repeats nothing
-LANDMARKS = 400
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000  # labelled texts the machine is fitted on, those with the smallest hash of their id; a documented bound
-TRAIN_CHARS = 24_000_000  # and no more than so many characters of them
+LANDMARKS = 320
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500  # labelled texts the machine is fitted on, those with the smallest hash of their id; a documented bound
+TRAIN_CHARS = 12_000_000  # and no more than so many characters of them
 ROUNDS = 4
 PEAKS, PEAK_SHARE = 4, 0.6  # stretches of a toxic text that stand for it in training
 PIECE = 1 << 20  # characters scored at once
@@ -193,10 +193,9 @@ def _stretch(s: np.ndarray, at: int) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, c: float = 3.0, passes: int = 30) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (hinge loss) by dual coordinate descent; the two classes weigh the same."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    """A linear support vector machine (hinge loss) by dual coordinate descent; the last column of x is 1; the two classes weigh the same."""
     cost = np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1))) / 10
-    alpha, w, norms = np.zeros(len(y)), np.zeros(x.shape[1]), (x * x).sum(1)
+    alpha, w, norms = np.zeros(len(y)), np.zeros(x.shape[1]), np.einsum("ij,ij->i", x, x)
     for _ in range(passes):
         for i in rng.permutation(len(y)):
             new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norms[i], 0), cost[i])
@@ -246,9 +245,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
         z = _features([items[i] for i in marks])
         values, vectors = np.linalg.eigh((z @ z.T).astype(float))
         whiten = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        kernel = np.concatenate([_features(items[i : i + 1000]) @ z.T for i in range(0, len(items), 1000)]).astype(float)
-        w, bias = _svm(kernel @ whiten, labels, rng)
-        weights = (z.T.astype(float) @ (whiten @ w)).astype(np.float32)
+        x = np.ones((len(items), len(marks) + 1))
+        for i in range(0, len(items), 200):  # the triple vectors of all stretches at once would need a gigabyte
+            x[i : i + 200, :-1] = (_features(items[i : i + 200]) @ z.T) @ whiten
+        w, bias = _svm(x, labels, rng)
+        weights = (z.T @ (whiten @ w).astype(np.float32)).astype(np.float32)
         weights[0], knee = 0, max(-bias - 1.0, 0.0)
     slope, offset = _logistic(margins(texts, weights, knee), y)
     return Model(weights, knee, slope, offset)
