@@ -25,8 +25,8 @@ from wardlake.llm.common import by_batch, longs
 
 # fixed value: how the vocabulary's pre-tokenizer cuts texts into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TOGETHER = 12 << 20  # bytes of text whose new words are merged in one index
-KNOWN_WORDS = 150_000  # words a worker keeps between batches; beyond that it starts anew
+TOGETHER = 4 << 20  # bytes of text whose new words are merged in one index
+KNOWN_WORDS = 100_000  # words a worker keeps between batches; beyond that it starts anew
 
 
 class Vocabulary(NamedTuple):

@@ -15,7 +15,7 @@ from wardlake.session import checkpoint_dir
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> SparkSession:
