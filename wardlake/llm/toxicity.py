@@ -55,10 +55,14 @@ def symbols() -> np.ndarray:
 
 
 def symbols_of(text: str) -> np.ndarray:
+    """The symbols of a text, with room for triples at its end; single letters set apart from each other are put together."""
     s = symbols()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    return np.concatenate([np.zeros(1, np.uint8), s[keep], np.zeros(1 + REACH, np.uint8)])
+    s = np.concatenate([np.zeros(1, np.uint8), s[keep], np.zeros(1 + REACH, np.uint8)])
+    between = np.zeros(len(s), bool)
+    between[2:-2] = (s[2:-2] == 0) & (s[:-4] == 0) & (s[4:] == 0) & (s[1:-3] != 0) & (s[3:-1] != 0)
+    return s[~between]
 
 
 def triples(s: np.ndarray) -> np.ndarray:
