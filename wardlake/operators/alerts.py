@@ -66,13 +66,13 @@ def score_alerts(enriched: DataFrame) -> DataFrame:
 
 
 def alert_to_detection(alerts: DataFrame) -> DataFrame:
-    """Persisted form: first technique and tactic or 'unknown', truncated to the column widths."""
+    """Persisted form: first technique and tactic or 'unknown'; texts are kept whole."""
     tech, tac = F.get("technique_ids", F.lit(0)), F.get("tactic_ids", F.lit(0))
     return alerts.select(
-        F.col("alert_id").alias("id"), F.left(F.coalesce(tech, F.lit("unknown")), F.lit(20)).alias("technique_id"),
-        F.left("rule_title", F.lit(255)).alias("technique_name"), F.left(F.coalesce(tac, F.lit("unknown")), F.lit(100)).alias("tactic"),
-        tac.alias("tactic_id"), F.left("rule_title", F.lit(500)).alias("name"), "host", "time_us", F.col("level").alias("severity"),
-        F.when(F.length("rule_id") > 0, F.left("rule_id", F.lit(500))).alias("rule_name"))
+        F.col("alert_id").alias("id"), F.coalesce(tech, F.lit("unknown")).alias("technique_id"),
+        F.col("rule_title").alias("technique_name"), F.coalesce(tac, F.lit("unknown")).alias("tactic"),
+        tac.alias("tactic_id"), F.col("rule_title").alias("name"), "host", "time_us", F.col("level").alias("severity"),
+        F.when(F.length("rule_id") > 0, F.col("rule_id")).alias("rule_name"))
 
 
 def merge_detections(det: DataFrame, keys: list[str], ttl_us: int = DAY_US) -> DataFrame:

@@ -62,11 +62,15 @@ def timeline(inc: DataFrame) -> DataFrame:
 
 
 def transitions(log: DataFrame) -> DataFrame:
-    """Status changes with the one before and whether the move is forward."""
-    rank = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
-    w = Window.partitionBy("incident_id").orderBy("at_us", "change_id")
-    out = log.withColumn("_rank", rank).withColumns({"previous": F.lag("status").over(w), "_before": F.lag("_rank").over(w)})
-    ends = F.col("status").isin("resolved", "closed")
+    """Status changes with the accepted status before and whether the move is accepted: it must not go back behind it.
+
+    Rejected moves have a lower rank than the accepted one, so the highest rank so far is the accepted status.
+    """
+    names = F.array(*map(F.lit, STATUS_ORDER))
+    w = Window.partitionBy("incident_id").orderBy("at_us", "change_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = log.withColumn("_rank", F.array_position(names, F.col("status")))
+    out = out.withColumn("_before", F.max("_rank").over(w)).withColumn("previous", F.try_element_at(names, F.col("_before").cast("int")))
+    out = out.withColumn("valid", F.coalesce(F.col("_rank") >= F.col("_before"), F.lit(True)))
+    ends = F.col("status").isin("resolved", "closed") & F.col("valid")
     first_end = F.min(F.when(ends, F.col("at_us"))).over(Window.partitionBy("incident_id"))
-    out = out.withColumn("valid", F.coalesce(F.col("_rank") > F.col("_before"), F.lit(True)))
     return out.withColumn("closed_us", F.when(ends & (F.col("at_us") == first_end), F.col("at_us"))).drop("_rank", "_before")

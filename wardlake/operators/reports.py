@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlake import fixed
@@ -70,10 +70,10 @@ def hunt_suggestions(det: DataFrame, rules: DataFrame, since_us: int, limit: int
 
 
 def report_detections(det: DataFrame, start_us: int, end_us: int, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(newest rows of the period, their counts by severity and tactic with a truncated flag)."""
+    """(a page of the period's newest rows; counts of the whole period by severity and tactic, and whether the page leaves rows out)."""
     period = det.where(F.col("time_us").between(start_us, end_us))
     rows = period.orderBy(F.desc("time_us"), F.asc("id")).limit(limit)
-    total = period.agg(F.count("*")).scalar()
+    total = F.sum(F.when(F.col("dim") == "severity", F.col("n"))).over(Window.partitionBy())
     g = F.explode(F.array(F.struct(F.lit("severity").alias("dim"), F.col("severity").alias("value")), F.struct(F.lit("tactic").alias("dim"), F.col("tactic").alias("value"))))
-    counts = rows.select(g.alias("g")).groupBy("g.dim", "g.value").agg(F.count("*").alias("n"))
+    counts = period.select(g.alias("g")).groupBy("g.dim", "g.value").agg(F.count("*").alias("n"))
     return rows, counts.select("dim", "value", "n", (total > limit).alias("truncated"))

@@ -12,8 +12,11 @@ import base64
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake import fixed
@@ -121,11 +124,13 @@ class Fields:
 LOW = "_low_"
 
 
+@lru_cache(maxsize=100_000)
 def _is_regex(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it; a rule with a broken one matches nothing and ends no job."""
     try:
-        re.compile(pattern)
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
         return True
-    except re.error:
+    except (Py4JJavaError, IllegalArgumentException):
         return False
 
 

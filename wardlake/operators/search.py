@@ -100,11 +100,11 @@ def entity_filter(kind: str, value: str) -> Column:
     return any_of([F.col(f) == value for f in fields])
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
+def page(df: DataFrame, order: Sequence[Column], limit: int | None, offset: int = 0) -> DataFrame:
     out = df.orderBy(*order)
     if offset:
         out = out.offset(offset)
-    return out.limit(limit)
+    return out if limit is None else out.limit(limit)
 
 
 def search_events(ev: DataFrame, where: Column, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -137,14 +137,13 @@ def enrich_alerts(lake):
 
 
 @query("flagship_alerts", f"""SELECT k.rule_id, k.host, k.kept AS time_us, a.event_id, a.severity_id, round(least(((a.severity_id - 1) / 4 * 0.60 + (coalesce(c.c, 3) - 1) / 4 * 0.25) * 10, 10), 3) AS base_score
- FROM {ttl_sql(_ALERT_SQL, 'rule_id, host', 6 * HOUR_US)} k JOIN {_ALERT_SQL} a ON a.rule_id = k.rule_id AND a.host = k.host AND a.time_us = k.kept LEFT JOIN (SELECT hostname, max(criticality) AS c FROM v_assets GROUP BY 1) c ON c.hostname = a.host ORDER BY base_score DESC, time_us DESC, event_id LIMIT 200""")
+ FROM {ttl_sql(_ALERT_SQL, 'rule_id, host', 6 * HOUR_US)} k JOIN {_ALERT_SQL} a ON a.rule_id = k.rule_id AND a.host = k.host AND a.time_us = k.kept LEFT JOIN (SELECT hostname, max(criticality) AS c FROM v_assets GROUP BY 1) c ON c.hostname = a.host""")
 def flagship_alerts(lake):
-    """Events -> rule matches -> first per (rule, host) in each TTL -> asset criticality -> score -> top."""
+    """Events -> rule matches -> first per (rule, host) in each TTL -> asset criticality -> score: every scored alert."""
     alerts = settle(al.rule_alerts(lake.events, RULES).select("event_id", "time_us", "rule_id", "severity_id", "host"))
     kept = tl.first_in_ttl(alerts, ["rule_id", "host"], "time_us", "event_id", 6 * HOUR_US)
     base = ((F.col("severity_id") - 1) / 4 * 0.60 + (F.col("criticality") - 1) / 4 * 0.25) * 10
-    scored = enrich.asset_criticality(kept, lake.assets).select("rule_id", "host", "time_us", "event_id", "severity_id", F.round(F.least(base, F.lit(10.0)), 3).alias("base_score"))
-    return scored.orderBy(F.desc("base_score"), F.desc("time_us"), "event_id").limit(200)
+    return enrich.asset_criticality(kept, lake.assets).select("rule_id", "host", "time_us", "event_id", "severity_id", F.round(F.least(base, F.lit(10.0)), 3).alias("base_score"))
 
 
 @query("alert_to_detection", f"SELECT a.alert_id AS id, d.technique AS technique_id, d.tactic AS tactic, a.host, a.rule_id AS rule_name FROM {_ALERT_SQL} a JOIN (SELECT DISTINCT rule_id, technique, tactic FROM ({DETECT_SQL}) x) d ON d.rule_id = a.rule_id")

@@ -67,7 +67,7 @@ def hunt_suggestions(lake):
     return rp.hunt_suggestions(lake.detections, rules, NOW_US - 3 * DAY_US, limit=16)
 
 
-_PER = f"(SELECT * FROM v_detections WHERE time_us BETWEEN {NOW_US - 8 * DAY_US} AND {NOW_US} ORDER BY time_us DESC, id LIMIT 500)"
+_PER = f"(SELECT * FROM v_detections WHERE time_us BETWEEN {NOW_US - 8 * DAY_US} AND {NOW_US})"
 
 
 @query("report_detections", f"SELECT 'severity' AS dim, severity AS value, count(*) AS n, (SELECT count(*) FROM v_detections WHERE time_us BETWEEN {NOW_US - 8 * DAY_US} AND {NOW_US}) > 500 AS truncated FROM {_PER} a GROUP BY 2 UNION ALL SELECT 'tactic', tactic, count(*), (SELECT count(*) FROM v_detections WHERE time_us BETWEEN {NOW_US - 8 * DAY_US} AND {NOW_US}) > 500 FROM {_PER} b GROUP BY 2")
@@ -75,10 +75,10 @@ def report_detections(lake):
     return rp.report_detections(lake.detections, NOW_US - 8 * DAY_US, NOW_US)[1]
 
 
-@query("report_incidents", f"SELECT id, severity, status, round(ttd_seconds / 3600, 4) AS ttd_hours, round(ttr_seconds / 3600, 4) AS ttr_hours FROM v_incidents WHERE created_us BETWEEN {NOW_US - 8 * DAY_US} AND {NOW_US} ORDER BY created_us DESC, id LIMIT 200")
+@query("report_incidents", f"SELECT id, severity, status, round(ttd_seconds / 3600, 4) AS ttd_hours, round(ttr_seconds / 3600, 4) AS ttr_hours FROM v_incidents WHERE created_us BETWEEN {NOW_US - 8 * DAY_US} AND {NOW_US}")
 def report_incidents(lake):
-    newest = lake.incidents.where(F.col("created_us").between(NOW_US - 8 * DAY_US, NOW_US)).orderBy(F.desc("created_us"), "id").limit(200)
-    return newest.select("id", "severity", "status", F.round(F.col("ttd_seconds") / 3600, 4).alias("ttd_hours"), F.round(F.col("ttr_seconds") / 3600, 4).alias("ttr_hours"))
+    period = lake.incidents.where(F.col("created_us").between(NOW_US - 8 * DAY_US, NOW_US))
+    return period.select("id", "severity", "status", F.round(F.col("ttd_seconds") / 3600, 4).alias("ttd_hours"), F.round(F.col("ttr_seconds") / 3600, 4).alias("ttr_hours"))
 
 
 @query("report_exec", f"SELECT 'detections' AS card, CAST(count(*) FILTER (WHERE time_us >= {NOW_US - 7 * DAY_US}) AS DOUBLE) AS value FROM v_detections UNION ALL SELECT 'open_incidents', count(*) FILTER (WHERE status NOT IN ('resolved','closed')) FROM v_incidents UNION ALL SELECT 'covered_techniques', count(DISTINCT technique) FROM {_TECH} AND enabled UNION ALL SELECT 'active_rules', count(*) FILTER (WHERE enabled) FROM v_rules")
@@ -140,8 +140,9 @@ def incident_timeline(lake):
 
 
 @query("incident_transition", """WITH l AS (SELECT o_custkey AS incident_id, id AS change_id, created_us AS at_us, status, CASE status WHEN 'new' THEN 1 WHEN 'investigating' THEN 2 WHEN 'contained' THEN 3 WHEN 'resolved' THEN 4 ELSE 5 END AS r FROM v_incidents JOIN orders ON o_orderkey = id),
- w AS (SELECT *, lag(status) OVER p AS previous, lag(r) OVER p AS b, min(CASE WHEN r >= 4 THEN at_us END) OVER (PARTITION BY incident_id) AS f FROM l WINDOW p AS (PARTITION BY incident_id ORDER BY at_us, change_id))
- SELECT incident_id, change_id, at_us, status, previous, coalesce(r > b, true) AS valid, CASE WHEN r >= 4 AND at_us = f THEN at_us END AS closed_us FROM w""")
+ w AS (SELECT *, max(r) OVER (PARTITION BY incident_id ORDER BY at_us, change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM l),
+ v AS (SELECT *, coalesce(r >= b, true) AS valid FROM w), e AS (SELECT *, min(CASE WHEN r >= 4 AND valid THEN at_us END) OVER (PARTITION BY incident_id) AS f FROM v)
+ SELECT incident_id, change_id, at_us, status, CASE b WHEN 1 THEN 'new' WHEN 2 THEN 'investigating' WHEN 3 THEN 'contained' WHEN 4 THEN 'resolved' WHEN 5 THEN 'closed' END AS previous, valid, CASE WHEN r >= 4 AND valid AND at_us = f THEN at_us END AS closed_us FROM e""")
 def incident_transition(lake):
     """A change log (here: the rows of one customer) read as status moves."""
     log = lake.incidents.join(lake.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("incident_id")), "id")

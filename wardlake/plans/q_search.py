@@ -182,20 +182,18 @@ def monthly_partition(lake):
 _EXPORT = ["id", "time_us", "class_name", "severity_id", "src_ip", "dst_ip", "hostname", "username", "source", "summary"]
 
 
-@query("export_events_csv", "SELECT concat_ws(',', CAST(id AS STRING), CAST(time_us AS STRING), class_name, CAST(severity_id AS STRING), src_ip, dst_ip, coalesce(hostname, ''), coalesce(username, ''), source, summary) AS line FROM (SELECT * FROM v_events ORDER BY time_us DESC, id LIMIT 10000) t")
+@query("export_events_csv", "SELECT concat_ws(',', CAST(id AS STRING), CAST(time_us AS STRING), class_name, CAST(severity_id AS STRING), src_ip, dst_ip, coalesce(hostname, ''), coalesce(username, ''), source, summary) AS line FROM v_events")
 def export_events_csv(lake):
-    """Newest 10,000 events as CSV lines, NULL as ''."""
-    top = s.page(lake.events, [F.desc("time_us"), F.asc("id")], 10000)
-    return top.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _EXPORT]).alias("line"))
+    """All events as CSV lines, NULL as ''."""
+    return lake.events.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _EXPORT]).alias("line"))
 
 
 _EXPORT_D = ["id", "time_us", "severity", "technique_id", "tactic", "host", "name", "status", "rule_name"]
 
 
-@query("export_detections_csv", "SELECT concat_ws(',', CAST(id AS STRING), CAST(time_us AS STRING), severity, coalesce(technique_id, ''), tactic, host, name, status, coalesce(rule_name, '')) AS line FROM (SELECT * FROM v_detections ORDER BY time_us DESC, id LIMIT 10000) t")
+@query("export_detections_csv", "SELECT concat_ws(',', CAST(id AS STRING), CAST(time_us AS STRING), severity, coalesce(technique_id, ''), tactic, host, name, status, coalesce(rule_name, '')) AS line FROM v_detections")
 def export_detections_csv(lake):
-    top = s.page(lake.detections, [F.desc("time_us"), F.asc("id")], 10000)
-    return top.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _EXPORT_D]).alias("line"))
+    return lake.detections.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _EXPORT_D]).alias("line"))
 
 
 @query("human_bytes", """SELECT flow_id, CASE WHEN b < 1024 THEN concat(b, '.0 B') WHEN b < 1048576 THEN concat(b // 1024, '.0 KB') WHEN b < 1073741824 THEN concat(b // 1048576, '.0 MB')

@@ -34,6 +34,7 @@ def local_session(cores: str = "8", app: str = "wardlake") -> SparkSession:
         # call-site capture costs several round trips per column; it adds up over large rule sets
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.minPartitionNum", cores)  # one machine reads its few files with all cores
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .getOrCreate()
@@ -43,7 +44,7 @@ def local_session(cores: str = "8", app: str = "wardlake") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only where none is named."""
+    """The cluster's shared checkpoint folder. On a single machine that names none a scratch folder serves; on a cluster that is an error, as its executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -51,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(current)
     return current

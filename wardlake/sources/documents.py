@@ -58,7 +58,7 @@ def parse_stix(df: DataFrame, feed: str, value: str = "value") -> DataFrame:
 
     pairs = F.concat(*[found(kind, rx) for kind, rx in fixed.STIX_EXTRACTORS])
     conf = F.greatest(F.least(F.coalesce("confidence", F.lit(50)), F.lit(100)), F.lit(0))
-    text = F.left(F.coalesce(blank(F.col("description")), blank(F.col("name"))), F.lit(500))
+    text = F.coalesce(blank(F.col("description")), blank(F.col("name")))
     out = objs.withColumn("_p", F.explode(pairs)).where(F.length("_p.value") > 0)
     return out.select(
         "_p.ioc_type", "_p.value", F.lit(feed).alias("source"), conf.alias("confidence"), confidence_severity(conf).alias("severity"), text.alias("description"),

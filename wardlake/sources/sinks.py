@@ -24,9 +24,10 @@ def write_alerts_jsonl(alerts: DataFrame, path: str, max_per_file: int = 100_000
     alerts.write.mode(mode).option("maxRecordsPerFile", max_per_file).json(path)
 
 
-def write_csv_page(df: DataFrame, path: str, columns: list[str], limit: int = 10_000) -> None:
-    """Newest rows as one CSV export, NULL as ''."""
-    page = df.orderBy(F.desc("time_us"), F.asc("id")).limit(limit)
+def write_csv_page(df: DataFrame, path: str, columns: list[str], limit: int | None = None) -> None:
+    """Rows as a CSV export, newest first, NULL as ''; all of them unless a limit is asked for."""
+    page = df.orderBy(F.desc("time_us"), F.asc("id"))
+    page = page if limit is None else page.limit(limit)
     page.select(*columns).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 

@@ -97,11 +97,6 @@ def split_late(batch: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFram
 # ------------------------------------------------------------------------------------- windowed detectors
 
 
-def dedup_within_watermark(alerts: DataFrame, keys: list[str], ttl: str = "300 seconds") -> DataFrame:
-    """Native dedup: one row per key while its state lives. Approximates the greedy TTL."""
-    return alerts.withWatermark("time", ttl).dropDuplicatesWithinWatermark(keys)
-
-
 def first_seen(flows: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """First private-to-private administration flow per pair and day; state leaves with the day."""
     hit = flows.where(is_private(F.col("src_ip")) & is_private(F.col("dst_ip")) & F.col("dst_port").isin(*fixed.LATERAL_PORTS))
