@@ -153,7 +153,7 @@ def plan(classes: DataFrame, radius: int) -> Layout:
     counts = cell_counts(classes, cells)
     near = np.stack([rings(c, radius) for c in counts])
     single = float((counts.astype(float) ** 2).sum()) + PROBE_COST * total * CELLS
-    meet = (counts[:, None, :] * near.astype(float)).sum(2)  # [cell][distance]: pairs that far apart in the cell
+    meet = np.array([[float(np.dot(c, ring)) for ring in n] for c, n in zip(counts.astype(float), near)])  # [cell][distance]: pairs that far apart in the cell
     parts = [[0, 1], [2, 3]]
     share, extra = (radius + 1) // 2, (radius + 1) % 2
     double = 0.0

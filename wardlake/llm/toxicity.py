@@ -256,7 +256,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
         weights = (z.T @ (whiten @ w).astype(np.float32)).astype(np.float32)
         weights[0], knee = 0, max(-bias - 1.0, 0.0)
     slope, offset = _logistic(margins(texts, weights, knee), y)
-    return Model(weights, knee, slope, offset)
+    return Model(weights, float(knee), slope, offset)
 
 
 def probability(model: Model, found: np.ndarray) -> np.ndarray:
@@ -272,14 +272,19 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
         part = known.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic", "order")), "doc_id").where("text is not null").select("order", "doc_id", "toxic", "text")
-    texts, toxic, chars = [], [], 0
-    for row in rows.orderBy("order", "doc_id").toLocalIterator():
-        if chars > TRAIN_CHARS:
-            break
-        texts.append(row["text"])
-        toxic.append(row["toxic"])
-        chars += len(row["text"])
-    return fit(texts, toxic)
+
+    def run(batches):
+        sample = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: (r["order"], r["doc_id"]))
+        sizes = np.cumsum([len(r["text"]) for r in sample])
+        sample = sample[: int(np.searchsorted(sizes, TRAIN_CHARS)) + 1]
+        model = fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+        yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), *[pa.array([x]) for x in model[1:]]], ["weights", "knee", "slope", "offset"])
+
+    # one task fits on the bounded sample, so the driver gets the weights only
+    row = rows.repartition(1).mapInArrow(run, "weights binary, knee double, slope double, offset double").first()
+    if row is None:
+        return fit([], [])
+    return Model(np.frombuffer(bytes(row["weights"]), np.float32), *row[1:])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
