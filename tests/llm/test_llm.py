@@ -118,6 +118,52 @@ def test_similar_groups_follow_the_texts(spark):
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
+def test_parities_never_part_similar_sets(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for i in range(400):
+        whole = rng.integers(0, 2**63, 2000).astype(np.uint64)
+        n, gone, new = (int(rng.integers(1, m)) for m in (1500, 60, 60))
+        a, b = whole[:n], np.concatenate([whole[min(gone, n - 1) : n], whole[1900 : 1900 + new]])
+        rows.append((i, len(a), *simhash.parities(a).tolist(), len(b), *simhash.parities(b).tolist()))
+        both = len(np.intersect1d(a, b))
+        want.append(both / (len(a) + len(b) - both))
+    names = ["i", *[f"{p}{c}" for p in ("x_", "y_") for c in simhash.SKETCHED]]
+    pairs = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+    kept = {r["i"] for r in pairs.where(simhash.may_be_similar(0.8, "x_", "y_")).collect()}
+    assert kept >= {i for i, j in enumerate(want) if j >= 0.8}
+    assert not kept & {i for i, j in enumerate(want) if j < 0.6 and rows[i][1] < 300}
+
+
+def test_similar_groups_of_a_family_of_unlike_texts(spark):
+    """Members of one family with 0 to 11 words changed: groups are the components of the similar pairs, by brute force."""
+    rng = random.Random(12)
+    base = prose(rng, 150).split(" ")
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(12)):
+            words[at] = f"new{rng.randrange(10**6)}"
+        rows.append((500 - i, " ".join(words)))
+    sets = {i: set(simhash.word_shingles(t.encode(), 5)) for i, t in rows}
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both >= 0.85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    got = dict(simhash.similar_groups(frame(spark, rows), similarity=0.85).collect())
+    assert got == {i: root(i) for i in sets}
+    assert len(set(got.values())) > 5
+
+
 def test_bpe_equals_the_library_and_decodes(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("byte_bpe_50k.json")

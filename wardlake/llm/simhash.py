@@ -10,7 +10,7 @@ the partitions with the keys within its thresholds; XOR and bit count verify eac
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 from itertools import combinations
 from typing import NamedTuple
 
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.common import Scratch, by_batch, longs, mix64, texts
@@ -271,25 +271,44 @@ def near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3, scratch: Scrat
 
 
 REACH = 36  # of 2 x 64 bits: texts with a similarity of 0.8 differ by about 19 bits, unrelated ones by 64
+SKETCH = 3  # longs: the parity of the number of shingles that fall on each of 192 places
+SKETCHED = ["size", *[f"odd{i}" for i in range(SKETCH)]]
+STAR_ROUNDS = 2
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bit i is 1 where an odd number of the (distinct) hashes fall on place i. Two sets that differ in d members differ in at most d bits."""
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
 def _prints(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and two fingerprints from independent hashes of the same shingles, each shingle once."""
+    """doc_id, two fingerprints from independent hashes of the same shingles, each shingle once, the number of shingles and their parities."""
+    names = ["doc_id", "fa", "fb", *SKETCHED]
 
     def run(batch):
-        pairs = np.zeros((batch.num_rows, 2), np.uint64)
+        out = np.zeros((len(names) - 1, batch.num_rows), np.int64)
         for i, text in enumerate(batch["text"]):
             grams = set(word_shingles(text.as_py(), k))
             if grams:
                 h = np.fromiter(map(_hash, grams), np.uint64, len(grams))
-                pairs[i] = majority(h), majority(mix64(h ^ np.uint64(0xA0761D6478BD642F)))
-        return pa.record_batch([batch["doc_id"], longs(pairs[:, 0].view(np.int64)), longs(pairs[:, 1].view(np.int64))], ["doc_id", "fa", "fb"])
+                other = mix64(h ^ np.uint64(0xA0761D6478BD642F))
+                out[:2, i] = np.array([majority(h), majority(other)], np.uint64).view(np.int64)
+                out[2, i], out[3:, i] = len(grams), parities(mix64(other))
+        return pa.record_batch([batch["doc_id"], *map(longs, out)], names)
+
+    return docs.mapInArrow(by_batch(run), ", ".join(f"{c} long" for c in names))
+
 
-    return docs.mapInArrow(by_batch(run), "doc_id long, fa long, fb long")
+def may_be_similar(similarity: float, a: str, b: str) -> Column:
+    """False only where the sets cannot have that Jaccard similarity: at s, sets of sizes m and n differ in at most
+    (m + n)(1 - s)/(1 + s) members, and in at least as many as their parities differ in bits."""
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCHED[1:]), F.lit(0))
+    return apart <= (F.col(f"{a}size") + F.col(f"{b}size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' shingle sets are as similar as asked for (Jaccard)."""
+def _similar(pairs: DataFrame, docs: DataFrame, k: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts' shingle sets are as similar as asked for (Jaccard). Only texts that some pair names are moved."""
 
     def run(batch):
         keep = []
@@ -299,7 +318,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Da
             keep.append(both >= similarity * (len(a) + len(b) - both))
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left, right = (docs.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
+    named = scratch.keep(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+    needed = scratch.keep(docs.join(named, "doc_id", "left_semi"))
+    left, right = (needed.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(by_batch(run), "a long, b long")
 
 
@@ -309,9 +330,11 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
     Each text has two fingerprints; the partitions of each are probed for the radius as the pigeonhole
     principle asks, whatever is met within REACH bits of both is a candidate, and the texts decide. All
     pairs within the radius in either fingerprint are met, and others by the chance of meeting in a
-    partition: about 93 % at a similarity of 0.8, over 99 % from 0.86 on. A first pass compares
-    each member of a bucket with the bucket's first only, so that large groups are merged with few
-    comparisons; the second compares what is still apart.
+    partition: about 93 % at a similarity of 0.8, over 99 % from 0.86 on. Pairs whose shingles' parities
+    prove them less similar never leave the join, so a large family of texts that resemble each other
+    gives few candidates beyond its links. Before all candidates are met, STAR_ROUNDS passes compare each
+    member of a bucket with one other of the bucket only, so that large groups are merged with few
+    comparisons; the last pass compares what is still apart.
 
     One row per distinct doc_id that is not null (rows that share one count as one document, with the text
     that sorts first). Blank texts form one group. An empty table gives no rows; other columns are not read.
@@ -319,37 +342,51 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
     scratch = scratch or Scratch(docs.sparkSession)
     plain = texts(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(docs) else texts(docs).where("doc_id is not null")
     prints = scratch.keep(_prints(plain, k), from_scan=True)
-    classes = scratch.keep(prints.groupBy("fa", "fb").agg(F.min("doc_id").alias("node")))
+    first = F.min(F.struct("doc_id", *SKETCHED)).alias("first")
+    classes = scratch.keep(prints.groupBy("fa", "fb").agg(first).select("fa", "fb", F.col("first.doc_id").alias("node"), *[f"first.{c}" for c in SKETCHED]))
     sc = docs.sparkSession.sparkContext
     layouts = {f: sc.broadcast(plan(classes.select(F.col(f).alias("fp")), radius)) for f in ("fa", "fb")}
-
-    def sides(f: str, what: DataFrame) -> DataFrame:
-        other = "fb" if f == "fa" else "fa"
-        return what.select(F.col(f).alias("fp"), F.col(other).alias("other"), *[c for c in what.columns if c not in ("fa", "fb")])
-
-    def close(a: str, b: str) -> F.Column:
-        return F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) + F.bit_count(F.col(f"{a}other").bitwiseXOR(F.col(f"{b}other"))) <= REACH
-
-    stars = None
-    for f, layout in layouts.items():
-        index = scratch.keep(index_rows(sides(f, classes), layout))
-        firsts = index.groupBy("bucket").agg(F.min(F.struct("node", "fp", "other")).alias("p")).select("bucket", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "fp", "other")])
-        part = index.join(scratch.keep(firsts), "bucket").where((F.col("node") > F.col("p_node")) & close("", "p_")).select(F.col("p_node").alias("a"), F.col("node").alias("b"))
-        stars = part if stars is None else stars.unionAll(part)
-    linked = scratch.keep(_similar(scratch.keep(stars.distinct()), plain, k, similarity))
-    nodes = components(linked, scratch)
-    grouped = scratch.keep(classes.join(nodes.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("fa", "fb", "node", F.coalesce("component", "node").alias("comp")))
-    rest = None
+    carried = ["node", "comp", *SKETCHED]
+
+    def side(f: str, grouped: DataFrame) -> DataFrame:
+        return grouped.select(F.col(f).alias("fp"), F.col("fb" if f == "fa" else "fa").alias("other"), *carried)
+
+    def candidates() -> Column:
+        bits = F.bit_count(F.col("p_fp").bitwiseXOR(F.col("fp"))) + F.bit_count(F.col("p_other").bitwiseXOR(F.col("other")))
+        return (F.col("p_comp") != F.col("comp")) & (bits <= REACH) & may_be_similar(similarity, "p_", "")
+
+    def compared(pairs: list[DataFrame]) -> DataFrame:
+        """The similar ones of the candidate pairs of both fingerprints, each pair compared once."""
+        both = scratch.keep(reduce(DataFrame.unionAll, pairs).select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct())
+        out = scratch.keep(_similar(both, plain, k, similarity, scratch))
+        scratch.drop(both)
+        return out
+
+    def group(linked: DataFrame) -> DataFrame:
+        nodes = components(linked, scratch).select(F.col("node").alias("n"), "component")
+        return scratch.keep(classes.join(nodes, F.col("node") == F.col("n"), "left").select("fa", "fb", "node", F.coalesce("component", "node").alias("comp"), *SKETCHED))
+
+    grouped, linked = classes.withColumn("comp", F.col("node")), None
+    for turn in range(STAR_ROUNDS):
+        stars, indexes = [], []
+        for f, layout in layouts.items():
+            index = scratch.keep(index_rows(side(f, grouped), layout))
+            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "fp", "other", *carried)).alias("p")
+            centres = scratch.keep(index.groupBy("bucket").agg(centre).select("bucket", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("fp", "other", *carried)]))
+            stars.append(index.join(centres, "bucket").where(candidates()))
+            indexes += [index, centres]
+        found = compared(stars)
+        for table in indexes:
+            scratch.drop(table)
+        linked = found if linked is None else linked.unionAll(found)
+        grouped = group(linked)
+    rest = []
     for f, layout in layouts.items():
-        rows = sides(f, grouped)
-        index, probes = scratch.keep(index_rows(rows, layout)), scratch.keep(probe_rows(rows, layout, radius))
-        met = (probes["bucket"] == index["bucket"]) & (F.col("p_node") < F.col("node")) & (F.col("p_comp") != F.col("comp")) & close("p_", "")
-        part = probes.join(index, met).select(F.col("p_node").alias("a"), F.col("node").alias("b"))
-        rest = part if rest is None else rest.unionAll(part)
-    linked = linked.unionAll(scratch.keep(_similar(scratch.keep(rest.distinct()), plain, k, similarity)))
-    nodes = components(linked, scratch)
-    named = scratch.keep(classes.join(nodes.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("fa", "fb", F.coalesce("component", "node").alias("group")))
-    return prints.join(named, ["fa", "fb"]).select("doc_id", "group")
+        rows = side(f, grouped)
+        index, probes = scratch.keep(index_rows(rows, layout)), probe_rows(rows, layout, radius)
+        rest.append(probes.join(index, (probes["bucket"] == index["bucket"]) & (F.col("p_node") < F.col("node")) & candidates()))
+    named = group(linked.unionAll(compared(rest))).select("fa", "fb", F.col("comp").alias("group"))
+    return prints.select("doc_id", "fa", "fb").join(named, ["fa", "fb"]).select("doc_id", "group")
 
 
 def _repeats(docs: DataFrame) -> bool:
