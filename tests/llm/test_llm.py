@@ -277,6 +277,32 @@ def test_language_of_held_out_texts(spark):
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (1000, 1001, 1002))
 
 
+def sounds_of(rng, syllables, n):
+    return " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(n))
+
+
+def test_stray_languages_do_not_starve_the_large_ones(spark):
+    rng = random.Random(23)
+    sounds = {"en": ["ta", "ne", "is", "or"], "de": ["at", "en", "si", "ro"], "fr": ["te", "na", "os", "ir"]}
+    rows = [(i, sounds_of(rng, s, 60), lang, "s", None, None, None) for i in range(300) for lang, s in [list(sounds.items())[i % 3]]]
+    strays = [(1000 + i, rng.choice(["tane isor tane", "aten siro aten", "zu"]), f"stray{i}", "s", None, None, None) for i in range(20)]
+    model = langid.train(docs := spark.createDataFrame(rows + strays, SCHEMA))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.98
+    budgets = langid.budgets({"a": 10**6, "b": 10**6, "c": 30, **{f"s{i}": 200 for i in range(2000)}})
+    assert budgets["c"] > 0 and budgets["a"] == budgets["b"] > 10_000 and sum(budgets.values()) <= langid.TRAIN_SYMBOLS
+
+
+def test_languages_are_learned_from_whole_texts_and_many_of_them(spark):
+    """What tells the languages apart comes late in long texts, and in each text other words of it."""
+    rng = random.Random(29)
+    same, words = ["la", "mo", "ke"], {k: [prose(rng, 1) for _ in range(60)] for k in ("en", "de")}
+    rows = [(i, sounds_of(rng, same, 1200) + " " + " ".join(rng.choices(words[k], k=1200)), k, "s", None, None, None) for i in range(80) for k in [("en", "de")[i % 2]]]
+    model = langid.train(spark.createDataFrame(rows, SCHEMA))
+    got, _ = langid.predict([" ".join(rng.choices(words[k], k=20)) for k in ("en", "de") * 20], model)
+    assert np.mean([a == b for a, b in zip(got, ("en", "de") * 20)]) > 0.9
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(7)
     items = [(i, prose(rng, 20 + i)) for i in range(12)] + [(50, "three little words"), (51, ""), (52, None)]
