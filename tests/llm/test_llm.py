@@ -349,6 +349,31 @@ def test_secrets_in_layers_and_plain_texts(spark):
     assert got[0]["base_sha256"] == hashlib.sha256(b"assign:2:22").hexdigest()
 
 
+def test_secrets_in_wrapped_glued_and_unprintable_layers():
+    def spans(text):
+        return [(s, e) for s, _, e in secretscan.secrets(text)[1]]
+
+    s = "password=hunter22abcd"
+    wrapped = base64.encodebytes(("z " * 49 + "," + s).encode()).decode().rstrip()
+    assert len(wrapped.rsplit("\n", 1)[1]) < 16
+    assert any(e == len(wrapped.rstrip("=")) for _, e in spans(wrapped)) and spans(wrapped) == [(x, y) for x, y in spans(wrapped + "\n\nhello")]
+    b64 = base64.b64encode(s.encode()).decode()
+    assert len(b64.rstrip("=")) == len(b64) == 28
+    for head in ("https://host/cb/", "x-", "abc", "ab_", "/"):
+        assert (len(head), len(head) + 28) in spans(head + b64), head
+    assert spans(b64 + "\nhello") == [(0, 28)]
+    for odd in (b"\xff\xfe", b"\xe4\xb8", "\u00a0\ufeff\u200b".encode(), b"\x1b[0m\x00"):
+        code = base64.b64encode(odd + b" " + s.encode() + b" end").decode()
+        first = (len(odd) + 1) // 3 * 4
+        assert spans("x " + code) == [(2 + first, 2 + (len(odd) + len(s)) // 3 * 4 + 4)], odd
+    packed = gzip.compress(b"nothing", mtime=0) + gzip.compress(s.encode(), mtime=0)
+    for head in ("", "https://host/cb/"):
+        assert spans(head + base64.b64encode(packed).decode())
+    inner = base64.b64encode(b"q " * 60_000 + s.encode()).decode()
+    block = b"- " * ((secretscan.BLOCK - 100_000) // 2) + inner.encode() + b" -"
+    assert spans(base64.b64encode(gzip.compress(block, mtime=0)).decode())
+
+
 def test_scores_against_brute_force(spark):
     import zlib
 

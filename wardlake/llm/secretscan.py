@@ -4,7 +4,10 @@ Each text is a worklist of layers. A layer is scanned, then every encoded piece
 further layer, until no new one appears; layers met before (by digest) are not taken again, which ends
 cycles. Each character of a layer knows the stretch of the text it comes from, so that what is found
 anywhere gets a span in the text itself. Compressed layers are unpacked and scanned block by block, so
-that a small input that unpacks to a very large one needs little memory.
+that a small input that unpacks to a very large one needs little memory; an encoded run that a block's end
+cuts is carried to the next block, up to HOLD bytes. A base64 run that is no text as a whole is taken apart:
+its lines and segments that are text, and all of it at each of the four alignments, as it may be glued to
+other characters of the class. A value found there may take in characters that are glued to its end.
 """
 
 from __future__ import annotations
@@ -34,10 +37,15 @@ WORDS_ASSIGNED = ("password", "passwd", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2})+")
 ESCAPE_UNIT = re.compile(r"\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\u\{([0-9a-fA-F]{1,6})\}|\\x([0-9a-fA-F]{2})")
-CODED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+CODED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?P<last>\r?\n[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
 CODED_LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+SEGMENT = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
+GLUE = re.compile(r"(?<=[/_-])[^/_-]")
+OPEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%{}\\\r\n"  # bytes of encoded runs
+MAGIC = (b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ\x00")
 BLOCK = 1 << 22
 OVERLAP = 1 << 12
+HOLD = 1 << 22
 
 
 class Layer(NamedTuple):
@@ -78,16 +86,19 @@ def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[tuple[int, in
     return Layer("".join(out), np.concatenate([*s_out, starts[at:]]), np.concatenate([*e_out, ends[at:]]))
 
 
+def _sized(raw: bytes) -> tuple[str, np.ndarray]:
+    """Bytes as text (each that is no UTF-8 becomes the replacement character), and where each character begins, with the end."""
+    says = raw.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(says.encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000) + 1
+    wide[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+    return re.sub("[\udc80-\udcff]", "\ufffd", says), np.concatenate([[0], wide.cumsum()])
+
+
 def _characters(raw: bytes, stretch_of_byte) -> tuple[str, list[tuple[int, int]]]:
-    """Bytes as text (what is no UTF-8 becomes the replacement character) and the source stretch of each character."""
-    says = raw.decode("utf-8", "replace")
-    stretches, at = [], 0
-    for c in says:
-        size = len(c.encode()) if c != "�" else max(1, min(3, len(raw) - at) if raw[at : at + 3] == b"\xef\xbf\xbd" else 1)
-        first, last = min(at, len(raw) - 1), min(at + size, len(raw)) - 1
-        stretches.append((stretch_of_byte(first)[0], stretch_of_byte(max(first, last))[1]))
-        at += size
-    return says, stretches
+    """Bytes as text and the source stretch of each character."""
+    says, at = _sized(raw)
+    return says, [(stretch_of_byte(a)[0], stretch_of_byte(b - 1)[1]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
@@ -130,21 +141,37 @@ def _unpackers(raw: bytes):
         yield lzma.LZMADecompressor()
 
 
-def _unpacked(raw: bytes) -> Iterator[bytes]:
-    """Blocks of what compressed bytes hold, each with the end of the one before; nothing if they are not compressed."""
-    for unpack in _unpackers(raw):
-        pending, tail, size = raw, b"", 0
+def _unpacked(raw) -> Iterator[bytes]:
+    """Blocks of what compressed bytes hold, of all members one after another; nothing if they are not compressed.
+
+    Each block comes with the end of the one before; an encoded run that is open at its end waits for the next."""
+    tail, held = b"", b""
+    while len(raw):
+        unpack = next(_unpackers(bytes(raw[:8])), None)
+        if unpack is None:
+            if tail or held:  # not compressed, behind a member
+                held += bytes(raw)
+            break
+        pending = raw
         try:
             while not unpack.eof:
                 block = unpack.decompress(pending, BLOCK)
                 pending = getattr(unpack, "unconsumed_tail", b"")
-                if not block and not pending:
+                if not block and not pending and not unpack.eof:
                     break
-                size += len(block)
-                yield tail + block
-                tail = (tail + block)[-OVERLAP:]
+                held += block
+                cut = len(held.rstrip(OPEN))
+                if cut and len(held) - cut < HOLD:
+                    yield tail + held[:cut]
+                    tail, held = (tail + held[:cut])[-OVERLAP:], held[cut:]
+                elif len(held) >= HOLD:
+                    yield tail + held
+                    tail, held = (tail + held)[-OVERLAP:], b""
         except (zlib.error, OSError, EOFError, lzma.LZMAError):
-            return
+            break
+        raw = unpack.unused_data if unpack.eof else b""
+    if held:
+        yield tail + held
 
 
 def _says(raw: bytes) -> str | None:
@@ -168,50 +195,121 @@ def _decoded(piece: str) -> bytes | None:
 
 def _coded(layer: Layer) -> Iterator[Layer]:
     for m in CODED.finditer(layer.text):
-        whole = list(_inside(layer, m.start(), m[0]))
-        if not whole and "\n" in m[0]:
-            whole = [x for line in CODED_LINE.finditer(m[0]) for x in _inside(layer, m.start() + line.start(), line[0])]
-        yield from whole
+        wholes = [(m.start(), m[0])] + ([(m.start(), layer.text[m.start() : m.start("last")])] if m["last"] else [])
+        whole = next(filter(None, (_text(layer, *x) for x in wholes)), None)
+        if whole:
+            yield whole
+            continue
+        packed = _packed(layer, m.start(), m[0], 0)
+        first = next(packed, None)
+        if first:
+            yield first
+            yield from packed
+            continue
+        clean, spans = [], []
+        for pattern in (CODED_LINE, SEGMENT):
+            for x in pattern.finditer(m[0]):
+                a, b = m.start() + x.start(), m.start() + x.end()
+                if x[0] != m[0] and (not spans or a >= spans[-1][1] or pattern is SEGMENT and not any(s < b and a < e for s, e in spans)):
+                    got = _text(layer, a, x[0])
+                    if got:
+                        clean.append(got)
+                        spans.append((a, b))
+        yield from clean
+        yield from _glued(layer, m.start(), m[0], spans)
+
+
+def _text(layer: Layer, start: int, piece: str) -> Layer | None:
+    """What a piece says as a whole, if that is text."""
+    raw = _decoded(piece)
+    if raw is None or _says(raw) is None:
+        return None
+    return _at(layer, raw, _places(start, piece))
 
 
-def _inside(layer: Layer, start: int, piece: str) -> Iterator[Layer]:
-    raw = _decoded(piece)
+def _places(start: int, piece: str) -> np.ndarray:
+    code = np.frombuffer(piece.encode("ascii"), np.uint8)
+    return start + np.flatnonzero((code != 13) & (code != 10) & (code != 61))
+
+
+def _at(layer: Layer, raw: bytes, places: np.ndarray, spans: list[tuple[int, int]] = ()) -> Layer:
+    """Decoded bytes as a layer; characters from spans already taken are blanked."""
+    said, at = _sized(raw)
+    a, b = places[at[:-1] // 3 * 4], places[np.minimum((at[1:] - 1) // 3 * 4 + 3, len(places) - 1)] + 1
+    if spans:
+        taken = np.zeros(len(a), bool)
+        for s, e in spans:
+            taken |= (a >= s) & (b <= e)
+        said = "".join("\ufffd" if t else c for c, t in zip(said, taken.tolist()))
+    if layer.starts is not None:
+        spans = [layer.origin(x, y) for x, y in zip(a.tolist(), b.tolist())]
+        a, b = (np.array([x[i] for x in spans], np.int64) for i in (0, 1))
+    return Layer(said, a, b)
+
+
+def _packed(layer: Layer, start: int, piece: str, at: int, raw=None) -> Iterator[Layer]:
+    """What the bytes of a piece hold if they are compressed; its span is that of the piece from a place on."""
     if raw is None:
-        return
-    said = _says(raw)
-    if said is not None:
-        places = [start + i for i, c in enumerate(piece) if c not in "\r\n="]
-        _, stretches = _characters(raw, lambda i: (places[i // 3 * 4], places[min(i // 3 * 4 + 3, len(places) - 1)] + 1))
-        spans = [layer.origin(a, b) for a, b in stretches]
-        yield Layer(said, np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64))
-        return
-    s, e = layer.origin(start, start + len(piece))
+        raw = _loose(re.sub("[\r\n=]", "", piece), 0)
+    s, e = layer.origin(start + at, start + len(piece))
     for block in _unpacked(raw):
         text = block.decode("utf-8", "replace")
         yield Layer(text, np.full(len(text), s), np.full(len(text), e))
 
 
+def _loose(letters: str, skip: int) -> bytes:
+    """Base64 letters from a place on, without an odd one at the end."""
+    part = letters[skip : len(letters) - ((len(letters) - skip) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def _glued(layer: Layer, start: int, piece: str, spans: list[tuple[int, int]]) -> Iterator[Layer]:
+    """A run at each alignment as far as it can be read, and what is compressed in it from a boundary or a known head on."""
+    letters, places = re.sub("[\r\n=]", "", piece), _places(start, piece)
+    bounds = [m.start() for m in GLUE.finditer(letters)]
+    for skip in range(4):
+        raw = _loose(letters, skip)
+        if not raw:
+            continue
+        yield _at(layer, raw, places[skip:], spans)
+        heads = {(at - skip) // 4 * 3 for at in bounds if at % 4 == skip}
+        for magic in MAGIC:
+            at = raw.find(magic)
+            while at >= 0:
+                heads.add(at)
+                at = raw.find(magic, at + 1)
+        for at in sorted(heads - ({0} if skip == 0 else set())):
+            if any(_unpackers(raw[at : at + 8])):
+                yield from _packed(layer, start, piece, int(places[skip + at // 3 * 4]) - start, memoryview(raw)[at:])
+
+
 UNWRAP = (_percent, _escapes, _coded)
 
 
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    """The layers in one, made when they are asked for, so that only those on the way to one are held."""
+    return (inner for unwrap in UNWRAP for inner in unwrap(layer))
+
+
 def secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base, all): (start, kind, end) found in the text itself; and these with what its layers hold, each span once."""
     base = scan(text)
     found, seen = set(base), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [Layer(text, None, None)]
+    work = [_unwrapped(Layer(text, None, None))]
     while work:
-        layer = work.pop()
-        for unwrap in UNWRAP:
-            for inner in unwrap(layer):
-                # the same content at another place is another layer
-                mark = hashlib.sha256(inner.text.encode("utf-8", "surrogatepass") + b"%d:%d" % inner.origin(0, len(inner.text)) if inner.text else b"").digest()
-                if not inner.text or mark in seen:
-                    continue
-                seen.add(mark)
-                for start, kind, end in scan(inner.text):
-                    s, e = inner.origin(start, end)
-                    found.add((s, kind, e))
-                work.append(inner)
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        # the same content at another place is another layer
+        mark = hashlib.sha256(inner.text.encode("utf-8", "surrogatepass") + b"%d:%d" % inner.origin(0, len(inner.text)) if inner.text else b"").digest()
+        if not inner.text or mark in seen:
+            continue
+        seen.add(mark)
+        for start, kind, end in scan(inner.text):
+            s, e = inner.origin(start, end)
+            found.add((s, kind, e))
+        work.append(_unwrapped(inner))
     return base, sorted(found)
 
 
