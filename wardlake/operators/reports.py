@@ -42,10 +42,11 @@ def control_detection_counts(det: DataFrame) -> DataFrame:
         F.sum("n").alias("detections"), F.array_join(F.array_sort(F.collect_set("tactic")), ",").alias("tactics"))
 
 
-def hunt_suggestions(det: DataFrame, rules: DataFrame, since_us: int, limit: int = 10, top: int = 50, gap_limit: int = 5) -> DataFrame:
-    """Techniques worth hunting: recent activity beside rule coverage, plus a few pure gaps.
+def hunt_suggestions(det: DataFrame, rules: DataFrame, since_us: int, limit: int = 10, top: int | None = None, gap_limit: int | None = None) -> DataFrame:
+    """Techniques worth hunting: recent activity beside rule coverage, plus pure gaps.
 
-    Activity is already aggregated per technique, so every join here is catalogue-sized.
+    Activity is already aggregated per technique, so every join here is catalogue-sized, and all of it is
+    ranked. top and gap_limit cut the activity to its busiest rows and the gaps to the first ones before that.
     """
     act = metrics.technique_activity(det, since_us, top)
     # one suggestion per technique: its busiest row
@@ -53,8 +54,10 @@ def hunt_suggestions(det: DataFrame, rules: DataFrame, since_us: int, limit: int
     per_rule = metrics.rules_per_technique(rules).withColumnRenamed("rules", "rule_count")
     gaps = metrics.coverage_gaps(rules).withColumn("_gap", F.lit(True))
     live = act.join(per_rule, "technique_id", "left").join(gaps, "technique_id", "left").na.fill({"rule_count": 0, "_gap": False})
-    pure = gaps.join(act.select("technique_id"), "technique_id", "left_anti").orderBy("technique_id").limit(gap_limit).select(
+    pure = gaps.join(act.select("technique_id"), "technique_id", "left_anti").select(
         "technique_id", F.col("technique_id").alias("technique_name"), F.lit("Unknown").alias("tactic"), *[F.lit(0).cast("long").alias(c) for c in ("count", "critical", "high", "rule_count")], F.lit(True).alias("_gap"))
+    if gap_limit is not None:
+        pure = pure.orderBy("technique_id").limit(gap_limit)
     both = live.select(*pure.columns).unionByName(pure)
     n, c, h, r = (F.col(x) for x in ("count", "critical", "high", "rule_count"))
     priority = F.when((c > 0) | ((n > 0) & (r == 0)), "high").when((h > 0) | (n > 0), "medium").otherwise("low")

@@ -64,7 +64,7 @@ _RT = f"(SELECT {_LIVE} AS live, trim(unnest(CAST(json(technique_ids) AS VARCHAR
  ORDER BY CASE WHEN critical > 0 OR (count > 0 AND rule_count = 0) THEN 0 WHEN high > 0 OR count > 0 THEN 1 ELSE 2 END, count DESC, technique_id LIMIT 16""")
 def hunt_suggestions(lake):
     rules = lake.rules.withColumn("enabled", F.expr(_LIVE))
-    return rp.hunt_suggestions(lake.detections, rules, NOW_US - 3 * DAY_US, limit=16)
+    return rp.hunt_suggestions(lake.detections, rules, NOW_US - 3 * DAY_US, limit=16, top=50, gap_limit=5)  # the two published limits, as in the SQL
 
 
 _PER = f"(SELECT * FROM v_detections WHERE time_us BETWEEN {NOW_US - 8 * DAY_US} AND {NOW_US})"
