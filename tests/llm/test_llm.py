@@ -213,6 +213,22 @@ def test_toxicity_finds_gapped_insults_and_leaves_clean_texts():
     assert np.allclose(both[:-1], [toxicity.margin(t, model.weights, model.knee) for t in hurt], atol=1e-4)
 
 
+def test_toxicity_sample_keeps_both_classes(spark):
+    """One very long labelled text does not end the sample."""
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 40) + " wretchface" * (i % 2)) for i in range(200)]
+    order = {r["id"]: r["h"] for r in spark.range(200, 3000).selectExpr("id", "xxhash64(id) h", "crc32(cast(cast(id as string) as binary)) % 5 k").where("k <> 0").collect()}
+    first = min(order, key=order.get)
+    long = "word " * (toxicity.TRAIN_CHARS // 5 + 10)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows] + [(first, 1, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, [*rows, (first, long)]), labels)
+    p = toxicity.probability(model, toxicity.margins([t for _, t in rows], model.weights, model.knee))
+    assert ((p >= 0.5) == np.array([i % 2 for i, _ in rows])).mean() > 0.95
+    assert toxicity.sampled([(1, 40), (0, 500), (0, 20), (1, 30), (0, 20)], 100) == [0, 2, 4]
+    assert toxicity.sampled([(1, 900), (0, 10), (0, 80)], 100) == [0, 1]
+    assert toxicity.sampled([(1, 10), (0, 80), (0, 30)], 100) == [0, 1]
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(1)
     pool = [prose(rng, 3) for _ in range(12)] + ["short", "", "  " + "É" * 19, "É" * 20]

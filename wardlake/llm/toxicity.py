@@ -263,6 +263,25 @@ def probability(model: Model, found: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * found + model.offset, -500, 500)))
 
 
+def sampled(known: list[tuple[int, int]], most: int) -> list[int]:
+    """Places of texts given as (label, size) in order: each class has its part of most characters, and what the smaller one leaves goes to the other.
+
+    A text that does not fit is passed over; a class of which none fits has its shortest text.
+    """
+    size = {label: sum(n for k, n in known if k == label) for label, _ in known}
+    out, left = [], most
+    for todo, label in zip(range(len(size), 0, -1), sorted(size, key=size.get)):
+        mine, room = [], left // todo
+        for i, (k, n) in enumerate(known):
+            if k == label and n <= room:
+                mine.append(i)
+                room -= n
+        mine = mine or [min((i for i, x in enumerate(known) if x[0] == label), key=lambda i: known[i][1])]
+        left -= sum(known[i][1] for i in mine)
+        out += mine
+    return sorted(out)
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """Fit on a bounded sample of the labelled documents whose crc32(doc_id) mod folds is not 0."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
@@ -271,12 +290,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     for label, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
         part = known.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic", "order")), "doc_id").where("text is not null").select("order", "doc_id", "toxic", "text")
+    texts = docs.select("doc_id", "text").where("text is not null")
+    sizes = texts.select("doc_id", F.length("text").alias("size")).join(F.broadcast(chosen.select("doc_id", "toxic", "order")), "doc_id").orderBy("order", "doc_id", "size").collect()
+    if not sizes:
+        return fit([], [])
+    # by length, before texts are moved
+    taken = [sizes[i] for i in sampled([(r["toxic"], r["size"]) for r in sizes], TRAIN_CHARS)]
+    picked = docs.sparkSession.createDataFrame(sorted({(r["doc_id"], r["toxic"], r["order"], r["size"]) for r in taken}), "doc_id long, toxic int, order long, size int")
+    rows = texts.withColumn("size", F.length("text")).join(F.broadcast(picked), ["doc_id", "size"]).select("order", "doc_id", "toxic", "text")
 
     def run(batches):
         sample = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: (r["order"], r["doc_id"]))
-        sizes = np.cumsum([len(r["text"]) for r in sample])
-        sample = sample[: int(np.searchsorted(sizes, TRAIN_CHARS)) + 1]
         model = fit([r["text"] for r in sample], [r["toxic"] for r in sample])
         yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), *[pa.array([x]) for x in model[1:]]], ["weights", "knee", "slope", "offset"])
 
