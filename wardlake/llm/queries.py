@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, decontam, itq, langid, linededup, mixing, secretscan, simhash, toxicity, warc
+from wardlake.llm import bpe, decontam, itq, langid, linededup, manifest, mixing, secretscan, simhash, toxicity, warc
 from wardlake.llm.common import Scratch, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,58 @@ FROM placed
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base score and mixed-context score of every document."""
     return mixing.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and check of every document; every second one has lost its line ends since the manifest was made."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(remainder(docs["doc_id"], 2) == 0, F.translate(docs["text"], "\n", "")).otherwise(docs["text"])
+    return manifest.manifest(docs, tampered).drop("source")
+
+
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE fields AS (
+    SELECT doc_id, source, lang, n_chars, text,
+        list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_prepend(ascii(c)::BIGINT, list_value(-1, -1, -1, -1, -1, -1, -1)::BIGINT[])))),
+            lambda crc, e: xor(xor(crc, greatest(e, 0)) >> 1, 3988292384 * (xor(crc, greatest(e, 0)) & 1))) AS crc
+    FROM documents
+), framed AS (
+    SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+        CASE WHEN crc % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS found
+    FROM fields
+), leaves AS (
+    SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+        sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(found) || ':' || found, '-')) AS found
+    FROM framed
+), nodes(tree, level, pos, n, hash) AS (
+    SELECT tree, 0, pos, n, leaf FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3
+), subroots AS (
+    SELECT tree, level, hash FROM nodes WHERE n = 1
+), upper_nodes(level, pos, n, hash) AS (
+    SELECT 0, tree, (SELECT count(*) FROM subroots), hash FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM upper_nodes WHERE n > 1 GROUP BY level, pos // 3
+), runs AS (
+    SELECT tree, level, pos, coalesce(string_agg(hash, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(hash, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, pos // 3 ORDER BY pos)
+), upper_runs AS (
+    SELECT level, pos, coalesce(string_agg(hash, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(hash, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM upper_nodes WHERE n > 1 WINDOW w AS (PARTITION BY level, pos // 3 ORDER BY pos)
+), steps AS (
+    SELECT f.tree, f.pos, r.level, r.l, r.r FROM leaves f JOIN runs r ON f.tree = r.tree AND r.pos = f.pos // (3 ** r.level)::BIGINT
+    UNION ALL
+    SELECT f.tree, f.pos, s.level + u.level, u.l, u.r FROM leaves f JOIN subroots s ON f.tree = s.tree JOIN upper_runs u ON u.pos = f.tree // (3 ** u.level)::BIGINT
+), listed AS (
+    SELECT tree, pos, list({'l': l, 'r': r} ORDER BY level) AS path FROM steps GROUP BY tree, pos
+), folded(tree, pos, i, h) AS (
+    SELECT tree, pos, 0, found FROM leaves
+    UNION ALL
+    SELECT f.tree, f.pos, i + 1, sha256(p.path[i + 1].l || h || p.path[i + 1].r) FROM folded f JOIN listed p ON f.tree = p.tree AND f.pos = p.pos WHERE i < len(p.path)
+)
+SELECT f.doc_id, f.leaf, s.hash AS subroot, t.hash AS root, sha256(coalesce(array_to_string(list_transform(p.path, lambda e: e.l || e.r), ''), '')) AS proof_sha256, g.h AS folded_root, g.h = t.hash AS verified
+FROM leaves f JOIN subroots s ON f.tree = s.tree JOIN (SELECT hash FROM upper_nodes WHERE n = 1) t ON true LEFT JOIN listed p ON f.tree = p.tree AND f.pos = p.pos
+JOIN folded g ON f.tree = g.tree AND f.pos = g.pos AND g.i = coalesce(len(p.path), 0)
+"""
