@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, decontam, itq, langid, linededup, manifest, mixing, secretscan, simhash, toxicity, warc
+from wardlake.llm import bpe, decontam, divergence, itq, langid, linededup, manifest, mixing, secretscan, simhash, toxicity, warc
 from wardlake.llm.common import Scratch, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,44 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of term shares between the sources of a language, and the terms that mark a source."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+    FROM documents
+), terms AS (
+    SELECT row, lang, source, unnest(found) AS term FROM docs
+), kept AS (
+    SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY lang, source, term
+), dense AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p FROM dense WINDOW g AS (PARTITION BY lang, source)
+), whole AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER g + 5 * count(*) OVER g) AS q FROM dense GROUP BY lang, term WINDOW g AS (PARTITION BY lang)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y ON x.term = y.term WHERE x.lang = a.lang AND y.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+), marks AS (
+    SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term' AS part, * FROM marks)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root, proof and check of every document; every second one has lost its line ends since the manifest was made."""
