@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, decontam, divergence, itq, langid, linededup, manifest, mixing, secretscan, simhash, toxicity, warc
+from wardlake.llm import bpe, decontam, divergence, itq, langid, linededup, manifest, mixing, pareto, secretscan, simhash, toxicity, warc
 from wardlake.llm.common import Scratch, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,6 +180,12 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
 
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix by source weights takes."""
+    return pareto.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root, proof and check of every document; every second one has lost its line ends since the manifest was made."""
