@@ -29,7 +29,7 @@ from wardlake.llm.common import Scratch, longs, mix64
 SHARD_TERMS = 1 << 17
 WAVE_BYTES = 64 << 20
 FLUSH_BYTES = 64 << 20  # dense counts that a task holds before it hands them on
-TILE = 1 << 14  # slots of a language compared in one task, of SOURCES x SOURCES sources
+TILE = 1 << 11  # slots of a language compared in one task, of SOURCES x SOURCES sources
 SOURCES = 32
 GAMMA = 2  # bits a key at each level
 SCALE, PRIOR = 1_000_000_000, 5
