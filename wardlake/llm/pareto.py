@@ -26,7 +26,7 @@ from wardlake.llm.common import Scratch
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 GROWTH = 1.1
-BIN_ROWS = 4096
+BIN_ROWS = 256
 
 
 def word_count(text: Column) -> Column:
