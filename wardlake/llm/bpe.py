@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,7 +26,7 @@ from wardlake.llm.common import by_batch, longs
 
 # fixed value: how the vocabulary's pre-tokenizer cuts texts into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TOGETHER = 4 << 20  # bytes of text whose new words are merged in one index
+TOGETHER = 1 << 20  # bytes of text, about, whose new words are merged in one index
 KNOWN_WORDS = 100_000  # words a worker keeps between batches; beyond that it starts anew
 
 
@@ -104,20 +105,20 @@ class _Occurrences:
 def merge(symbols: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of words of the given sizes, merged: the tokens of all words, and how many each word has."""
     n = len(symbols)
-    sym = np.append(symbols, -1)  # the last place stands for a word's edge
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    sym = np.append(symbols, -1).astype(np.int32)  # the last place stands for a word's edge
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     ends = sizes.cumsum()
     after[ends - 1] = n
     before[ends - sizes] = n
 
     def rank_at(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = sym[at] << 17 | sym[after[at]]
+        keys = sym[at].astype(np.int64) << 17 | sym[after[at]]
         where = np.minimum(np.searchsorted(vocab.pairs, keys), len(vocab.pairs) - 1)
         hit = vocab.pairs[where] == keys
-        return vocab.ranks[where[hit]], at[hit]
+        return vocab.ranks[where[hit]].astype(np.int32), at[hit]
 
     index = _Occurrences()
-    inner = np.flatnonzero(after[:n] != n)
+    inner = np.flatnonzero(after[:n] != n).astype(np.int32)
     index.add(*rank_at(inner))
     while index.active:
         rank, at = index.lowest()
@@ -252,6 +253,14 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(by_batch(run), "doc_id long, text string")
 
 
+def _slices(batch: pa.RecordBatch, together: int):
+    """Runs of rows of about so many bytes of text each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(sizes.cumsum() // together)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        yield batch.slice(start, end - start)
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each whole text, then decodes its ids, in one pass.
 
@@ -262,10 +271,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batch):
         codec = _codec(vocab)
-        ids = codec.encode(_as_texts(batch["text"]))
-        hashes = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
-        decoded = [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in ids]
-        return pa.record_batch([batch["doc_id"], longs([len(x) for x in ids]), pa.array(hashes), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        sizes, hashes, decoded = [], [], []
+        for part in _slices(batch, TOGETHER):
+            for x in codec.encode(_as_texts(part["text"])):
+                sizes.append(len(x))
+                hashes.append(hashlib.sha256(x.tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(x).encode()).hexdigest())
+        return pa.record_batch([batch["doc_id"], longs(sizes), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return cols.mapInArrow(by_batch(run, TOGETHER), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
