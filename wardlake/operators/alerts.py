@@ -29,15 +29,18 @@ def dedup_key(rule_id: Column, host: Column) -> Column:
     return F.md5(F.concat_ws("|", F.coalesce(rule_id, F.lit("")), F.coalesce(host, F.lit(""))))
 
 
-def recurrence(det: DataFrame, keys: list[str], window_s: int = 86_400) -> DataFrame:
-    """Earlier detections of the same key in [t - window, t), at second resolution.
+def recurrence(det: DataFrame, keys: list[str], window_s: int = 86_400, history: DataFrame | None = None) -> DataFrame:
+    """Earlier detections of the same key in [t - window, t), at second resolution; those of history(*keys, time_us) count too.
 
     Rows are counted per (key, second) first, so a key contributes at most one row per second to
     the sliding frame whatever its volume.
     """
     sec = F.floor(F.col("time_us") / tl.SECOND).cast("long")
     d = det.withColumn("_sec", sec).withColumn(tl.KEY, tl.key_column(keys))
-    per = d.groupBy(tl.KEY, "_sec").agg(F.count("*").alias("_n"))
+    seen = d.select(tl.KEY, "_sec")
+    if history is not None:
+        seen = seen.unionAll(history.select(tl.key_column(keys).alias(tl.KEY), sec.alias("_sec")))
+    per = seen.groupBy(tl.KEY, "_sec").agg(F.count("*").alias("_n"))
     from pyspark.sql import Window
 
     spread = tl.sliding(per, "_sec", window_s, window_s)
@@ -46,8 +49,8 @@ def recurrence(det: DataFrame, keys: list[str], window_s: int = 86_400) -> DataF
     return d.join(counted, [tl.KEY, "_sec"]).drop(tl.KEY, "_sec")
 
 
-def enrich_alerts(alerts: DataFrame, assets: DataFrame, iocs: DataFrame, geo: DataFrame) -> DataFrame:
-    """Criticality, recurrence, indicator matches and geography beside each alert."""
+def enrich_alerts(alerts: DataFrame, assets: DataFrame, iocs: DataFrame, geo: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Criticality, recurrence (over history too), indicator matches and geography beside each alert."""
     cand = enrich.ioc_candidates(
         ip=[F.col("host"), F.col("src_ip"), F.col("dst_ip")], domain=[F.col("host"), F.col("domain")], hash_md5=[F.col("process_hash")])
     matched = enrich.ioc_match(alerts, iocs, cand, "alert_id").groupBy(F.col("alert_id").alias("_mid")).agg(F.count("*").alias("_matches"))
@@ -56,7 +59,7 @@ def enrich_alerts(alerts: DataFrame, assets: DataFrame, iocs: DataFrame, geo: Da
     places = enrich.geo_enrich(alerts, geo, public_ips(F.col("host"), F.col("src_ip"), F.col("dst_ip")), "alert_id").select(
         F.col("alert_id").alias("_gid"), F.col("country").alias("geo_country"))
     out = enrich.asset_criticality(alerts, assets).withColumn("asset_criticality", (F.col("criticality") - 1) / 4).drop("criticality")
-    out = recurrence(out, ["rule_id", "host"])
+    out = recurrence(out, ["rule_id", "host"], history=history)
     out = out.join(matched, F.col("alert_id") == F.col("_mid"), "left").join(places, F.col("alert_id") == F.col("_gid"), "left")
     return out.withColumn("ti_boost", enrich.ti_boost(F.coalesce("_matches", F.lit(0)))).drop("_mid", "_gid", "_matches")
 

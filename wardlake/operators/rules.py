@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ast
 import base64
+import hashlib
+import json
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
@@ -104,24 +106,47 @@ class Fields:
                 continue
             if n in self.columns:
                 return n
+            if "." in n and n.split(".")[0] in self.columns:  # a nested event: structs and maps are read by path
+                return NESTED + n if NESTED + n in self.columns else n
             if self.flat.get(n) in self.columns:
                 return self.flat[n]
-            if "." in n and n.split(".")[0] in self.columns:
-                return n
         return None
 
     def __call__(self, field_name: str) -> Column | None:
         n = self.name(field_name)
-        return None if n is None else F.col(n)
+        return None if n is None else _column(n)
 
     def low(self, field_name: str) -> Column | None:
         n = self.name(field_name)
         if n is None:
             return None
-        return F.col(LOW + n) if n in self.lowered else F.lower(F.col(n).cast("string"))
+        return _column(LOW + n) if n in self.lowered else F.lower(_column(n).cast("string"))
+
+
+LOW, NESTED = "_low_", "_of_"  # copies of columns: lower-cased, taken out of a struct or map
+
+
+def _column(name: str) -> Column:
+    return F.col(f"`{name}`" if name.startswith((LOW, NESTED)) else name)
+
+
+def nested_fields(rules: Iterable[Rule], columns: Iterable[str]) -> list[str]:
+    """Paths into structs and maps that the rules read, each once."""
+    columns, found = list(columns), set()
 
+    def visit(sel, fields: Fields) -> None:
+        if isinstance(sel, Mapping):
+            found.update(n for n in (fields.name(str(key).split("|")[0]) for key in sel) if n is not None and "." in n)
+        elif isinstance(sel, (list, tuple)):
+            for one in sel:
+                visit(one, fields)
 
-LOW = "_low_"
+    for rule in rules:
+        fields = Fields(columns, rule.category)
+        for name, sel in rule.detection.items() if isinstance(rule.detection, Mapping) else ():
+            if name != "condition":
+                visit(sel, fields)
+    return sorted(found)
 
 
 @lru_cache(maxsize=100_000)
@@ -187,7 +212,7 @@ def match_selection(sel, fields: Fields) -> Column:
         return all_of(preds)
     if isinstance(sel, (list, tuple)) and sel and all(isinstance(x, Mapping) for x in sel):
         return any_of([match_selection(x, fields) for x in sel])
-    return match_keywords(sel, sorted(fields.columns))
+    return match_keywords(sel, sorted(c for c in fields.columns if not c.startswith(NESTED)))
 
 
 def match_condition(condition: str, selections: Mapping[str, Column]) -> Column:
@@ -240,6 +265,25 @@ def logsource_guard(rule: Rule) -> Column:
     return any_of(guards) if guards else F.lit(not (rule.product or rule.category or rule.service))
 
 
+_COMPILED: dict[tuple, Column] = {}
+_KEPT = 50_000  # compiled rules a driver keeps
+
+
+def content_hash(rule: Rule) -> str:
+    """The same for rules that compile to the same predicate."""
+    return hashlib.sha256(json.dumps([rule.detection, rule.category], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def compiled(rule: Rule, columns: Iterable[str], lowered: Iterable[str] = ()) -> Column:
+    """compile_rule, kept by the rule's content and the columns it was compiled for, so an unchanged rule is compiled once in a driver's life."""
+    key = (content_hash(rule), tuple(columns), tuple(lowered))
+    if key not in _COMPILED:
+        if len(_COMPILED) >= _KEPT:
+            _COMPILED.clear()
+        _COMPILED[key] = compile_rule(rule, key[1], key[2])
+    return _COMPILED[key]
+
+
 def usable(rules: Iterable[Rule], columns: Iterable[str], lowered: Iterable[str] = ()) -> list[tuple[Rule, Column]]:
     """Enabled rules with their compiled predicate; a rule that does not compile is left out."""
     cols, out = list(columns), []
@@ -247,7 +291,7 @@ def usable(rules: Iterable[Rule], columns: Iterable[str], lowered: Iterable[str]
         if not r.enabled:
             continue
         try:
-            out.append((r, compile_rule(r, cols, lowered)))
+            out.append((r, compiled(r, cols, lowered)))
         except Exception:
             continue
     return out
@@ -257,9 +301,11 @@ def detect(ev: DataFrame, rules: Iterable[Rule], per_block: int = 200) -> DataFr
     """One row per (event, matching rule), from one scan.
 
     Rules are grouped by log source: a group's predicates are skipped whole for events of other
-    sources. Text columns are lower-cased once per event. The scan emits rule numbers; titles,
+    sources. Fields of structs and maps are taken out and texts lower-cased once per event. The scan emits rule numbers; titles,
     levels and techniques are joined to the matches afterwards.
     """
+    rules, own = list(rules), ev.columns
+    ev = ev.withColumns({NESTED + path: F.col(path) for path in nested_fields((r for r in rules if r.enabled), own)})
     text = [f.name for f in ev.schema if f.dataType.typeName() == "string"]
     compiled = usable(rules, ev.columns, text)
     if not compiled:
@@ -275,7 +321,7 @@ def detect(ev: DataFrame, rules: Iterable[Rule], per_block: int = 200) -> DataFr
             blocks.append(F.when(guard, hits).otherwise(F.array().cast("array<int>")))
     numbers = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
     # outer: keeps the planner from deriving a filter that would evaluate every rule a second time
-    hit = once(ev, **{LOW + c: F.lower(c) for c in text}).select(*ev.columns, F.explode_outer(numbers).alias("_rule")).where("_rule IS NOT NULL")
+    hit = once(ev, **{LOW + c: F.lower(_column(c)) for c in text}).select(*own, F.explode_outer(numbers).alias("_rule")).where("_rule IS NOT NULL")
     about = ev.sparkSession.createDataFrame(
         [(i, r.id, r.title, r.level, fixed.SEVERITY_ID.get(r.level, 3), r.techniques, r.tactics) for i, (r, _) in enumerate(compiled)],
         "_rule int, rule_id string, rule_title string, level string, alert_severity int, technique_ids array<string>, tactic_ids array<string>")

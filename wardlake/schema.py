@@ -92,15 +92,40 @@ def flatten(ev: DataFrame) -> DataFrame:
         F.coalesce(blank(F.try_element_at("unmapped", F.lit("summary"))), F.col("finding_info.title")).alias("summary"), "raw")
 
 
-def to_flow(ev: DataFrame) -> DataFrame:
-    """Flow records of network events that have both addresses."""
+def rule_event(ev: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """A normalised event with the columns that rules, detectors and enrichment read beside its nested fields.
+
+    Rules reach structs and maps by path (process.cmd_line, network_traffic.query, unmapped.status) and the
+    short names of the process and of the source endpoint; alerts need the id, host, addresses, names and hashes.
+    The id is the sensor's, or a hash of the record where it has none.
+    """
+    def sent(name: str) -> Column:
+        return F.try_element_at("network_traffic", F.lit(name))
+
+    def of_file(name: str) -> Column:
+        return F.try_element_at("file", F.lit(name))
+
+    record_hash = F.sha2(F.concat_ws("|", "metadata_product", F.unix_micros("time").cast("string"), "raw"), 256)
+    return ev.select(
+        *(keep or []), F.coalesce(blank(F.col("metadata_uid")), record_hash).alias("id"), *EVENT, F.unix_micros("time").alias("time_us"), F.col("metadata_product").alias("source"),
+        F.col("src_endpoint.ip").alias("src_ip"), F.col("dst_endpoint.ip").alias("dst_ip"), F.col("src_endpoint.port").alias("src_port"), F.col("dst_endpoint.port").alias("dst_port"),
+        F.coalesce(blank(F.col("src_endpoint.hostname")), blank(F.col("dst_endpoint.hostname"))).alias("hostname"), F.col("actor_user.name").alias("username"),
+        *[F.col(f"process.{c}").alias(c) for c in ("name", "pid", "cmd_line", "path", "parent_pid", "parent_name", "hash_sha256")], F.col("process.name").alias("process_name"),
+        F.col("src_endpoint.ip").alias("ip"), F.col("src_endpoint.port").alias("port"), F.coalesce(sent("query"), sent("server_name"), F.col("src_endpoint.domain"), F.col("dst_endpoint.domain")).alias("domain"),
+        sent("query").alias("query"), F.coalesce(sent("url"), sent("uri")).alias("url"),
+        F.coalesce("process.hash_sha256", of_file("hash_sha256"), of_file("hash_md5")).alias("process_hash"), of_file("hash_md5").alias("hash_md5"),
+        F.coalesce(blank(F.try_element_at("unmapped", F.lit("summary"))), F.col("finding_info.title")).alias("summary"))
+
+
+def to_flow(ev: DataFrame, every: bool = False) -> DataFrame:
+    """Flow records of network events that have both addresses, or of every event, whatever it lacks."""
     def get(*names: str) -> Column:
         return F.coalesce(*[F.try_element_at("network_traffic", F.lit(n)) for n in names])
 
     src, dst = F.col("src_endpoint.ip"), F.col("dst_endpoint.ip")
     proto = F.upper(F.coalesce(get("protocol", "proto"), F.lit("TCP")))
     named = F.when(proto == "6", "TCP").when(proto == "17", "UDP").when(proto == "1", "ICMP").when(proto.rlike("^[0-9]+$"), "OTHER").otherwise(proto)
-    return ev.where((F.length(src) > 0) & (F.length(dst) > 0)).select(
+    return (ev if every else ev.where((F.length(src) > 0) & (F.length(dst) > 0))).select(
         F.col("metadata_uid").alias("flow_id"), src.alias("src_ip"), dst.alias("dst_ip"), F.coalesce("src_endpoint.port", F.lit(0)).alias("src_port"),
         F.coalesce("dst_endpoint.port", F.lit(0)).alias("dst_port"), named.alias("protocol"), F.coalesce(get("bytes_in", "resp_bytes").try_cast("long"), F.lit(0)).alias("bytes_in"),
         F.coalesce(get("bytes_out", "orig_bytes").try_cast("long"), F.lit(0)).alias("bytes_out"),
