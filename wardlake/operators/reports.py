@@ -47,6 +47,7 @@ def hunt_suggestions(det: DataFrame, rules: DataFrame, since_us: int, limit: int
 
     Activity is already aggregated per technique, so every join here is catalogue-sized, and all of it is
     ranked. top and gap_limit cut the activity to its busiest rows and the gaps to the first ones before that.
+    queries are searches to start from: the technique's events, and all of its tactic, since the given time.
     """
     act = metrics.technique_activity(det, since_us, top)
     # one suggestion per technique: its busiest row
@@ -69,7 +70,9 @@ def hunt_suggestions(det: DataFrame, rules: DataFrame, since_us: int, limit: int
         F.when(h > 0, F.concat(h.cast("string"), F.lit(" high-severity"))), F.when(r == 0, "no active rule coverage").when(r == 1, "1 active rule").otherwise(F.concat(r.cast("string"), F.lit(" active rules"))))
     out = both.withColumns({"priority": priority, "reason": F.when(F.col("_gap"), blind).otherwise(parts)})
     rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
-    return out.orderBy(rank, F.desc("count"), "technique_id").limit(limit).drop("_gap")
+    hunt = F.array(*[F.struct(label.alias("label"), query.alias("query"), F.lit(since_us).alias("since_us")) for label, query in (
+        (F.concat(F.lit("Hunt "), "technique_id", F.lit(": "), "technique_name"), F.col("technique_id")), (F.concat(F.lit("All "), "tactic", F.lit(" activity")), F.col("tactic")))])
+    return out.withColumn("queries", hunt).orderBy(rank, F.desc("count"), "technique_id").limit(limit).drop("_gap")
 
 
 def report_detections(det: DataFrame, start_us: int, end_us: int, limit: int = 500) -> tuple[DataFrame, DataFrame]:

@@ -50,7 +50,7 @@ def coverage_detected(lake):
 
 _FAMS = ", ".join(f"('{f}', {i})" for i, f in enumerate(fixed.HEATMAP_FAMILIES))
 _COLS = ", ".join(f"('{t}', '{lab}', {tot}, {i})" for i, (t, lab, tot) in enumerate(fixed.HEATMAP_COLUMNS))
-_HEAT = f"""SELECT f.family, f.row, c.label, c.col, least(count(DISTINCT d.technique_id), c.total) AS covered, c.total
+_HEAT = f"""SELECT f.family, f.row, c.label, c.col, least(count(DISTINCT d.technique_id), c.total) AS covered, count(DISTINCT d.technique_id) AS seen, c.total
  FROM (VALUES {_FAMS}) f(family, row) CROSS JOIN (VALUES {_COLS}) c(tactic, label, total, col) LEFT JOIN (SELECT DISTINCT technique_id, tactic FROM v_detections) d ON d.tactic = c.tactic AND starts_with(d.technique_id, f.family)
  GROUP BY f.family, f.row, c.label, c.col, c.total"""
 
@@ -128,7 +128,7 @@ _TECH = """(SELECT id, enabled, logsource_product, logsource_service, logsource_
 _SRC = """CASE WHEN logsource_product LIKE '%zeek%' OR logsource_service IN ('dns','http','ssl','conn') THEN 'zeek' WHEN logsource_product LIKE '%suricata%' OR logsource_category IN ('ids','firewall') THEN 'suricata' ELSE 'wazuh' END"""
 
 
-@query("coverage_rules", f"SELECT least(count(DISTINCT technique), 105) AS covered, CAST(105 AS BIGINT) AS total, round(least(count(DISTINCT technique), 105) / 105 * 100, 1) AS pct FROM {_TECH} AND enabled")
+@query("coverage_rules", f"SELECT least(count(DISTINCT technique), 105) AS covered, count(DISTINCT technique) AS techniques, CAST(105 AS BIGINT) AS total, round(least(count(DISTINCT technique), 105) / 105 * 100, 1) AS pct FROM {_TECH} AND enabled")
 def coverage_rules(lake):
     return m.coverage_rules(lake.rules)
 

@@ -52,19 +52,20 @@ _RT = f"(SELECT {_LIVE} AS live, trim(unnest(CAST(json(technique_ids) AS VARCHAR
 
 
 @query("hunt_suggestions", f"""WITH act0 AS (SELECT technique_id, technique_name, tactic, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS c, count(*) FILTER (WHERE severity = 'high') AS h FROM v_detections
-  WHERE technique_id IS NOT NULL AND time_us >= {NOW_US - 3 * DAY_US} GROUP BY technique_id, technique_name, tactic, tactic_id ORDER BY n DESC, technique_id, tactic LIMIT 50),
+  WHERE technique_id IS NOT NULL AND time_us >= {NOW_US - 3 * DAY_US} GROUP BY technique_id, technique_name, tactic, tactic_id),
  act AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY technique_id ORDER BY n DESC, tactic DESC) AS rn FROM act0) t WHERE rn = 1), rc AS (SELECT technique, count(*) AS r FROM {_RT} AND live GROUP BY 1),
- gap AS (SELECT technique FROM {_RT} GROUP BY 1 HAVING NOT bool_or(live)), pure AS (SELECT technique FROM gap WHERE technique NOT IN (SELECT technique_id FROM act) ORDER BY 1 LIMIT 5),
+ gap AS (SELECT technique FROM {_RT} GROUP BY 1 HAVING NOT bool_or(live)), pure AS (SELECT technique FROM gap WHERE technique NOT IN (SELECT technique_id FROM act)),
  b AS (SELECT technique_id, technique_name, tactic, n AS count, c AS critical, h AS high, coalesce(r, 0) AS rule_count, gap.technique IS NOT NULL AS g FROM act LEFT JOIN rc ON rc.technique = technique_id LEFT JOIN gap ON gap.technique = technique_id
   UNION ALL SELECT technique, technique, 'Unknown', 0, 0, 0, 0, true FROM pure)
  SELECT technique_id, technique_name, tactic, count, critical, high, rule_count, CASE WHEN critical > 0 OR (count > 0 AND rule_count = 0) THEN 'high' WHEN high > 0 OR count > 0 THEN 'medium' ELSE 'low' END AS priority,
  CASE WHEN g AND count > 0 THEN concat(count, ' detection', CASE WHEN count <> 1 THEN 's' ELSE '' END, ' in window with no active rule coverage — manual hunting recommended') WHEN g THEN 'No active Sigma rule coverage — technique is a blind spot; manual hunting required'
   ELSE concat_ws('; ', CASE WHEN count > 0 THEN concat(count, ' detection', CASE WHEN count <> 1 THEN 's' ELSE '' END, ' in analysis window') END, CASE WHEN critical > 0 THEN concat(critical, ' critical-severity') END, CASE WHEN high > 0 THEN concat(high, ' high-severity') END,
-  CASE WHEN rule_count = 0 THEN 'no active rule coverage' WHEN rule_count = 1 THEN '1 active rule' ELSE concat(rule_count, ' active rules') END) END AS reason FROM b
+  CASE WHEN rule_count = 0 THEN 'no active rule coverage' WHEN rule_count = 1 THEN '1 active rule' ELSE concat(rule_count, ' active rules') END) END AS reason, concat('Hunt ', technique_id, ': ', technique_name, '|', technique_id, '|All ', tactic, ' activity|', tactic) AS queries FROM b
  ORDER BY CASE WHEN critical > 0 OR (count > 0 AND rule_count = 0) THEN 0 WHEN high > 0 OR count > 0 THEN 1 ELSE 2 END, count DESC, technique_id LIMIT 16""")
 def hunt_suggestions(lake):
     rules = lake.rules.withColumn("enabled", F.expr(_LIVE))
-    return rp.hunt_suggestions(lake.detections, rules, NOW_US - 3 * DAY_US, limit=16, top=50, gap_limit=5)  # the two published limits, as in the SQL
+    out = rp.hunt_suggestions(lake.detections, rules, NOW_US - 3 * DAY_US, limit=16)
+    return out.withColumn("queries", F.array_join(F.transform("queries", lambda q: F.concat_ws("|", q["label"], q["query"])), "|"))
 
 
 _PER = f"(SELECT * FROM v_detections WHERE time_us BETWEEN {NOW_US - 8 * DAY_US} AND {NOW_US})"
