@@ -106,29 +106,3 @@ def stale(det: DataFrame, cutoff_us: int) -> DataFrame:
     """Active detections whose (rule, host) has not fired since the cutoff (NOT EXISTS)."""
     fresh = det.where((F.col("time_us") >= cutoff_us) & F.col("rule_name").isNotNull()).select("rule_name", "host").distinct()
     return det.where((F.col("status") == "active") & F.col("rule_name").isNotNull() & (F.col("time_us") < cutoff_us)).join(fresh, ["rule_name", "host"], "left_anti")
-
-
-def route(alerts: DataFrame, channels: DataFrame) -> DataFrame:
-    """(alert, channel) deliveries: enabled channels at or above their floor whose routing rule matches.
-
-    A channel rule names one of a few fields. Alerts are first reduced to their distinct routing
-    profiles (severity, host, tactic, rule), channels are matched to profiles, and only then are
-    alerts joined to the channels of their profile by equality.
-    """
-    profile = ["severity", "host", "tactic", "rule_name"]
-    p = alerts.select(*profile).distinct().withColumn("_rank", scoring.level_rank(F.col("severity")))
-    c = channels.where("enabled").withColumn("_floor", scoring.level_rank(F.col("min_severity")))
-    # ranks are 0..5: each channel is filed under every rank it accepts, giving an equality join
-    c = c.withColumn("_rank", F.explode(F.sequence(F.col("_floor"), F.lit(5))))
-    value = F.coalesce(F.when(F.col("rule_field") == "host", F.col("host")).when(F.col("rule_field") == "tactic", F.col("tactic"))
-                       .when(F.col("rule_field") == "severity", F.col("severity")).when(F.col("rule_field") == "rule_name", F.col("rule_name")), F.lit(""))
-    v, w = F.lower(value), F.lower("rule_value")
-    ok = F.col("rule_field").isNull() | F.coalesce(
-        F.when(F.col("rule_op") == "eq", v == w).when(F.col("rule_op") == "ne", v != w).when(F.col("rule_op") == "contains", F.contains(v, w))
-        .when(F.col("rule_op") == "in", F.array_contains(F.split(w, ","), v)).when(F.col("rule_op") == "regex", F.rlike(value, F.col("rule_value"))), F.lit(False))
-    pairs = p.join(c.withColumnRenamed("id", "channel_id"), "_rank").where(ok).select(*profile, "channel_id")
-    on = None
-    for f in profile:
-        eq = F.col(f"a.{f}").eqNullSafe(F.col(f"p.{f}"))
-        on = eq if on is None else on & eq
-    return alerts.alias("a").join(pairs.alias("p"), on).select("a.*", "p.channel_id")

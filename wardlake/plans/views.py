@@ -244,13 +244,27 @@ SELECT n_nationkey AS id, concat('45.33.32.', {_s('n_nationkey * 8')}, '/29') AS
 FROM nation WHERE n_nationkey % 4 <> 3"""
 
 
+# per nation in turn: no rules, then one or more rules of each kind, broken ones included; N stands for the nation
+ROUTING = [
+    None,
+    '[{"field":"host","operator":"eq","value":"HOST-N"}]',
+    '[{"field":"tactic","operator":"contains","value":"Access"}]',
+    '[{"field":"technique_id","operator":"in","value":["t1078","T1021.002"]},{"field":"host","operator":"eq","value":"host-N"}]',
+    '[{"field":"rule_name","operator":"regex","value":"^RULE-[1-3]$"}]',
+    '[{"field":"severity","operator":"ne","value":"Medium"}]',
+    '[{"field":"host","operator":"regex","value":"(["},{"field":"colour","operator":"ne","value":"x"},{"field":"technique_id","operator":"in","value":"T1078"}]',
+    '[{"field":"technique_id","operator":"ne","value":"t1003"}]',
+]
+
+
 def _channels(d: Dialect) -> str:
+    rules = " ".join(f"WHEN {i} THEN replace('{r}', 'N\"', concat({_s('n_nationkey')}, '\"'))" for i, r in enumerate(ROUTING) if r)
+    if d.spark:  # the names of views are filled in by format
+        rules = rules.replace("{", "{{").replace("}", "}}")
     return f"""
 SELECT n_nationkey AS id, concat('channel-', {_s('n_nationkey')}) AS name, n_nationkey % 5 <> 0 AS enabled,
   CASE n_nationkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS min_severity,
-  CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'host' ELSE 'tactic' END AS rule_field,
-  CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'eq' ELSE 'contains' END AS rule_op,
-  CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('host-', {_s('n_nationkey')}) ELSE 'Access' END AS rule_value
+  CASE n_nationkey % {len(ROUTING)} {rules} END AS routing_rules
 FROM nation"""
 
 
