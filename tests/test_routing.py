@@ -97,3 +97,17 @@ def test_many_tests_of_one_field_span_blocks(spark):
     alerts = [(i, "high", f"host-{i}", "r", [], []) for i in range(40)]
     channels = [(i, True, "low", json.dumps([{"field": "host", "operator": "contains", "value": f"-{i % 40}"}])) for i in range(600)]
     assert got(spark, alerts, channels) == loop(alerts, channels)
+
+
+def test_indicator_types_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    from wardlake.operators import enrich
+
+    md5, sha = "a" * 32, "b" * 64
+    rows = [(1, "h1", "1.2.3.4", None, "evil.example", sha, None, " http://x/y "), (2, None, "", "9.9.9.9", None, md5, None, None), (3, "", None, None, " ", "short", sha, "")]
+    ev = spark.createDataFrame(rows, "id int, hostname string, src_ip string, dst_ip string, domain string, process_hash string, hash_sha256 string, url string")
+    found = ev.select("id", F.explode(enrich.row_candidates(ev)).alias("c")).select("id", "c.*").collect()
+    assert {tuple(r) for r in found} == {
+        (1, "ip", "h1"), (1, "domain", "h1"), (1, "ip", "1.2.3.4"), (1, "domain", "evil.example"), (1, "url", "http://x/y"), (1, "hash_sha256", sha),
+        (2, "ip", "9.9.9.9"), (2, "hash_md5", md5), (3, "hash_sha256", sha)}

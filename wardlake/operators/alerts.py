@@ -17,12 +17,13 @@ DAY_US = 86_400 * tl.SECOND
 
 
 def rule_alerts(ev: DataFrame, rule_list: Iterable[rules.Rule]) -> DataFrame:
-    """Alert rows of every (event, rule) match."""
+    """Alert rows of every (event, rule) match; addresses, names, hashes and URLs that the events carry go along."""
     hits = rules.detect(ev, rule_list)
+    also = [F.col(c) if c in ev.columns else F.lit(None).cast("string").alias(c) for c in ("url", "hash_md5", "hash_sha256")]
     return hits.select(
         F.md5(F.concat_ws("|", F.col("id").cast("string"), "rule_id")).alias("alert_id"), F.col("id").alias("event_id"), "time_us",
         "rule_id", "rule_title", "level", F.col("alert_severity").alias("severity_id"), "technique_ids", "tactic_ids",
-        F.coalesce("hostname", "dst_ip", F.lit("")).alias("host"), "src_ip", "dst_ip", "domain", "process_hash")
+        F.coalesce("hostname", "dst_ip", F.lit("")).alias("host"), "src_ip", "dst_ip", "domain", "process_hash", *also)
 
 
 def dedup_key(rule_id: Column, host: Column) -> Column:
@@ -51,9 +52,7 @@ def recurrence(det: DataFrame, keys: list[str], window_s: int = 86_400, history:
 
 def enrich_alerts(alerts: DataFrame, assets: DataFrame, iocs: DataFrame, geo: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Criticality, recurrence (over history too), indicator matches and geography beside each alert."""
-    cand = enrich.ioc_candidates(
-        ip=[F.col("host"), F.col("src_ip"), F.col("dst_ip")], domain=[F.col("host"), F.col("domain")], hash_md5=[F.col("process_hash")])
-    matched = enrich.ioc_match(alerts, iocs, cand, "alert_id").groupBy(F.col("alert_id").alias("_mid")).agg(F.count("*").alias("_matches"))
+    matched = enrich.ioc_match(alerts, iocs, enrich.row_candidates(alerts, "host"), "alert_id").groupBy(F.col("alert_id").alias("_mid")).agg(F.count("*").alias("_matches"))
     from wardlake.functions.net import public_ips
 
     places = enrich.geo_enrich(alerts, geo, public_ips(F.col("host"), F.col("src_ip"), F.col("dst_ip")), "alert_id").select(

@@ -86,23 +86,18 @@ def suppress_hits(lake):
     return increment_hits(lake.suppressions, hit.select(F.col("suppression_id").alias("id")), "id", "hit_count").select("id", "hit_count")
 
 
-_CAND = "(SELECT DISTINCT id, ioc_type, value FROM (SELECT id, 'ip' AS ioc_type, src_ip AS value FROM v_events UNION ALL SELECT id, 'ip', dst_ip FROM v_events UNION ALL SELECT id, 'domain', domain FROM v_events UNION ALL SELECT id, 'domain', hostname FROM v_events UNION ALL SELECT id, 'ip', hostname FROM v_events UNION ALL SELECT id, 'hash_md5', process_hash FROM v_events) c0 WHERE length(value) > 0)"
+_CAND = "(SELECT DISTINCT id, ioc_type, value FROM (SELECT id, 'ip' AS ioc_type, src_ip AS value FROM v_artifacts UNION ALL SELECT id, 'ip', dst_ip FROM v_artifacts UNION ALL SELECT id, 'domain', domain FROM v_artifacts UNION ALL SELECT id, 'domain', hostname FROM v_artifacts UNION ALL SELECT id, 'ip', hostname FROM v_artifacts UNION ALL SELECT id, 'hash_md5', process_hash FROM v_artifacts UNION ALL SELECT id, 'hash_sha256', hash_sha256 FROM v_artifacts UNION ALL SELECT id, 'url', url FROM v_artifacts) c0 WHERE length(value) > 0)"
 _MATCH = f"(SELECT c.id AS alert_id, i.id AS ioc_id, c.ioc_type, c.value FROM {_CAND} c JOIN v_iocs i ON i.is_active AND i.ioc_type = c.ioc_type AND i.value = c.value)"
 
 
-def _candidates():
-    c = F.col
-    return enrich.ioc_candidates(ip=[c("hostname"), c("src_ip"), c("dst_ip")], domain=[c("hostname"), c("domain")], hash_md5=[c("process_hash")])
-
-
 @query("ioc_match", f"SELECT alert_id, ioc_id, ioc_type, value FROM {_MATCH} t")
 def ioc_match(lake):
-    return enrich.ioc_match(lake.events, lake.iocs, _candidates()).select("alert_id", "ioc_id", "ioc_type", "value")
+    return enrich.ioc_match(lake.artifacts, lake.iocs, enrich.row_candidates(lake.artifacts)).select("alert_id", "ioc_id", "ioc_type", "value")
 
 
 @query("ti_boost", f"SELECT alert_id, count(*) AS matches, least(count(*) * 1.5, 3.0)::DOUBLE AS boost FROM {_MATCH} t GROUP BY 1")
 def ti_boost(lake):
-    m = enrich.ioc_match(lake.events, lake.iocs, _candidates()).groupBy("alert_id").agg(F.count("*").alias("matches"))
+    m = enrich.ioc_match(lake.artifacts, lake.iocs, enrich.row_candidates(lake.artifacts)).groupBy("alert_id").agg(F.count("*").alias("matches"))
     return m.withColumn("boost", enrich.ti_boost(F.col("matches")))
 
 
@@ -124,15 +119,15 @@ def risk_score(lake):
 _ALERT_SQL = f"""(SELECT md5(concat(CAST(id AS STRING), '|', rule_id)) AS alert_id, id AS event_id, time_us, rule_id, sev AS severity_id, coalesce(hostname, dst_ip, '') AS host FROM ({DETECT_SQL}) d0)"""
 
 
-@query("enrich_alerts", f"""WITH al AS (SELECT a.*, e.src_ip, e.dst_ip, e.domain, e.process_hash FROM {_ALERT_SQL} a JOIN v_events e ON e.id = a.event_id),
+@query("enrich_alerts", f"""WITH al AS (SELECT a.*, e.src_ip, e.dst_ip, e.domain, e.process_hash, e.hash_sha256, e.url FROM {_ALERT_SQL} a JOIN v_artifacts e ON e.id = a.event_id),
  ac AS (SELECT hostname, max(criticality) AS c FROM v_assets GROUP BY 1), ip AS (SELECT u AS ip, max(criticality) AS c FROM (SELECT unnest(ip_addresses) AS u, criticality FROM v_assets) t GROUP BY 1),
- cand AS (SELECT DISTINCT alert_id, ty, value FROM (SELECT alert_id, 'ip' AS ty, host AS value FROM al UNION ALL SELECT alert_id, 'ip', src_ip FROM al UNION ALL SELECT alert_id, 'ip', dst_ip FROM al UNION ALL SELECT alert_id, 'domain', host FROM al UNION ALL SELECT alert_id, 'domain', domain FROM al UNION ALL SELECT alert_id, 'hash_md5', process_hash FROM al) c0),
+ cand AS (SELECT DISTINCT alert_id, ty, value FROM (SELECT alert_id, 'ip' AS ty, host AS value FROM al UNION ALL SELECT alert_id, 'ip', src_ip FROM al UNION ALL SELECT alert_id, 'ip', dst_ip FROM al UNION ALL SELECT alert_id, 'domain', host FROM al UNION ALL SELECT alert_id, 'domain', domain FROM al UNION ALL SELECT alert_id, 'hash_md5', process_hash FROM al UNION ALL SELECT alert_id, 'hash_sha256', hash_sha256 FROM al UNION ALL SELECT alert_id, 'url', url FROM al) c0),
  m AS (SELECT alert_id, count(*) AS n FROM cand JOIN v_iocs i ON i.is_active AND i.ioc_type = ty AND i.value = cand.value GROUP BY 1)
  SELECT al.alert_id, (coalesce(ac.c, ip.c, 3) - 1) / 4 AS asset_criticality, count(*) OVER (PARTITION BY rule_id, host ORDER BY time_us // 1000000 RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS recurrence,
   CAST(least(coalesce(m.n, 0) * 1.5, 3.0) AS DOUBLE) AS ti_boost, g.country AS geo_country
  FROM al LEFT JOIN ac ON ac.hostname = al.host LEFT JOIN ip ON ip.ip = al.host LEFT JOIN m ON m.alert_id = al.alert_id LEFT JOIN v_geo g ON al.dst_ip LIKE '45.33.32.%' AND CAST(split_part(al.dst_ip, '.', 4) AS INT) // 8 = g.id""")
 def enrich_alerts(lake):
-    out = al.enrich_alerts(settle(al.rule_alerts(lake.events, RULES)), lake.assets, lake.iocs, lake.geo)
+    out = al.enrich_alerts(settle(al.rule_alerts(lake.artifacts, RULES)), lake.assets, lake.iocs, lake.geo)
     return out.select("alert_id", "asset_criticality", "recurrence", "ti_boost", "geo_country")
 
 

@@ -72,7 +72,7 @@ def recent_detections(lake):
 # ------------------------------------------------------------------------------------- indicators
 
 
-@query("ioc_validate", """SELECT id, ioc_type, valid FROM (SELECT id, ioc_type, CASE ioc_type WHEN 'ip' THEN regexp_full_match(value, '([0-9]{1,3}\\.){3}[0-9]{1,3}') AND id % 9 <> 0 WHEN 'hash_md5' THEN id % 9 <> 0
+@query("ioc_validate", """SELECT id, ioc_type, valid FROM (SELECT id, ioc_type, CASE ioc_type WHEN 'ip' THEN regexp_full_match(value, '([0-9]{1,3}\\.){3}[0-9]{1,3}') AND id % 9 <> 0 WHEN 'hash_md5' THEN id % 9 <> 0 WHEN 'hash_sha256' THEN id % 9 <> 0 WHEN 'url' THEN id % 9 <> 0
  WHEN 'domain' THEN regexp_full_match(value, '([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\\.)+[A-Za-z]{2,}') AND id % 9 <> 0 END AS valid FROM v_iocs) t""")
 def ioc_validate(lake):
     from wardlake.functions.indicators import is_valid_ioc

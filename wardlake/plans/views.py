@@ -169,8 +169,17 @@ SELECT c_custkey AS id, concat('host-', {_s('c_custkey')}) AS hostname,
 FROM customer"""
 
 
+def _artifacts(d: Dialect) -> str:
+    sha = "sha2({}, 256)" if d.spark else "sha256({})"
+    return f"""
+SELECT *, CASE WHEN k % 20 = 9 THEN concat('http://svc', {_s('k')}, '.example.com/get') END AS url,
+  CASE WHEN k % 4 = 1 THEN {sha.format(f"concat('image-', {_s('k')})")} END AS hash_sha256
+FROM v_events"""
+
+
 def _iocs(d: Dialect) -> str:
     host = d.rx("url", "^https?://([^/:?#]+)", 1)
+    sha = "sha2({}, 256)" if d.spark else "sha256({})"
     return f"""
 SELECT id, ioc_type, value, CASE WHEN confidence >= 76 THEN 'critical' WHEN confidence >= 51 THEN 'high' WHEN confidence >= 26 THEN 'medium' ELSE 'low' END AS severity,
   CAST(confidence AS INT) AS confidence, feed, is_active, created_us, expires_us, hit_count, last_hit_us
@@ -189,6 +198,14 @@ FROM (
   UNION ALL
   SELECT 2000000 + page_id, 'hash_md5', md5(concat('binary-', {_s('page_id')})),
     page_id * 17 % 101, 'web-feed', page_id % 7 <> 0, CAST(1700000000000000 + page_id * 3600000000 AS BIGINT), NULL, page_id % 3, NULL
+  FROM pages
+  UNION ALL
+  SELECT 3000000 + page_id, 'hash_sha256', {sha.format(f"concat('image-', {_s('page_id')})")},
+    page_id * 19 % 101, 'web-feed', page_id % 7 <> 0, CAST(1700000000000000 + page_id * 3600000000 AS BIGINT), NULL, page_id % 3, NULL
+  FROM pages
+  UNION ALL
+  SELECT 4000000 + page_id, 'url', concat('http://svc', {_s('page_id')}, '.example.com/get'),
+    page_id * 23 % 101, 'web-feed', page_id % 7 <> 0, CAST(1700000000000000 + page_id * 3600000000 AS BIGINT), NULL, page_id % 3, NULL
   FROM pages) c0"""
 
 
@@ -311,7 +328,7 @@ FROM (SELECT id, time_us, k, src_ip, {proc} AS name, {arg} AS arg, {d.pick(FILE_
 
 VIEW_BUILDERS = {
     "v_events": _events, "v_flows": _flows, "v_detections": _detections, "v_rules": _rules, "v_incidents": _incidents,
-    "v_assets": _assets, "v_iocs": _iocs, "v_http": _http, "v_dns": _dns, "v_suppressions": _suppressions,
+    "v_assets": _assets, "v_iocs": _iocs, "v_artifacts": _artifacts, "v_http": _http, "v_dns": _dns, "v_suppressions": _suppressions,
     "v_endpoint": _endpoint, "v_geo": _geo, "v_channels": _channels, "v_agents": _agents, "v_accounts": _accounts,
 }
 _WORD = re.compile(r"\bv_[a-z]+\b")
