@@ -7,10 +7,8 @@ import ipaddress
 import operator
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardlake import fixed
 
@@ -55,18 +53,62 @@ def v4_bounds(network: str) -> tuple[int, int] | None:
     return (int(net.network_address), int(net.broadcast_address)) if net.version == 4 else None
 
 
-@F.pandas_udf(T.BooleanType())
-def _in_v6(ip: pd.Series, networks: pd.Series) -> pd.Series:
-    nets = {text: [ipaddress.ip_network(n, strict=False) for n in text.split(",")] for text in networks.unique()}
+def _bits(n: Column) -> Column:
+    """BIGINT with the n leading bits of 64 set."""
+    return F.when(n <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), (F.lit(64) - n).cast("int")))
 
-    def one(addr, text):
-        try:
-            a = ipaddress.ip_address(addr)
-        except ValueError:
-            return False
-        return any(a.version == n.version and a in n for n in nets[text])
 
-    return pd.Series([one(a, t) for a, t in zip(ip, networks)])
+def masked(value: Column, prefix: Column) -> Column:
+    """The address with all but its leading ``prefix`` bits cleared; IPv4 prefixes are counted as in the network's text."""
+    bits = prefix + F.when(value["version"] == 4, F.lit(96)).otherwise(F.lit(0))
+    return F.struct(value["version"].alias("version"), value["hi"].bitwiseAND(_bits(F.least(bits, F.lit(64)))).alias("hi"),
+                    value["lo"].bitwiseAND(_bits(bits - 64)).alias("lo"))
+
+
+def _bind(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_LONGEST = 45  # characters of the longest way to write an address
+
+
+def _v6_groups(text: Column) -> Column:
+    """Eight groups of hex digits of an IPv6 text, or NULL; a dotted tail counts as two groups, a zone after % is no part of the address."""
+    def dotted(t: Column) -> Column:
+        tail = F.substring_index(t, ":", -1)
+        head = F.left(t, F.length(t) - F.length(tail))
+        n = ipv4_number(tail)
+        return F.when(~tail.contains("."), t).when(n.isNotNull(), F.concat(head, F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(n % 65536))))
+
+    def parts(t: Column) -> Column:
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
+
+    def grouped(t: Column) -> Column:
+        left = F.substring_index(t, "::", 1)
+        l, r = parts(left), parts(F.substr(t, F.length(left) + 3))
+        zeros = F.lit(8) - F.size(l) - F.size(r)
+        return F.when(~t.contains("::"), F.split(t, ":")).when(zeros >= 1, F.concat(l, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), r))
+
+    plain = F.lower(F.substring_index(text, "%", 1))
+    groups = _bind(F.when(plain.contains(":") & (F.length(plain) <= _LONGEST), dotted(plain)), grouped)
+    return _bind(groups, lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), g))
+
+
+def address(ip: Column) -> Column:
+    """struct(version, hi, lo) of an address text, NULL for anything else; an IPv4 address lies in the low 32 bits of lo."""
+    def half(g: Column, start: int) -> Column:
+        digits = F.array_join(F.transform(F.slice(g, start, 4), lambda x: F.lpad(x, 4, "0")), "")
+        return F.conv(digits, 16, -10).cast("long")
+
+    # either form is read only where the text can be one
+    v4 = _bind(F.when(~ip.contains(":"), ipv4_number(ip)), lambda n: F.when(n.isNotNull(), F.struct(F.lit(4).alias("version"), F.lit(0).cast("long").alias("hi"), n.alias("lo"))))
+    v6 = _bind(F.when(ip.contains(":"), _v6_groups(ip)), lambda g: F.when(g.isNotNull(), F.struct(F.lit(6).alias("version"), half(g, 1).alias("hi"), half(g, 5).alias("lo"))))
+    return F.coalesce(v4, v6)
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >= 1 << 63 else n
 
 
 def in_networks(ip: Column, networks: list[str]) -> Column:
@@ -75,17 +117,26 @@ def in_networks(ip: Column, networks: list[str]) -> Column:
     v6 = []
     for n in networks:
         try:
-            if ipaddress.ip_network(n, strict=False).version == 6:
-                v6.append(n)
+            net = ipaddress.ip_network(n, strict=False)
         except ValueError:
             continue
+        if net.version == 6:
+            v6.append(net)
     preds = []
     if v4:
         # bound once, so the text is parsed once per row however many networks there are
         preds.append(F.exists(F.array(ipv4_number(ip)), lambda n: any_of([n.between(lo, hi) for lo, hi in v4])))
     if v6:
-        # only addresses with a colon leave the JVM
-        preds.append(F.when(ip.contains(":"), _in_v6(ip, F.lit(",".join(v6)))))
+        def inside(a: Column, net: ipaddress.IPv6Network) -> Column:
+            base, mask = int(net.network_address), int(net.netmask)
+            hi = a["hi"].bitwiseAND(F.lit(_signed(mask >> 64))) == F.lit(_signed(base >> 64))
+            if net.prefixlen <= 64:
+                return hi
+            low = (1 << 64) - 1
+            return hi & (a["lo"].bitwiseAND(F.lit(_signed(mask & low))) == F.lit(_signed(base & low)))
+
+        # only texts with a colon are read as IPv6
+        preds.append(F.exists(F.array(F.when(ip.contains(":"), address(ip))), lambda a: any_of([inside(a, n) for n in v6])))
     return F.coalesce(any_of([F.coalesce(p, F.lit(False)) for p in preds]), F.lit(False))
 
 
@@ -97,15 +148,25 @@ def is_public_v4(ip: Column) -> Column:
     return is_ipv4(ip) & ~in_networks(ip, fixed.NON_PUBLIC_V4)
 
 
+def is_public_v6(ip: Column) -> Column:
+    """Global unicast space without the blocks set aside in it; IPv4 written as IPv6 is not in it."""
+    return in_networks(ip, fixed.GLOBAL_V6) & (~in_networks(ip, fixed.NON_PUBLIC_V6) | in_networks(ip, fixed.PUBLIC_WITHIN_V6))
+
+
+def is_public(ip: Column) -> Column:
+    return F.when(F.coalesce(ip.contains(":"), F.lit(False)), is_public_v6(ip)).otherwise(is_public_v4(ip))
+
+
 def public_ips(*fields: Column) -> Column:
-    """Distinct globally routable addresses in field order."""
+    """Distinct globally routable addresses, IPv4 and IPv6, in field order and as they are written."""
     trimmed = F.transform(F.array(*fields), lambda x: F.trim(x))
-    return F.array_distinct(F.filter(trimmed, is_public_v4))
+    return F.array_distinct(F.filter(trimmed, is_public))
 
 
-def network_bounds(network: Column) -> tuple[Column, Column]:
-    """Numeric bounds of a 'a.b.c.d/len' column."""
-    base = ipv4_number(F.substring_index(network, "/", 1))
-    size = F.pow(F.lit(2), F.lit(32) - F.substring_index(network, "/", -1).try_cast("int")).cast("long")
-    low = F.floor(base / size).cast("long") * size
-    return low, low + size - 1
+def network(text: Column) -> tuple[Column, Column]:
+    """(address, prefix length) of an 'address/length' column, host bits cleared; a missing length is the whole address, a bad network gives NULLs."""
+    base = address(F.substring_index(F.trim(text), "/", 1))
+    whole = F.when(base["version"] == 4, 32).otherwise(128)
+    length = F.when(text.contains("/"), F.substring_index(F.trim(text), "/", -1).try_cast("int")).otherwise(whole)
+    length = F.when(length.between(0, whole), length)
+    return F.when(length.isNotNull() & base.isNotNull(), masked(base, length)), length

@@ -101,11 +101,13 @@ def ti_boost(lake):
     return m.withColumn("boost", enrich.ti_boost(F.col("matches")))
 
 
-@query("geoip_enrich", "SELECT e.id AS alert_id, e.dst_ip AS ip, g.country, g.country_code FROM v_events e JOIN v_geo g ON e.dst_ip LIKE '45.33.32.%' AND CAST(split_part(e.dst_ip, '.', 4) AS INT) // 8 = g.id")
+@query("geoip_enrich", """SELECT e.id AS alert_id, CASE WHEN g.id IS NULL THEN e.peer_ip ELSE e.dst_ip END AS ip, coalesce(g.country, h.country) AS country, coalesce(g.country_code, h.country_code) AS country_code
+ FROM v_artifacts e LEFT JOIN v_geo g ON e.dst_ip LIKE '45.33.32.%' AND CAST(split_part(e.dst_ip, '.', 4) AS INT) // 8 = g.id LEFT JOIN v_geo h ON h.network = concat('2a00:', e.k, '::/32') AND e.peer_ip IS NOT NULL
+ WHERE g.id IS NOT NULL OR h.id IS NOT NULL""")
 def geoip_enrich(lake):
     from wardlake.functions.net import public_ips
 
-    return enrich.geo_enrich(lake.events, lake.geo, public_ips(F.col("hostname"), F.col("src_ip"), F.col("dst_ip"))).select("alert_id", "ip", "country", "country_code")
+    return enrich.geo_enrich(lake.artifacts, lake.geo, public_ips(F.col("hostname"), F.col("src_ip"), F.col("dst_ip"), F.col("peer_ip"))).select("alert_id", "ip", "country", "country_code")
 
 
 @query("risk_score", """SELECT id, CAST(round_even(least(((CAST(severity_id AS DOUBLE) - 1) / 4 * 0.60 + least(value / 487.0::DOUBLE, 1.0) * 0.25 + least((k % 13) / 10.0::DOUBLE, 1.0) * 0.15) * 10.0

@@ -79,10 +79,10 @@ def is_internal_ip(lake):
     return lake.flows.select("flow_id", net.is_internal(F.col("src_ip")).alias("src_internal"), net.is_internal(F.col("dst_ip")).alias("dst_internal"))
 
 
-@query("public_ips", """SELECT id, concat_ws(',', CASE WHEN dst_ip LIKE '45.%' THEN dst_ip END) AS ips FROM v_events""")
+@query("public_ips", """SELECT id, concat_ws(',', CASE WHEN dst_ip LIKE '45.%' THEN dst_ip END, peer_ip) AS ips FROM v_artifacts""")
 def public_ips(lake):
-    ips = net.public_ips(F.col("hostname"), F.col("src_ip"), F.col("dst_ip"), F.col("dst_ip"))
-    return lake.events.select("id", F.array_join(ips, ",").alias("ips"))
+    ips = net.public_ips(F.col("hostname"), F.col("src_ip"), F.col("dst_ip"), F.col("dst_ip"), F.col("peer_ip"))
+    return lake.artifacts.select("id", F.array_join(ips, ",").alias("ips"))
 
 
 @query("sigma_cidr", "SELECT id, dst_ip FROM v_events WHERE CAST(split_part(dst_ip, '.', 4) AS INT) BETWEEN 16 AND 31 AND dst_ip LIKE '45.33.32.%' OR dst_ip LIKE '192.168.1.%' AND CAST(split_part(dst_ip, '.', 4) AS INT) < 8")

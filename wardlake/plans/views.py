@@ -173,6 +173,7 @@ def _artifacts(d: Dialect) -> str:
     sha = "sha2({}, 256)" if d.spark else "sha256({})"
     return f"""
 SELECT *, CASE WHEN k % 20 = 9 THEN concat('http://svc', {_s('k')}, '.example.com/get') END AS url,
+  CASE WHEN k % 6 = 0 THEN concat('2a00:', {_s('k')}, '::', {_s('user_id % 10')}) END AS peer_ip,
   CASE WHEN k % 4 = 1 THEN {sha.format(f"concat('image-', {_s('k')})")} END AS hash_sha256
 FROM v_events"""
 
@@ -258,7 +259,9 @@ def _geo(d: Dialect) -> str:
     return f"""
 SELECT n_nationkey AS id, concat('45.33.32.', {_s('n_nationkey * 8')}, '/29') AS network, n_name AS country,
   concat('N', {_s('n_nationkey')}) AS country_code, concat('City ', {_s('n_regionkey')}) AS city
-FROM nation WHERE n_nationkey % 4 <> 3"""
+FROM nation WHERE n_nationkey % 4 <> 3
+UNION ALL
+SELECT 1000 + n_nationkey, concat('2a00:', {_s('n_nationkey')}, '::/32'), n_name, concat('N', {_s('n_nationkey')}), concat('City ', {_s('n_regionkey')}) FROM nation"""
 
 
 # per nation in turn: no rules, then one or more rules of each kind, broken ones included; N stands for the nation
