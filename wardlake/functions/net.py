@@ -111,6 +111,19 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
+def _inside(a: Column, networks: list[str]) -> list[Column]:
+    """One test per IPv6 network of an address struct."""
+    out, low = [], (1 << 64) - 1
+    for text in networks:
+        net = ipaddress.IPv6Network(text, strict=False)
+        base, mask = int(net.network_address), int(net.netmask)
+        test = a["hi"].bitwiseAND(F.lit(_signed(mask >> 64))) == F.lit(_signed(base >> 64))
+        if net.prefixlen > 64:
+            test = test & (a["lo"].bitwiseAND(F.lit(_signed(mask & low))) == F.lit(_signed(base & low)))
+        out.append(test)
+    return out
+
+
 def in_networks(ip: Column, networks: list[str]) -> Column:
     """True when the address lies in any network; bad addresses and bad networks never match."""
     v4 = [b for b in (v4_bounds(n) for n in networks) if b]
@@ -121,22 +134,14 @@ def in_networks(ip: Column, networks: list[str]) -> Column:
         except ValueError:
             continue
         if net.version == 6:
-            v6.append(net)
+            v6.append(n)
     preds = []
     if v4:
         # bound once, so the text is parsed once per row however many networks there are
         preds.append(F.exists(F.array(ipv4_number(ip)), lambda n: any_of([n.between(lo, hi) for lo, hi in v4])))
     if v6:
-        def inside(a: Column, net: ipaddress.IPv6Network) -> Column:
-            base, mask = int(net.network_address), int(net.netmask)
-            hi = a["hi"].bitwiseAND(F.lit(_signed(mask >> 64))) == F.lit(_signed(base >> 64))
-            if net.prefixlen <= 64:
-                return hi
-            low = (1 << 64) - 1
-            return hi & (a["lo"].bitwiseAND(F.lit(_signed(mask & low))) == F.lit(_signed(base & low)))
-
         # only texts with a colon are read as IPv6
-        preds.append(F.exists(F.array(F.when(ip.contains(":"), address(ip))), lambda a: any_of([inside(a, n) for n in v6])))
+        preds.append(F.exists(F.array(F.when(ip.contains(":"), address(ip))), lambda a: any_of(_inside(a, v6))))
     return F.coalesce(any_of([F.coalesce(p, F.lit(False)) for p in preds]), F.lit(False))
 
 
@@ -150,7 +155,10 @@ def is_public_v4(ip: Column) -> Column:
 
 def is_public_v6(ip: Column) -> Column:
     """Global unicast space without the blocks set aside in it; IPv4 written as IPv6 is not in it."""
-    return in_networks(ip, fixed.GLOBAL_V6) & (~in_networks(ip, fixed.NON_PUBLIC_V6) | in_networks(ip, fixed.PUBLIC_WITHIN_V6))
+    def public(a: Column) -> Column:
+        return any_of(_inside(a, fixed.GLOBAL_V6)) & (~any_of(_inside(a, fixed.NON_PUBLIC_V6)) | any_of(_inside(a, fixed.PUBLIC_WITHIN_V6)))
+
+    return F.coalesce(F.exists(F.array(address(ip)), public), F.lit(False))
 
 
 def is_public(ip: Column) -> Column:
@@ -165,8 +173,8 @@ def public_ips(*fields: Column) -> Column:
 
 def network(text: Column) -> tuple[Column, Column]:
     """(address, prefix length) of an 'address/length' column, host bits cleared; a missing length is the whole address, a bad network gives NULLs."""
-    base = address(F.substring_index(F.trim(text), "/", 1))
-    whole = F.when(base["version"] == 4, 32).otherwise(128)
+    start = F.substring_index(F.trim(text), "/", 1)
+    whole = F.when(start.contains(":"), 128).otherwise(32)
     length = F.when(text.contains("/"), F.substring_index(F.trim(text), "/", -1).try_cast("int")).otherwise(whole)
     length = F.when(length.between(0, whole), length)
-    return F.when(length.isNotNull() & base.isNotNull(), masked(base, length)), length
+    return _bind(address(start), lambda a: F.when(length.isNotNull() & a.isNotNull(), masked(a, length))), length
