@@ -99,7 +99,7 @@ def route(alerts: DataFrame, channels: DataFrame, tactics: str = "tactic_ids", t
     fields = ["severity", "host", "rule_name", tactics, techniques]
     key = F.md5(F.to_json(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("\x00")).alias(f"_{i}") for i, f in enumerate(fields)])))
     keyed = alerts.withColumn(_PROFILE, key)
-    profiles = keyed.select(_PROFILE, *fields).groupBy(_PROFILE).agg(*[F.any_value(f).alias(f) for f in fields])
+    profiles = keyed.select(_PROFILE, *fields).distinct()
     profiles = profiles.select(_PROFILE, scoring.level_rank(F.col("severity")).alias("_rank"), F.explode(_facets(F.col(tactics), F.col(techniques))).alias("f"))
     profiles = settle(profiles.select(_PROFILE, "_rank", "f.field", "f.vals"))
     matched = match_facets(profiles.select("field", "vals").distinct(), tests).join(floors, "channel_id")
