@@ -7,7 +7,6 @@ comparison per event.
 
 from __future__ import annotations
 
-import ast
 import base64
 import hashlib
 import json
@@ -73,18 +72,25 @@ def rule_from_dict(doc: Mapping) -> Rule:
 
 def load_rules(documents: Iterable[str | Mapping]) -> list[Rule]:
     """YAML texts or parsed documents; broken ones are left out, later ones replace earlier ids."""
+    return read_rules(documents)[0]
+
+
+def read_rules(documents: Iterable[str | Mapping]) -> tuple[list[Rule], list[str]]:
+    """The rules of load_rules, and what is wrong with each document left out."""
     out: dict[str, Rule] = {}
-    for doc in documents:
+    problems = []
+    for at, doc in enumerate(documents):
         try:
             if isinstance(doc, str):
                 import yaml
 
                 doc = yaml.safe_load(doc)
             rule = rule_from_dict(doc)
-        except Exception:
+        except Exception as e:
+            problems.append(f"document {at}: {type(e).__name__}: {e}")
             continue
         out[rule.id] = rule
-    return list(out.values())
+    return list(out.values()), problems
 
 
 # ------------------------------------------------------------------------------- field matching
@@ -215,35 +221,67 @@ def match_selection(sel, fields: Fields) -> Column:
     return match_keywords(sel, sorted(c for c in fields.columns if not c.startswith(NESTED)))
 
 
-def match_condition(condition: str, selections: Mapping[str, Column]) -> Column:
-    """Boolean algebra over selection names: not, and, or, parentheses, '1 of p*', 'all of p*', 'them'.
+def read_condition(condition: str, names: Iterable[str]) -> tuple:
+    """A condition as nested (operator, parts): ('and' | 'or', [...]), ('not', [one]), ('is', [selection]).
 
-    The text is a Python boolean expression once the 'of' forms are written out, so Python's own
-    grammar does the reading.
+    Not binds closer than and, and closer than or; '1 of' and 'all of' take a name pattern or 'them', and are
+    ('or', []), which is false, where no selection fits. Any name is read, 'from' and 'tool-1' too.
     """
-    def spread(m: re.Match) -> str:
-        wanted = "*" if m.group(2) == "them" else m.group(2)
-        pattern = re.compile(wanted.replace("*", ".*"), re.IGNORECASE)
-        names = [n for n in selections if pattern.match(n)]
-        if not names:
-            return "False"
-        return "(" + (" or " if m.group(1) == "1" else " and ").join(names) + ")"
-
-    text = re.sub(r"\b(1|all)\s+of\s+([\w*]+)", spread, condition.strip())
-
-    def build(node) -> Column:
-        if isinstance(node, ast.BoolOp):
-            parts = [build(v) for v in node.values]
-            return all_of(parts) if isinstance(node.op, ast.And) else any_of(parts)
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return ~build(node.operand)
-        if isinstance(node, ast.Name):
-            return selections[node.id]
-        if isinstance(node, ast.Constant) and isinstance(node.value, bool):
-            return F.lit(node.value)
-        raise ValueError(f"unsupported condition: {condition}")
-
-    return build(ast.parse(text, mode="eval").body)
+    names = list(names)
+    words = re.findall(r"[()]|[^\s()]+", condition)[::-1]
+
+    def take() -> str:
+        if not words:
+            raise ValueError(f"condition ends early: {condition}")
+        return words.pop()
+
+    def joined(op: str, part) -> tuple:
+        parts = [part()]
+        while words and words[-1] == op:
+            words.pop()
+            parts.append(part())
+        return parts[0] if len(parts) == 1 else (op, parts)
+
+    def either() -> tuple:
+        return joined("or", lambda: joined("and", single))
+
+    def single() -> tuple:
+        word = take()
+        if word == "not":
+            return "not", [single()]
+        if word == "(":
+            inner = either()
+            if take() != ")":
+                raise ValueError(f"parenthesis left open: {condition}")
+            return inner
+        if word in ("1", "all") and words and words[-1] == "of":
+            words.pop()
+            wanted = take()
+            pattern = re.compile(".*" if wanted == "them" else re.escape(wanted).replace(r"\*", ".*"), re.IGNORECASE)
+            fitting = [("is", [n]) for n in names if pattern.match(n)]
+            return ("or" if word == "1" or not fitting else "and"), fitting
+        if word not in names:
+            raise ValueError(f"no selection named {word}: {condition}")
+        return "is", [word]
+
+    tree = either()
+    if words:
+        raise ValueError(f"cannot read {words[-1]}: {condition}")
+    return tree
+
+
+def match_condition(condition: str, selections: Mapping[str, Column]) -> Column:
+    """Boolean algebra over selection names: not, and, or, parentheses, '1 of p*', 'all of p*', 'them'."""
+
+    def build(tree: tuple) -> Column:
+        op, parts = tree
+        if op == "is":
+            return selections[parts[0]]
+        if op == "not":
+            return ~build(parts[0])
+        return (all_of if op == "and" else any_of)([build(p) for p in parts])
+
+    return build(read_condition(condition, selections))
 
 
 def compile_rule(rule: Rule, columns: Iterable[str], lowered: Iterable[str] = ()) -> Column:
@@ -322,8 +360,13 @@ def detect(ev: DataFrame, rules: Iterable[Rule], per_block: int = 200) -> DataFr
     numbers = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
     # outer: keeps the planner from deriving a filter that would evaluate every rule a second time
     hit = once(ev, **{LOW + c: F.lower(_column(c)) for c in text}).select(*own, F.explode_outer(numbers).alias("_rule")).where("_rule IS NOT NULL")
-    about = ev.sparkSession.createDataFrame(
-        [(i, r.id, r.title, r.level, fixed.SEVERITY_ID.get(r.level, 3), r.techniques, r.tactics) for i, (r, _) in enumerate(compiled)],
+    return described(hit, [r for r, _ in compiled])
+
+
+def described(hit: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Matches with the number of a rule in ``_rule`` -> with the rule's id, title, level, techniques and tactics."""
+    about = hit.sparkSession.createDataFrame(
+        [(i, r.id, r.title, r.level, fixed.SEVERITY_ID.get(r.level, 3), r.techniques, r.tactics) for i, r in enumerate(rules)],
         "_rule int, rule_id string, rule_title string, level string, alert_severity int, technique_ids array<string>, tactic_ids array<string>")
     return hit.join(about, "_rule").drop("_rule")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlake.operators import alerts as al
+from wardlake.operators import ruleindex
 from wardlake.operators import rules as r
 from wardlake.plans.registry import query
 from wardlake.plans.rulepack import BUNDLED
@@ -89,6 +90,37 @@ def sigma_detect(lake):
         "event_id", "rule_id", "host", "severity_id", F.get("technique_ids", F.lit(0)).alias("technique"), F.get("tactic_ids", F.lit(0)).alias("tactic"))
 
 
+PER_KIND = 2500  # 10,000 rules in all
+
+
+def many_rules(per_kind: int = PER_KIND) -> list[r.Rule]:
+    """Four kinds of rule, each for many users, codes and hosts."""
+    def one(kind: str, i: int, source: dict, detection: dict) -> r.Rule:
+        return r.rule_from_dict({"id": f"{kind}-{i}", "title": f"{kind} {i}", "logsource": source, "detection": detection})
+
+    out = []
+    for i in range(per_kind):
+        out += [
+            one("user", i, {"category": "process_creation"}, {"who": {"User": f"USER-{i}"}, "quiet": {"severity_id|lt": 4}, "condition": "who and not quiet"}),
+            one("code", i, {"product": "zeek"}, {"code": {"summary|endswith": f"Code {i}"}, "tool-1": {"cmd_line|startswith": "nothing begins so"},
+                                                 "tool-2": {"cmd_line|contains": ["lsass", "whoami", "-ENC"]}, "condition": "code and 1 of tool*"}),
+            one("pair", i, {}, {"to": {"dst_ip": f"45.33.32.{i}"}, "at": {"hostname|endswith": f"-{i}"}, "condition": "all of them"}),
+            one("away", i, {"product": "wazuh"}, {"who": {"username|endswith": f"-{i}"}, "from": {"hostname|contains": f"st-{i}"}, "condition": "who and not from"})]
+    return out
+
+
+_N = f"v_events e JOIN (SELECT CAST(unnest(range({PER_KIND})) AS VARCHAR) AS i) n"
+
+
+@query("sigma_detect_index", f"""SELECT e.id AS event_id, concat('user-', i) AS rule_id FROM {_N} ON lower(username) = concat('user-', i) WHERE class_uid = 1007 AND NOT coalesce(severity_id < 4, false)
+ UNION ALL SELECT e.id, concat('code-', i) FROM {_N} ON ends_with(lower(summary), concat('code ', i)) WHERE lower(source) = 'zeek' AND (contains(cmd_line, 'lsass') OR contains(cmd_line, 'whoami') OR contains(cmd_line, '-enc'))
+ UNION ALL SELECT e.id, concat('pair-', i) FROM {_N} ON dst_ip = concat('45.33.32.', i) WHERE ends_with(lower(hostname), concat('-', i))
+ UNION ALL SELECT e.id, concat('away-', i) FROM {_N} ON ends_with(lower(username), concat('-', i)) WHERE lower(source) = 'wazuh' AND NOT coalesce(contains(lower(hostname), concat('st-', i)), false)""")
+def sigma_detect_index(lake):
+    """10,000 rules in one scan, by the index over their distinct tests."""
+    return ruleindex.detect(lake.events, many_rules()).select(F.col("id").alias("event_id"), "rule_id")
+
+
 @query("rule_backtest", _ev("severity_id >= 4 AND lower(source) = 'zeek' AND contains(lower(summary), 'click')"))
 def rule_backtest(lake):
     text = "id: t\ntitle: trial\nlogsource: {product: zeek}\ndetection:\n  s: {summary|contains: CLICK}\n  hi: {severity_id|gte: 4}\n  condition: s and hi\n"
