@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from wardlake.operators import dated
 from wardlake.operators import search as s
 from wardlake.operators import tables as t
 from wardlake.plans.registry import query
@@ -201,6 +204,36 @@ def retention_delete(lake):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _stored(lake, name: str, columns: list[str], time_us: str) -> str:
+    """A view as a table by day, under a name of its own."""
+    table = f"wardlake_{name}_{uuid.uuid4().hex}"
+    dated.create(getattr(lake, name).select(*columns), table, "id", time_us)
+    return table
+
+
+@query("retention_apply", f"""SELECT 'detections' AS tbl, id FROM v_detections WHERE time_us >= {NOW_US} - 20 * {DAY_US} UNION ALL
+ SELECT 'incidents', id FROM v_incidents WHERE NOT (status IN ('resolved','closed') AND coalesce(closed_us < {NOW_US} - 15 * {DAY_US}, false)) UNION ALL SELECT 'iocs', id FROM v_iocs WHERE NOT coalesce(expires_us < {NOW_US} - 2 * {DAY_US}, false)""")
+def retention_apply(lake):
+    """The stored tables after retention: only days that hold an old row are written again."""
+    columns = {"detections": ["id", "time_us", "severity", "status"], "incidents": ["id", "created_us", "status", "closed_us"], "iocs": ["id", "created_us", "value", "expires_us"]}
+    out = []
+    for name, old in t.retention_predicates(NOW_US, 20, 15, 2).items():
+        table = _stored(lake, name, columns[name], columns[name][1])
+        dated.delete_rows(lake.spark, table, old)
+        out.append(lake.spark.table(table).select(F.lit(name).alias("tbl"), F.col("id").cast("long").alias("id")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("bulk_status_apply", """SELECT d.id, CASE WHEN w.id IS NOT NULL THEN 'resolved' ELSE d.status END AS status, d.severity FROM v_detections d
+ LEFT JOIN (SELECT DISTINCT unnest(detection_ids) AS id FROM v_incidents WHERE status = 'resolved') w ON w.id = d.id""")
+def bulk_status_apply(lake):
+    """The stored detections after those of resolved incidents were set to resolved."""
+    table = _stored(lake, "detections", ["id", "time_us", "severity", "status"], "time_us")
+    ids = lake.incidents.where("status = 'resolved'").select(F.explode("detection_ids").alias("id"), F.lit("resolved").alias("status"))
+    dated.update_rows(lake.spark, table, ids)
+    return lake.spark.table(table).select("id", "status", "severity")
+
+
 @query("tiering", f"SELECT CASE WHEN ({NOW_US} - time_us) // {DAY_US} >= 20 THEN 'delete' WHEN ({NOW_US} - time_us) // {DAY_US} >= 7 THEN 'warm' ELSE 'hot' END AS tier, count(*) AS n FROM v_events GROUP BY 1")
 def tiering(lake):
     age = F.floor((F.lit(NOW_US) - F.col("time_us")) / DAY_US)
