@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from wardlake.llm import secretscan, toxicity
+from wardlake.llm import secretscan, simhash, toxicity
 
 VALUE = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -102,3 +102,35 @@ def test_folded_weights_against_the_sum_over_gapped_triples(seed):
     assert np.allclose(got, plain, atol=1e-3)
     sums = [plain[i : i + toxicity.WINDOW].sum() for i in range(max(1, begins - toxicity.WINDOW + 1))]
     assert np.allclose(toxicity.window_sums(got), sums, atol=1e-2)
+
+
+def test_short_texts_that_are_similar_are_all_met(spark):
+    """At exactly 0.8 and above, texts of up to 13 words: the groups are those of all pairs compared."""
+    rng = random.Random(4)
+    texts = [None, "", "one two"]
+    for _ in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 14))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(4)):
+            cut = rng.random()
+            near = words[:-1] if cut < 0.3 else words[1:] if cut < 0.6 else [*words[:-1], f"x{rng.randrange(10**6)}"] if cut < 0.9 else [*words, "more"]
+            texts.append(" ".join(near))
+    stem = [f"s{i}" for i in range(12)]
+    texts += [" ".join([*stem, f"end{i}"]) for i in range(200)]  # all share one key, and are one group
+    sets = [set(simhash.word_shingles((t or "").encode(), 5)) for t in texts]
+    least = list(range(len(texts)))
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                least[b] = a
+                linked += len(sets[i]) <= simhash.SHORT and both > 0 and sets[i] != sets[j]
+    assert linked > 19_900
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(simhash.similar_groups(docs).collect()) == {i: top(i) for i in range(len(texts))}

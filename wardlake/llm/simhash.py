@@ -274,6 +274,7 @@ REACH = 36  # of 2 x 64 bits: texts with a similarity of 0.8 differ by about 19
 SKETCH = 3  # longs: the parity of the number of shingles that fall on each of 192 places
 SKETCHED = ["size", *[f"odd{i}" for i in range(SKETCH)]]
 STAR_ROUNDS = 2
+SHORT = 9  # shingles; up to here similar sets are found by their exact keys
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -282,12 +283,20 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def set_keys(hashes: np.ndarray) -> list[int]:
+    """A key of the set of these (distinct) hashes, then one of the set without each of them; none for sets of more than SHORT."""
+    if not 1 < len(hashes) <= SHORT:
+        return []
+    spread = mix64(hashes)
+    return mix64(np.concatenate([[spread.sum()], spread.sum() - spread])).view(np.int64).tolist()
+
+
 def _prints(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, two fingerprints from independent hashes of the same shingles, each shingle once, the number of shingles and their parities."""
+    """doc_id, two fingerprints from independent hashes of the same shingles, each shingle once, the number of shingles, their parities, the keys of a short text."""
     names = ["doc_id", "fa", "fb", *SKETCHED]
 
     def run(batch):
-        out = np.zeros((len(names) - 1, batch.num_rows), np.int64)
+        out, keys = np.zeros((len(names) - 1, batch.num_rows), np.int64), [[] for _ in range(batch.num_rows)]
         for i, text in enumerate(batch["text"]):
             grams = set(word_shingles(text.as_py(), k))
             if grams:
@@ -295,9 +304,27 @@ def _prints(docs: DataFrame, k: int) -> DataFrame:
                 other = mix64(h ^ np.uint64(0xA0761D6478BD642F))
                 out[:2, i] = np.array([majority(h), majority(other)], np.uint64).view(np.int64)
                 out[2, i], out[3:, i] = len(grams), parities(mix64(other))
-        return pa.record_batch([batch["doc_id"], *map(longs, out)], names)
+                keys[i] = set_keys(h)
+        return pa.record_batch([batch["doc_id"], *map(longs, out), pa.array(keys, pa.list_(pa.int64()))], [*names, "keys"])
+
+    return docs.mapInArrow(by_batch(run), ", ".join(f"{c} long" for c in names) + ", keys array<long>")
 
-    return docs.mapInArrow(by_batch(run), ", ".join(f"{c} long" for c in names))
+
+def short_pairs(prints: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(p_node, node): pairs that join all similar texts of at most SHORT shingles.
+
+    Where the similarity is at least 0.8, such sets (n members the larger) are similar only if one is the other and a
+    member more, or both have SHORT members and all but one in common: a set's key is then the key of the other without
+    a member, or both have a key without a member in common. All of a key are linked to one: the set that has the key
+    itself, else, among sets of SHORT, the least. So there are at most as many pairs as keys, however many texts share one.
+    A similarity below 0.8 has none of these pairs; fingerprints alone serve there.
+    """
+    least = F.min(F.struct("doc_id", "size", "keys")).alias("f")
+    members = prints.where((F.size("keys") > 0) & F.lit(similarity >= 0.8)).groupBy("fa", "fb").agg(least)
+    members = scratch.keep(members.select(F.col("f.doc_id").alias("node"), F.col("f.size").alias("size"), F.posexplode("f.keys").alias("place", "key")))
+    itself, alike = F.min(F.when(F.col("place") == 0, F.col("node"))), F.min(F.when(F.col("size") == SHORT, F.col("node")))
+    hubs = members.groupBy("key").agg(F.coalesce(itself, alike).alias("p_node"), F.count("*").alias("n")).where("n > 1 AND p_node IS NOT NULL").select("key", "p_node")
+    return members.join(hubs, "key").where("node <> p_node").select("p_node", "node")
 
 
 def may_be_similar(similarity: float, a: str, b: str) -> Column:
@@ -330,7 +357,8 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
     Each text has two fingerprints; the partitions of each are probed for the radius as the pigeonhole
     principle asks, whatever is met within REACH bits of both is a candidate, and the texts decide. All
     pairs within the radius in either fingerprint are met, and others by the chance of meeting in a
-    partition: about 93 % at a similarity of 0.8, over 99 % from 0.86 on. Pairs whose shingles' parities
+    partition: about 93 % at a similarity of 0.8, over 99 % from 0.86 on. Texts of at most SHORT shingles, which
+    have too few for that, are besides met by exact keys, all of them. Pairs whose shingles' parities
     prove them less similar never leave the join, so a large family of texts that resemble each other
     gives few candidates beyond its links. Before all candidates are met, STAR_ROUNDS passes compare each
     member of a bucket with one other of the bucket only, so that large groups are merged with few
@@ -385,7 +413,8 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
         rows = side(f, grouped)
         index, probes = scratch.keep(index_rows(rows, layout)), probe_rows(rows, layout, radius)
         rest.append(probes.join(index, (probes["bucket"] == index["bucket"]) & (F.col("p_node") < F.col("node")) & candidates()))
-    named = group(linked.unionAll(compared(rest))).select("fa", "fb", F.col("comp").alias("group"))
+    rest.append(short_pairs(prints, similarity, scratch))
+    named = group(linked.unionAll(compared([r.select("p_node", "node") for r in rest]))).select("fa", "fb", F.col("comp").alias("group"))
     return prints.select("doc_id", "fa", "fb").join(named, ["fa", "fb"]).select("doc_id", "group")
 
 
