@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from wardlake.operators import enrich
+from wardlake.operators import rules as ru
 
 SUPPRESSION = "id long, rule_id string, host string, technique_id string, tactic string, severity string, is_active boolean, expires_us long"
 ALERT = "id long, rule_id string, host string, technique_id string, tactic string, severity string"
@@ -42,3 +43,22 @@ def test_many_suppressions_of_one_technique_do_not_meet_all_its_alerts(spark):
     got = enrich.match_suppressions(alerts, rules, 0).agg(F.count("*"), F.count_if(F.col("suppression_id") == F.col("alert_id") + 20_000)).first()
     assert tuple(got) == (30_000, 30_000)
     assert time.time() - begun < 40
+
+
+def test_candidate_rules_are_counted_before_they_meet_the_kinds(spark):
+    rng = random.Random(8)
+    some = lambda xs: rng.choice(xs)
+    rules = [(some([None, *range(40)]), some(["zeek", "Wazuh", "linux", None]), some([None, "dns"]), some(["process_creation", "network_connection", "x", None])) for _ in range(90)]
+    events = [(some(["Zeek", "wazuh", None, "other"]), some([1007, 4001, 9, None])) for _ in range(80)]
+    category = {1007: "process_creation", 4001: "network_connection"}
+    want = {}
+    for source, kind in events:
+        ids = {i for i, product, service, cat in rules if i is not None and (
+            source is not None and product is not None and product.lower() == source.lower() or cat is not None and cat == category.get(kind) or product is service is cat is None)}
+        want[source, kind] = (events.count((source, kind)), len(ids))
+    out = ru.candidate_counts(spark.createDataFrame(events, "source string, class_uid int"), spark.createDataFrame(rules, "id int, logsource_product string, logsource_service string, logsource_category string"))
+    assert {(r[0], r[1]): (r[2], r[3]) for r in out.collect()} == want
+    many = spark.range(50_000).select("id", F.lit("zeek").alias("logsource_product"), F.lit(None).cast("string").alias("logsource_service"), F.lit(None).cast("string").alias("logsource_category"))
+    plan = ru.candidate_counts(spark.createDataFrame(events, "source string, class_uid int"), many)
+    assert "HashAggregate(keys=[_filed" in plan._jdf.queryExecution().executedPlan().toString()  # not one row per kind and rule
+    assert {r["candidates"] for r in plan.where("lower(source) = 'zeek'").collect()} == {50_000}
