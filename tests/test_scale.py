@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from wardlake.operators import enrich
+from wardlake.operators import packets as pk
 from wardlake.operators import rules as ru
 
 SUPPRESSION = "id long, rule_id string, host string, technique_id string, tactic string, severity string, is_active boolean, expires_us long"
@@ -62,3 +63,36 @@ def test_candidate_rules_are_counted_before_they_meet_the_kinds(spark):
     plan = ru.candidate_counts(spark.createDataFrame(events, "source string, class_uid int"), many)
     assert "HashAggregate(keys=[_filed" in plan._jdf.queryExecution().executedPlan().toString()  # not one row per kind and rule
     assert {r["candidates"] for r in plan.where("lower(source) = 'zeek'").collect()} == {50_000}
+
+
+def test_first_regular_stretch_equals_a_plain_loop(spark):
+    rng = random.Random(6)
+    rows, start = [], 1_704_067_200_000_000
+    for key in range(25):
+        t = start + rng.randrange(3600) * 10**6
+        for i in range(rng.randrange(2, 160)):
+            t += int(rng.choice([1, 60, 60, 61, 300 if key % 3 else 62]) * 10**6 * rng.choice([1, 1.01, 0.99, 1 if key % 2 else 1.4]))
+            rows.append((f"10.0.0.{key}", "8.8.8.8", 443, t, f"f{key}-{i:03}", rng.choice([0, None, 500, 510, 505 if key % 4 else 9000])))
+    want = {}
+    for key in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[3], r[4])):
+            if not kept or r[3] - kept[-1][3] >= 2_000_000:
+                kept.append(r)
+        for i, r in enumerate(kept):
+            w = [x for x in kept[max(0, i - 19) : i + 1] if x[3] >= r[3] - 1800 * 10**6]
+            if len(w) < 5:
+                continue
+            gaps = [(b[3] - a[3]) / 1e6 for a, b in zip(w, w[1:])]
+            mean = sum(gaps) / len(gaps)
+            jitter = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean * 100
+            if jitter < 20:
+                p = [x[5] for x in w if (x[5] or 0) > 0]
+                mid = sum(p) / len(p) if p else 0
+                want[key] = (r[3], len(w), round(mean, 6), round(jitter, 6), len(p) >= 2 and (sum((x - mid) ** 2 for x in p) / len(p)) ** 0.5 / mid < 0.2)
+                break
+    flows = spark.createDataFrame(rows, "src_ip string, dst_ip string, dst_port int, time_us long, flow_id string, bytes_out long")
+    out = pk.beacon_multi(flows, "flow_id", "bytes_out", 1800 * 10**6, 5, 20.0, max_samples=20)
+    assert {r["src_ip"]: (r["time_us"], r["samples"], round(r["mean_s"], 6), round(r["jitter_pct"], 6), r["steady_payload"]) for r in out.collect()} == want
+    assert 5 < len(want) < 25
+    assert "collect_list" not in out._jdf.queryExecution().toString()  # no list of the window per contact

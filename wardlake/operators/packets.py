@@ -7,6 +7,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,6 +198,65 @@ def beacon_cv(packets: DataFrame, interval_s: float = 60.0, jitter_pct: float =
     return hit.groupBy(*keys).agg(F.min(F.struct("time_us", "samples", "mean_s", "cv")).alias("f")).select(*keys, "f.*")
 
 
+_REGULAR = "time_us long, samples int, mean_s double, jitter_pct double, steady_payload boolean, off_hours_pct double"
+
+
+def _moments(x: np.ndarray) -> tuple[float, float]:
+    """Mean and standard deviation, added up from left to right."""
+    mean = np.add.accumulate(x)[-1] / len(x)
+    return mean, np.sqrt(np.add.accumulate((x - mean) * (x - mean))[-1] / len(x))
+
+
+def _first_regular(window_us: int, min_samples: int, max_jitter_pct: float, max_samples: int, keys: list[str]):
+    """(key, slice, contact)* in order -> the first own contact of each key and slice at which the last contacts are regular.
+
+    Running sums of the gaps and their squares rule out nearly all contacts; the others are computed from their gaps.
+    """
+
+    def hit(ts: np.ndarray, size: np.ndarray, off: np.ndarray, own: np.ndarray) -> tuple | None:
+        n = len(ts)
+        low = np.maximum(np.searchsorted(ts, ts - window_us, side="left"), np.arange(n) - (max_samples - 1))
+        samples = np.arange(n) - low + 1
+        maybe = own & (samples >= min_samples) & (samples >= 2)
+        if not maybe.any():
+            return None
+        gaps = np.diff(ts, prepend=ts[:1]) / 1e6
+        squares = np.cumsum(gaps * gaps)
+        m = np.maximum(samples - 1, 1)
+        mean = (ts - ts[low]) / 1e6 / m
+        var = (squares - squares[low]) / m - mean * mean
+        maybe &= (mean > 0) & (var <= (max_jitter_pct / 100 * mean) ** 2 * (1 + 1e-6) + 1e-11 * (squares + mean * mean))
+        for i in np.flatnonzero(maybe):
+            span = slice(low[i], i + 1)
+            g_mean, g_sd = _moments(np.diff(ts[span]) / 1e6)
+            if not (g_mean > 0 and g_sd / g_mean * 100 < max_jitter_pct):
+                continue
+            sizes = size[span][size[span] > 0]
+            steady = False
+            if len(sizes) >= 2:
+                p_mean, p_sd = _moments(sizes)
+                steady = bool(p_sd / p_mean < 0.20)
+            return int(ts[i]), int(samples[i]), float(g_mean), float(g_sd / g_mean * 100), steady, float(off[i] / samples[i] * 100)
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tl.whole_groups(batches, (tl.KEY, tl.SLICE)):
+            ts, off, own = (tl._flat(t, c).to_numpy(zero_copy_only=False) for c in (tl.TS, "_off", "_own"))
+            size = pc.fill_null(tl._flat(t, "_size"), 0.0).to_numpy(zero_copy_only=False)
+            starts = tl._run_starts(tl._flat(t, tl.KEY), tl._flat(t, tl.SLICE))
+            ends = np.append(starts[1:], len(ts))
+            found = [(a, hit(ts[a:b], size[a:b], off[a:b], own[a:b])) for a, b in zip(starts, ends) if b - a >= min_samples]
+            found = [(a, f) for a, f in found if f is not None]
+            if found:
+                at = pa.array([a for a, _ in found])
+                columns = [tl._flat(t, k).take(at) for k in keys]
+                for values, kind in zip(zip(*(f for _, f in found)), (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.float64())):
+                    columns.append(pa.array(list(values), kind))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *[c.split(" ")[0] for c in _REGULAR.split(", ")]])
+
+    return run
+
+
 def beacon_multi(packets: DataFrame, order_id: str, payload: str, window_us: int = 3600 * tl.SECOND, min_samples: int = 10, max_jitter_pct: float = 10.0,
                  min_gap_us: int = 2 * tl.SECOND, max_samples: int = 200) -> DataFrame:
     """First regular stretch per flow among the last ``max_samples`` debounced contacts of the window, with side signals."""
@@ -206,20 +266,9 @@ def beacon_multi(packets: DataFrame, order_id: str, payload: str, window_us: int
     ts = F.timestamp_micros("time_us")
     off = F.dayofweek(ts).isin(1, 7) | (F.hour(ts) < 8) | (F.hour(ts) >= 18)
     s = tl.running_sum(s, keys, [order_id], "time_us", {"_off": off.cast("long")}, 3600 * tl.SECOND)
-    spread = tl.sliding(s, "time_us", window_us)
-    rows = Window.partitionBy(*keys, tl.SLICE).orderBy("time_us").rowsBetween(-(max_samples - 1), 0)
-    spread = spread.withColumn("_w", F.collect_list(F.struct("time_us", payload)).over(rows)).where("_own")
-    spread = spread.withColumn("_w", F.filter("_w", lambda x: x["time_us"] >= F.col("time_us") - window_us)).withColumn("samples", F.size("_w")).where(F.col("samples") >= min_samples)
-    gaps = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: (F.get("_w", i)["time_us"] - F.get("_w", i - 1)["time_us"]) / 1e6)
-
-    def moments(arr, name):
-        mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr)
-        return F.struct(mean.alias("mean"), F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(arr)).alias("sd")).alias(name)
-
-    spread = spread.withColumn("_gaps", gaps).withColumn("_g", moments(F.col("_gaps"), "_g")).where((F.col("_g.mean") > 0) & (F.col("_g.sd") / F.col("_g.mean") * 100 < max_jitter_pct))
-    sizes = F.transform(F.filter("_w", lambda x: x[payload] > 0), lambda x: x[payload].cast("double"))
-    spread = spread.withColumn("_sizes", sizes).withColumn("_p", moments(F.col("_sizes"), "_p"))
-    steady = F.coalesce((F.size("_sizes") >= 2) & (F.col("_p.sd") / F.col("_p.mean") < 0.20), F.lit(False))
-    first = spread.select(*keys, "time_us", "samples", F.col("_g.mean").alias("mean_s"), (F.col("_g.sd") / F.col("_g.mean") * 100).alias("jitter_pct"), steady.alias("steady_payload"), (F.col("_off") / F.col("samples") * 100).alias("off_hours_pct"))
+    spread = tl.sliding(s.select(*keys, "time_us", payload, "_off"), "time_us", window_us).withColumn(tl.KEY, tl.key_column(keys))
+    first = (spread.select(*keys, tl.KEY, tl.SLICE, F.col("time_us").alias(tl.TS), F.col(payload).cast("double").alias("_size"), F.col("_off").cast("long").alias("_off"), "_own")
+             .repartition(tl.KEY, tl.SLICE).sortWithinPartitions(tl.KEY, tl.SLICE, tl.TS)
+             .mapInArrow(_first_regular(window_us, min_samples, max_jitter_pct, max_samples, keys), ", ".join([*[f"{k} {t}" for k, t in FLOW_KEY.items()], _REGULAR])))
     first = first.groupBy(*keys).agg(F.min(F.struct("time_us", "samples", "mean_s", "jitter_pct", "steady_payload", "off_hours_pct")).alias("f")).select(*keys, "f.*")
     return first.withColumns({"uncommon_port": ~F.col("dst_port").isin(*fixed.BEACON_COMMON_PORTS), "technique_id": F.when(F.col("dst_port").isin(443, 8443), "T1573").otherwise("T1071")})
