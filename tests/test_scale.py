@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from wardlake.operators import enrich
 from wardlake.operators import packets as pk
 from wardlake.operators import rules as ru
+from wardlake.streaming import jobs
+from wardlake.streaming import ordered as od
 
 SUPPRESSION = "id long, rule_id string, host string, technique_id string, tactic string, severity string, is_active boolean, expires_us long"
 ALERT = "id long, rule_id string, host string, technique_id string, tactic string, severity string"
@@ -96,3 +98,52 @@ def test_first_regular_stretch_equals_a_plain_loop(spark):
     assert {r["src_ip"]: (r["time_us"], r["samples"], round(r["mean_s"], 6), round(r["jitter_pct"], 6), r["steady_payload"]) for r in out.collect()} == want
     assert 5 < len(want) < 25
     assert "collect_list" not in out._jdf.queryExecution().toString()  # no list of the window per contact
+
+
+def test_regular_contacts_equal_a_plain_loop():
+    rng = random.Random(2)
+    fired = 0
+    for _ in range(300):
+        t, times = 0, []
+        for _ in range(rng.randrange(1, 60)):
+            t += rng.choice([1, 50, 50, 51, 49, rng.randrange(20, 200)]) * 10**6
+            times.append(t)
+        cut = rng.randrange(len(times) + 1)
+        job = jobs.Beacon(40 * 10**6, 4, 0.1, 7)
+        got, held = job._next(times[:cut], [])
+        if got is None:
+            got, held = job._next(times[cut:], held)
+        want, kept = None, []
+        for t in times:
+            if kept and t - kept[-1] < 40 * 10**6:
+                continue
+            kept = (kept + [t])[-7:]
+            gaps = [(b - a) / 1e6 for a, b in zip(kept, kept[1:])]
+            if len(kept) >= 4:
+                mean = sum(gaps) / len(gaps)
+                if (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean <= 0.1:
+                    want = (t, len(kept))
+                    break
+        assert got == want
+        fired += want is not None
+    assert 20 < fired < 280
+
+
+def test_streams_with_many_keys_call_the_store_by_bucket(spark, tmp_path):
+    """15,000 keys of two rows each, in order and by flow: a round trip to the store per key takes minutes."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        folder = str(tmp_path / "flows")
+        flows = spark.range(30_000).select(F.concat(F.lit("a"), F.col("id") % 15_000).alias("src_ip"), F.lit("b").alias("dst_ip"), F.lit(1).alias("dst_port"), (F.lit(1_704_067_200_000_000) + F.col("id") * 1000).alias("time_us"), F.col("id").cast("string").alias("flow_id"), F.lit(40).cast("long").alias("bytes"))
+        flows.withColumn("time", F.timestamp_micros("time_us")).coalesce(1).write.parquet(folder)
+        keys = ["src_ip", "dst_ip", "dst_port"]
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        begun = time.time()
+        out = od.run_in_order(stream, "many", lambda r: od.in_order(r, keys, ["time_us", "flow_id", "bytes"], od.volume_step(60, 60_000_000), "anchor_us long, time_us long, total_bytes long", "1 minute"))
+        assert tuple(out.agg(F.count("*"), F.min("total_bytes"), F.count_distinct("src_ip")).first()) == (15_000, 80, 15_000)
+        contacts = jobs.run_available(jobs.beacon(stream, gap_us=1, min_samples=2), "contacts")
+        assert contacts.count() == 15_000
+        assert time.time() - begun < 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

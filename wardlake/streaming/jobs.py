@@ -7,7 +7,9 @@ the watermark or its own time to live.
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wardlake import fixed
 from wardlake.functions.net import is_private
 from wardlake.session import checkpoint_dir
+from wardlake.streaming import ordered
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -179,33 +182,60 @@ def dedup_exact(alerts: DataFrame, keys: list[str], ttl_us: int, delay: str = "1
 
 
 class Beacon(StatefulProcessor):
-    """Last samples of a flow; fires once when their gaps are regular. State: at most ``max_samples`` times."""
+    """Last samples of a flow; fires once when their gaps are regular. State: at most ``max_samples`` times a flow, kept for buckets of flows."""
+
+    KEY = "src_ip string, dst_ip string, dst_port int"
 
     def __init__(self, gap_us: int, min_samples: int, max_cv: float, max_samples: int):
         self.gap_us, self.min_samples, self.max_cv, self.max_samples = gap_us, min_samples, max_cv, max_samples
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.samples = handle.getListState("samples", "at long")
-        self.fired = handle.getValueState("fired", "at long")
+        self.flows = handle.getListState("flows", f"{self.KEY}, fired boolean, samples array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(pd.concat(list(rows))["time_us"].tolist())
-        if self.fired.exists():
-            return
-        held = [r[0] for r in self.samples.get()]
+        fresh: dict[tuple, list[int]] = {}
+        for frame in rows:
+            for *flow, t in ordered.plain_rows(frame, ["src_ip", "dst_ip", "dst_port", "time_us"]):
+                fresh.setdefault(tuple(flow), []).append(t)
+        state = {tuple(r)[:3]: (r[3], list(r[4])) for r in self.flows.get()}
+        out = []
+        for flow, times in fresh.items():
+            fired, held = state.get(flow, (False, []))
+            if not fired:
+                hit, held = self._next(sorted(times), held)
+                if hit is not None:
+                    out.append((*flow, *hit))
+                state[flow] = (hit is not None, held)
+        kept = [(*flow, *s) for flow, s in state.items()]
+        self.flows.put(kept[: ordered.PUT_ROWS])
+        for at in range(ordered.PUT_ROWS, len(kept), ordered.PUT_ROWS):
+            self.flows.appendList(kept[at : at + ordered.PUT_ROWS])
+        if out:
+            yield pd.DataFrame(out, columns=["src_ip", "dst_ip", "dst_port", "time_us", "samples"])
+
+    def _next(self, times: list[int], held: list[int]) -> tuple[tuple[int, int] | None, list[int]]:
+        """(time and samples of the first regular stretch or None, the samples to keep)."""
+        held = deque(held)
+        squares = sum((b - a) ** 2 for a, b in pairwise(held))
         for t in times:
             if held and t - held[-1] < self.gap_us:
                 continue
-            held = (held + [t])[-self.max_samples:]
+            if held:
+                squares += (t - held[-1]) ** 2
+            held.append(t)
+            if len(held) > self.max_samples:
+                first = held.popleft()
+                squares -= (held[0] - first) ** 2
             if len(held) < self.min_samples:
                 continue
+            # exact integers rule out nearly all; the others are computed from their gaps
+            whole = held[-1] - held[0]
+            if (len(held) - 1) * squares - whole * whole > (self.max_cv * whole) ** 2 * (1 + 1e-6):
+                continue
             gaps = pd.Series(held).diff().dropna() / 1e6
             if gaps.std(ddof=0) / gaps.mean() <= self.max_cv:
-                self.fired.update((int(t),))
-                self.samples.clear()
-                yield pd.DataFrame({"src_ip": [key[0]], "dst_ip": [key[1]], "dst_port": [key[2]], "time_us": [t], "samples": [len(held)]})
-                return
-        self.samples.put([(int(t),) for t in held])
+                return (int(t), len(held)), []
+        return None, [int(t) for t in held]
 
     def close(self) -> None:
         pass
@@ -213,6 +243,7 @@ class Beacon(StatefulProcessor):
 
 def beacon(flows: DataFrame, gap_us: int = 48_000_000, min_samples: int = 5, max_cv: float = 0.20, max_samples: int = 100) -> DataFrame:
     use_rocksdb(flows.sparkSession)
-    return flows.select("src_ip", "dst_ip", "dst_port", "time_us").groupBy("src_ip", "dst_ip", "dst_port").transformWithStateInPandas(
+    keys = ["src_ip", "dst_ip", "dst_port"]
+    return flows.where(F.col("time_us").isNotNull()).select(*keys, "time_us", ordered.buckets(flows.sparkSession, keys).alias("_bucket")).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=Beacon(gap_us, min_samples, max_cv, max_samples),
-        outputStructType="src_ip string, dst_ip string, dst_port int, time_us long, samples long", outputMode="Append", timeMode="None")
+        outputStructType=f"{Beacon.KEY}, time_us long, samples long", outputMode="Append", timeMode="None")
