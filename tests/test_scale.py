@@ -6,9 +6,12 @@ import time
 
 from pyspark.sql import functions as F
 
-from wardlake.operators import enrich
+from wardlake.operators import dated, enrich
+from wardlake.operators import normalizers as nz
 from wardlake.operators import packets as pk
 from wardlake.operators import rules as ru
+from wardlake.sources import lines
+from wardlake.streaming import chain as ch
 from wardlake.streaming import jobs
 from wardlake.streaming import ordered as od
 
@@ -147,3 +150,29 @@ def test_streams_with_many_keys_call_the_store_by_bucket(spark, tmp_path):
         assert time.time() - begun < 60
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_days_without_rows_are_dropped_together(spark, monkeypatch, tmp_path):
+    table = "scale_days_dropped"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    rows = spark.range(7).select("id", (F.lit(1_704_067_200_000_000) + F.col("id") * 86_400_000_000).alias("time_us"))
+    said = []
+    try:
+        dated.create(rows, table, "id")
+        run = type(spark).sql
+        monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: (said.append(text), run(self, text, *a, **k))[1])
+        counts = dated.delete_rows(spark, table, F.col("id") < 5)
+        assert counts.count() == 5 and sorted(r["id"] for r in spark.table(table).collect()) == [5, 6]
+        assert len([s for s in said if s.startswith("ALTER TABLE")]) == 1
+    finally:
+        monkeypatch.undo()
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_intake_packs_its_table(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    spark.createDataFrame([("x1", "other", "{broken")], "line_id string, source string, line string").write.parquet(folder)
+    intake = ch.Intake(spark, {"zeek": lambda rows: nz.zeek(lines.parse_zeek_json(rows.withColumn("value", F.col("line"))), "conn", ["line_id", "line"])}, 60_000)
+    intake.take(spark.readStream.schema("line_id string, source string, line string").parquet(folder))
+    assert [r["kind"] for r in intake.table().collect()] == ["dead"]
+    assert all(name.endswith(".zstd.parquet") for name in intake.table().inputFiles())
