@@ -14,6 +14,7 @@ from wardlake.session import settle
 
 DAY, UNDATED = "day", "undated"
 SALTS = 64  # a day is spread over up to so many files
+DROPPED = 500  # days that one statement drops
 
 
 def day_of(time_us: Column) -> Column:
@@ -53,9 +54,9 @@ def delete_rows(spark: SparkSession, table: str, dead: Column, key: str = "id")
     part = [r[DAY] for r in days if r["kept"]]
     if part:
         _replace(spark, table, stored.where(F.col(DAY).isin(part) & ~gone), key)
-    for r in days:
-        if not r["kept"]:
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({DAY} = '{r[DAY]}')")
+    empty = [f"PARTITION ({DAY} = '{r[DAY]}')" for r in days if not r["kept"]]
+    for at in range(0, len(empty), DROPPED):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(empty[at : at + DROPPED])}")
     return counts
 
 
