@@ -418,6 +418,37 @@ def test_bit_probabilities_of_all_bytes_sum_to_one():
     assert math.isclose(total, 1, rel_tol=1e-4)
 
 
+def test_codes_counts_and_weights_are_learned_from_all_training_documents(spark):
+    from wardlake.llm.common import Scratch, texts
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(9)) + f" zq{i}") for i in range(600)] + [(700, None), (701, "")]
+    training = texts(frame(spark, rows)).repartition(3)
+    code = mixing.letter_code(mixing.count_tokens(training))
+    plain = Counter()
+    for _, text in rows:
+        for word in mixing.tokens((text or "").encode()):
+            tail = (0, 0)
+            for b in word + b" ":
+                plain[tail, b] += 1
+                tail = (tail[1], b)
+    for p, q in ((0, 0), (0, ord("z")), (ord("z"), ord("q"))):
+        at = code.rows[256 * p + q]
+        assert at > 0
+        one = mixing.prefix_code(np.array([plain[(p, q), b] for b in range(256)]))
+        assert (code.sizes[at : at + 256] == one.sizes).all()
+    spelled = mixing.spell([mixing.tokens((t or "").encode()) for _, t in rows], code)
+    counts, lessons = mixing.learned(training, code, Scratch(spark))
+    own = np.zeros((mixing.SLOTS, 2))
+    for slots in spelled.slots:
+        np.add.at(own, (slots, spelled.bits), 1)
+    assert (counts == own).all()
+    model = mixing.settle(counts, code, lessons)
+    opened, hits = lessons[-256 * mixing.REFINE * 2 - mixing.GATES :][: mixing.GATES], lessons[-256 * mixing.REFINE * 2 :]
+    assert opened.sum() == hits.sum() == len(spelled.bits)
+    assert (model.weights != np.float32(0.4)).any()
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs, empty = odd(spark), frame(spark, [])
     path = public_tokenizers.path("byte_bpe_50k.json")

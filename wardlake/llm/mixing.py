@@ -1,13 +1,16 @@
 """Language-model scores: unigram base scores, and online logistic mixing of hashed-context bit predictors.
 
 A text is its tokens (A-Z lower-cased, split at ASCII white space) joined by one space and closed by a
-line end. Each byte is a path of bits in a prefix code. Three contexts (two bytes, four bytes, the
-current word so far), hashed together with the place in the path, count zeros and ones over all training
-documents; the counts are fixed-size tables, so what is broadcast does not grow with the corpus. Each
-count gives a prediction in the logistic domain and a confidence. The confidences gate which set of
-weights mixes the predictions; weights are learned online on a bounded sample of training documents, each
-seen with its own counts taken out, and go on learning within documents of more than STEP bits. A last table refines
-the mixed prediction by the byte before. The score is the log10 probability of the whole text.
+line end. Each byte is a path of bits in a prefix code, which depends on the two bytes of the word before
+it. Three contexts (three bytes, five bytes, the current word so far), hashed, together with the place in
+the path count zeros and ones over all training documents; the counts are fixed-size tables, so what is
+broadcast does not grow with the corpus. Each count gives a prediction in the logistic domain and a
+confidence. The confidences gate which set of weights mixes the predictions. Code, counts, weights and
+refinement are learned from all training documents: each task goes through its documents in order,
+predicts them by what it counted before, learns weights online from the errors and only then counts them;
+counts are added up, weights averaged by how often their gate was open. In scoring, weights go on learning
+within documents of more than STEP bits. A last table refines the mixed prediction by the byte before. The
+score is the log10 probability of the whole text.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,24 +30,31 @@ from pyspark.sql import functions as F
 from wardlake.llm.common import Scratch, by_batch, longs, remainder, texts
 
 TABLE_BITS = (18, 21, 22)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+OFFSETS = np.concatenate([[0], np.cumsum([(1 << b) + 256 for b in TABLE_BITS])])  # a context's nodes may lie beyond its last slot
 SLOTS = int(OFFSETS[-1])
 BLOCK = 1 << 14  # slots that are added up together
 FAN_IN = 64  # partial tables added up by one task
 CONTEXTS = ((3, False), (5, False), (8, True))  # how many bytes back a context sees, and whether only in the current word
-_PRIME = np.uint64(0x2127599BF4325C37)
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)  # the last n bytes of eight
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 LEVELS = (1, 2, 4, 10, 40, 200)  # counts at which confidence rises
+_LEVEL = np.searchsorted(np.array(LEVELS), np.arange(LEVELS[-1] + 1), side="right").astype(np.int16)
 GATES = (len(LEVELS) + 1) ** len(TABLE_BITS)
-PAD = b"\n" * 12
-STREAM = 1 << 15  # bytes looked at together
-STEP = 1 << 14  # bits between updates of the weights
+PAD = b"\n" * 8
+STREAM = 1 << 16  # bytes looked at together
+STEP = 11 << 10  # bits between updates of the weights
 RATE = 0.005
+WARM = 1 << 22  # bits of a task in which weights are learned four times as fast
+FIRST = 1 << 18  # bits of a task in which texts are looked at one by one
+RENEW = 2  # a task predicts by newer counts whenever it has seen so many times the bits
 REFINE = 33
 SCALE = 256
+FIXED = 1 << 12  # summed weights are whole multiples of 1 / FIXED: their sum does not depend on the order
+CODES = 512  # pairs of bytes, the commonest, with a prefix code of their own; the others share one
 HEAVY = 100_000  # tokens whose counts are broadcast, each of HEAVY_BYTES at most; the others are joined
 HEAVY_BYTES = 64
-FIT_DOCS, FIT_BYTES = 400, 3_000_000  # training documents the weights are fitted on, those with the smallest hash of their id
 TALLY = 300_000  # tokens a task holds before it passes its counts on
+GATHER = 4 << 20  # bytes of distinct tokens whose letters are counted together
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -51,35 +62,39 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 class Code(NamedTuple):
-    """A prefix code of bytes: the bits of byte b are at starts[b] : starts[b] + sizes[b]."""
+    """Prefix codes of bytes: the bits of byte b after the bytes p, q of its word are at starts[c] : starts[c] + sizes[c], c = rows[256 * p + q] + b."""
 
+    rows: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
-    nodes: np.ndarray
+    nodes: np.ndarray  # numbered from the root on, those met most often first
     bits: np.ndarray
 
 
-def prefix_code(counts: np.ndarray) -> Code:
-    """Huffman's code of 256 symbols; every symbol has a path."""
-    heap = [(int(n) + 1, i, i) for i, n in enumerate(counts)]
+def prefix_code(counts: np.ndarray, rows: np.ndarray | None = None) -> Code:
+    """Huffman's codes of 256 symbols, one for each row of counts; every symbol has a path. By default all pairs of bytes use the first."""
+    paths = [p for row in np.reshape(counts, (-1, 256)) for p in _paths(row.tolist())]
+    sizes = np.array([len(p) for p in paths])
+    flat = np.array([x for p in paths for x in p])
+    rows = np.zeros(1 << 16, np.int64) if rows is None else rows * 256
+    return Code(rows, sizes.cumsum() - sizes, sizes, flat[:, 0].copy(), flat[:, 1].astype(np.uint8))
+
+
+def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
+    heap = [(n + 1, i) for i, n in enumerate(counts)]
     heapq.heapify(heap)
-    parent, side, size = {}, {}, 256
+    above, size = {}, 256
     while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        for bit, x in enumerate((a, b)):
-            parent[x[2]], side[x[2]] = size, bit
-        heapq.heappush(heap, (a[0] + b[0], size, size))
+        a = heapq.heappop(heap)
+        b = heap[0]
+        above[a[1]], above[b[1]] = (size, 0), (size, 1)
+        heapq.heapreplace(heap, (a[0] + b[0], size))
         size += 1
-    paths = []
-    for i in range(256):
-        path, at = [], i
-        while at in parent:
-            path.append((parent[at] - 256, side[at]))
-            at = parent[at]
-        paths.append(path[::-1])
-    sizes = np.array([len(p) for p in paths])
-    flat = np.array([x for p in paths for x in p])
-    return Code(sizes.cumsum() - sizes, sizes, flat[:, 0].astype(np.uint32), flat[:, 1].astype(np.uint8))
+    found: dict[int, list] = {size - 1: []}
+    for i in range(size - 2, -1, -1):
+        up, bit = above[i]
+        found[i] = [*found[up], (size - 1 - up, bit)]
+    return [found[i] for i in range(256)]
 
 
 class Bits(NamedTuple):
@@ -89,27 +104,31 @@ class Bits(NamedTuple):
     ends: np.ndarray  # where each text's bits begin, and the last one's end
 
 
-def _contexts(x: np.ndarray, which: tuple[int, ...]) -> list[np.ndarray]:
-    """32-bit hashes of the bytes before each place from len(PAD) on, as many as CONTEXTS says; where it says so, only those of the current word."""
-    wanted = [CONTEXTS[c] for c in which]
-    out, low = {}, len(PAD)
-    for within in (False, True):
-        longest = max([n for n, w in wanted if w == within], default=0)
-        tail, inside = np.zeros(len(x) - low, np.uint64), np.ones(len(x) - low, bool)
-        for i in range(1, longest + 1):
-            byte = x[low - i : len(x) - i]
-            if within:
-                inside &= byte > 32
-                byte = byte * inside
-            tail = tail * _PRIME + byte
-            if (i, within) in wanted:
-                out[i, within] = ((tail ^ tail >> np.uint64(29)) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32)
-    return [out[c] for c in wanted]
+def _windows(data: bytes) -> np.ndarray:
+    """The eight bytes before each place from the eighth on as one number, the last byte lowest."""
+    out = np.empty(len(data) - 8, np.uint64)
+    for k in range(min(8, len(out))):
+        some = out[k::8]
+        some[:] = np.frombuffer(data, ">u8", len(some), k)
+    return out
+
+
+def _within(raw: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Of the eight bytes before each place, those of the current word."""
+    place = np.arange(len(raw), dtype=np.int32)
+    gap = np.maximum.accumulate(np.where(raw <= 32, place, 0))
+    return tail & _TAILS.take(np.minimum(place[7:-1] - gap[7:-1], 8))
+
+
+def _bases(tail: np.ndarray, context: int) -> np.ndarray:
+    """Where the slots of a context begin; the nodes of its code follow, so that a byte's bits lie side by side."""
+    mixed = tail * _MIX
+    mixed >>= np.uint64(64 - TABLE_BITS[context])
+    mixed += np.uint64(OFFSETS[context])
+    return mixed.view(np.int64)
 
 
 EVERY = tuple(range(len(CONTEXTS)))
-ACROSS = tuple(c for c in EVERY if not CONTEXTS[c][1])
-WITHIN = tuple(c for c in EVERY if CONTEXTS[c][1])
 
 
 def spell(parts: list[list[bytes]], code: Code, which: tuple[int, ...] = EVERY) -> Bits:
@@ -118,32 +137,36 @@ def spell(parts: list[list[bytes]], code: Code, which: tuple[int, ...] = EVERY)
 
 
 def spell_bytes(spelled: list[bytes], code: Code, which: tuple[int, ...]) -> Bits:
-    raw = np.frombuffer(PAD + PAD.join(spelled), np.uint8)
-    sizes = np.array([len(s) for s in spelled])
-    begin = (sizes + len(PAD)).cumsum() - (sizes + len(PAD))  # counted from the end of the first PAD
-    at = np.arange(int(sizes.sum())) + np.repeat(begin - (sizes.cumsum() - sizes), sizes)
-    symbol = raw[at + len(PAD)]
-    n = code.sizes[symbol]
-    path = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((code.starts[symbol] - (n.cumsum() - n)).astype(np.int32), n)
-    node = code.nodes[path] * np.uint32(0x9E3779B1)
-    slots = np.empty((len(which), len(path)), np.int32)
-    for i, (c, context) in enumerate(zip(which, _contexts(raw.astype(np.uint64), which))):
-        mixed = (np.repeat(context[at], n) + node) * np.uint32(0x85EBCA6B)
-        mixed >>= np.uint32(32 - TABLE_BITS[c])
-        slots[i] = mixed
-        slots[i] += np.int32(OFFSETS[c])
-    ends = np.concatenate([[0], n.cumsum()])[np.concatenate([[0], sizes.cumsum()])]
-    return Bits(slots, code.bits[path], np.repeat(raw[at + len(PAD) - 1], n), ends)
-
-
-def streams(column, first: int = 0):
-    """Lists of (number, tokens) of about STREAM bytes."""
+    data = PAD + PAD.join(spelled)
+    raw = np.frombuffer(data, np.uint8)
+    tail = _windows(data)
+    word = _within(raw, tail)
+    cell = code.rows.take((word & np.uint64(0xFFFF)).view(np.int64), mode="clip") + raw[8:]
+    n = code.sizes.take(cell, mode="clip")
+    lengths = np.array([len(s) + len(PAD) for s in spelled])
+    begin = lengths.cumsum() - lengths
+    n[(begin[1:, None] - np.arange(1, len(PAD) + 1)).ravel()] = 0  # no bits between texts
+    first = n.cumsum() - n
+    of = np.repeat(np.arange(len(n)), n)  # each bit's byte
+    path = (code.starts.take(cell, mode="clip") - first).take(of, mode="clip")
+    path += np.arange(len(path))
+    node = code.nodes.take(path, mode="clip")
+    slots = np.empty((len(which), len(path)), np.int64)
+    for out, c in zip(slots, which):
+        reach, inside = CONTEXTS[c]
+        _bases((word if inside else tail) & _TAILS[reach], c).take(of, mode="clip", out=out)
+        out += node
+    return Bits(slots, code.bits.take(path, mode="clip"), raw[7:-1].take(of, mode="clip"), np.append(first[begin], len(path)))
+
+
+def streams(column, most: int = STREAM):
+    """Lists of (number, tokens) of about so many bytes."""
     some, size = [], 0
     for i, text in enumerate(column):
         text = text.as_py()
-        some.append((first + i, tokens(text)))
+        some.append((i, tokens(text)))
         size += len(text or b"")
-        if size >= STREAM:
+        if size >= most:
             yield some
             some, size = [], 0
     if some:
@@ -151,37 +174,31 @@ def streams(column, first: int = 0):
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+    """As the narrowest whole numbers that hold them, whose width comes first."""
+    kind = next(k for k in ("<i2", "<i4", "<i8") if k == "<i8" or abs(counts).max(initial=0) < 1 << 8 * int(k[2]) - 1)
+    return kind[2:].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<i8")
+    return np.frombuffer(zlib.decompress(data[1:]), f"<i{data[:1].decode()}").astype(np.int64)
 
 
-def count_bits(training: DataFrame, code: Code, scratch: Scratch) -> np.ndarray:
-    """[slot][bit] over all training documents: each task fills one table, and the tables are added up FAN_IN at a time."""
+def learned(training: DataFrame, code: Code, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """[slot][bit] counts and a Learner's lessons over all training documents: each task fills one table, and the tables are added up FAN_IN at a time."""
     shared = training.sparkSession.sparkContext.broadcast(code)
 
     def fill(batches):
-        table, one = np.zeros(2 * SLOTS, np.uint32), np.uint32(1)
-        words: Counter = Counter()  # what happens within a word is the same wherever it stands
+        learner = Learner(shared.value)
         for batch in batches:
             for some in streams(batch["text"]):
-                spelled = spell([t for _, t in some], shared.value, ACROSS)
-                for slots in spelled.slots:
-                    np.add.at(table, _places(slots, spelled.bits), one)
-                for _, t in some:
-                    words.update(t[:-1])
-                    words[t[-1] + b"\n" if t else b"\n"] += 1
-                if len(words) > TALLY:
-                    _add_words(table, words, shared.value)
-                    words = Counter()
-        _add_words(table, words, shared.value)
+                learner.see([t for _, t in some])
         part = TaskContext.get().partitionId()
+        if learner.seen:
+            yield _table(part, LESSONS, learner.lessons())
         for block in range(0, SLOTS, BLOCK):
-            counts = table[2 * block : 2 * (block + BLOCK)]
+            counts = learner.table[2 * block : 2 * (block + BLOCK)]
             if counts.any():
-                yield pa.record_batch([longs([part]), longs([block]), pa.array([_packed(counts)], pa.binary())], ["part", "block", "counts"])
+                yield _table(part, block, counts)
 
     def add(tables):
         total = sum(_unpacked(data.as_py()) for data in tables["counts"])
@@ -195,24 +212,21 @@ def count_bits(training: DataFrame, code: Code, scratch: Scratch) -> np.ndarray:
         parts = 0 if parts <= FAN_IN else -(-parts // FAN_IN)
         if parts > 0:
             tables = scratch.keep(tables)
-    out = np.zeros(2 * SLOTS, np.float32)  # large counts need no last digits
+    out, lessons = np.zeros(2 * SLOTS, np.float32), Learner(code).lessons()  # large counts need no last digits
     for row in tables.coalesce(8).toLocalIterator():
-        out[2 * row["block"] : 2 * (row["block"] + BLOCK)] = _unpacked(bytes(row["counts"]))
-    return out.reshape(SLOTS, 2)
+        found = _unpacked(bytes(row["counts"]))
+        if row["block"] == LESSONS:
+            lessons = found
+        else:
+            out[2 * row["block"] : 2 * (row["block"] + BLOCK)] = found
+    return out.reshape(SLOTS, 2), lessons
 
 
-def _places(slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (2 * slots + bits).astype(np.int64)  # with other index or value types adding in place is twenty times slower
+LESSONS = -1  # stands in place of a block's number
 
 
-def _add_words(table: np.ndarray, words: Counter, code: Code) -> None:
-    items = list(words.items())
-    for at in range(0, len(items), STREAM // 4):
-        some = items[at : at + STREAM // 4]
-        spelled = spell_bytes([w if w.endswith(b"\n") else w + b" " for w, _ in some], code, WITHIN)
-        times = np.repeat(np.array([n for _, n in some], np.uint32), np.diff(spelled.ends))
-        for slots in spelled.slots:
-            np.add.at(table, _places(slots, spelled.bits), times)
+def _table(part: int, block: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([longs([part]), longs([block]), pa.array([_packed(counts)], pa.binary())], ["part", "block", "counts"])
 
 
 class Model(NamedTuple):
@@ -224,8 +238,12 @@ class Model(NamedTuple):
 
 def facts(counts: np.ndarray) -> np.ndarray:
     n0, n1 = counts[..., 0].astype(np.float32), counts[..., 1].astype(np.float32)
-    odds = np.rint(np.clip(np.log((n1 + 0.3) / (n0 + 0.3)), -8, 8) * SCALE)
-    return (odds * 8 + np.searchsorted(np.array(LEVELS), n0 + n1, side="right")).astype(np.int16)
+    odds = np.rint(np.clip(np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3))), -8, 8) * SCALE)
+    return (odds * 8).astype(np.int16) + _LEVEL.take(np.minimum(n0 + n1, LEVELS[-1]).astype(np.int16))
+
+
+def all_facts(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([facts(counts[i : i + BLOCK]) for i in range(0, SLOTS, BLOCK)])
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -242,7 +260,7 @@ def unfold(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gate = np.zeros(known.shape[1], np.int16)
     for row in known:
         gate = gate * np.int16(len(LEVELS) + 1) + (row & 7)
-    return (known >> 3) * np.float32(1 / SCALE), gate
+    return (known >> 3) * np.float32(1 / SCALE), gate.astype(np.int64)
 
 
 def mixed_by(stretch: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -281,37 +299,75 @@ def cost(mixed: np.ndarray, bits: np.ndarray, before: np.ndarray, refine: np.nda
     return np.log(np.abs(p - (1 - bits)))  # 1 - p where the bit is 0
 
 
-def fit(samples: list[list[bytes]], counts: np.ndarray, code: Code) -> Model:
-    weights = np.full((len(CONTEXTS), GATES), 0.4, np.float32)
+class Learner:
+    """Goes through texts in order: predicts each by what was counted before it, learns weights and refinement from the errors, then counts it."""
+
+    def __init__(self, code: Code):
+        self.code = code
+        self.table = np.zeros(2 * SLOTS, np.uint32)  # [slot * 2 + bit]
+        self.known = np.zeros(SLOTS, np.int16)
+        self.weights = np.full((len(CONTEXTS), GATES), 0.4, np.float32)
+        self.opened = np.zeros(GATES, np.int64)
+        self.hits = np.zeros(2 * 256 * REFINE, np.int64)
+        self.seen, self.renewed = 0, 0
+
+    def see(self, parts: list[list[bytes]]) -> None:
+        """The first texts count before the next is looked at, later ones together."""
+        for some in [[p] for p in parts] if self.seen < FIRST else [parts]:
+            self._see(some)
+
+    def _see(self, parts: list[list[bytes]]) -> None:
+        spelled = spell(parts, self.code)
+        stretch, gate = unfold(self.known.take(spelled.slots, mode="clip"))
+        mixed = mix(stretch, gate, spelled.bits, self.weights, RATE * (4 if self.seen < WARM else 1), STEP, True)
+        self.opened += np.bincount(gate, minlength=GATES)
+        self.hits += np.bincount(_place(mixed, spelled.before) + spelled.bits * np.int32(256 * REFINE), minlength=len(self.hits))
+        places = np.left_shift(spelled.slots, 1, out=spelled.slots)
+        places += spelled.bits
+        for row in places:
+            np.add.at(self.table, row, np.uint32(1))  # with other index or value types adding in place is twenty times slower
+        self.seen += len(spelled.bits)
+        if self.seen >= RENEW * self.renewed:
+            self.renewed = self.seen
+            for at in range(0, SLOTS, 16 * BLOCK):
+                counts = self.table[2 * at : 2 * (at + 16 * BLOCK)]
+                used = np.flatnonzero(counts.view(np.uint64))
+                self.known[at + used] = facts(counts.reshape(-1, 2)[used])
+
+    def lessons(self) -> np.ndarray:
+        """What is added up over tasks: weights times how often their gate was open, that number, and the refinement's counts."""
+        weighed = np.rint(self.weights.astype(np.float64) * self.opened * FIXED).astype(np.int64)
+        return np.concatenate([weighed.ravel(), self.opened, self.hits])
+
+
+def settle(counts: np.ndarray, code: Code, lessons: np.ndarray) -> Model:
+    weighed, opened, hits = np.split(lessons, [len(CONTEXTS) * GATES, (len(CONTEXTS) + 1) * GATES])
+    weights = np.where(opened > 0, weighed.reshape(-1, GATES) / FIXED / np.maximum(opened, 1), 0.4).astype(np.float32)
+    hits = hits.reshape(2, 256 * REFINE)
     grid = np.tile(_squash(np.linspace(-8, 8, REFINE)), 256)
-    hits = np.zeros((2, 256 * REFINE))
-    for turn in range(2):
-        for sample in samples:
-            spelled = spell([sample], code)
-            known = np.empty(spelled.slots.shape, np.int16)
-            for i, slots in enumerate(spelled.slots):
-                found, which = np.unique(slots, return_inverse=True)
-                own = np.stack([np.bincount(which, weights=spelled.bits == b, minlength=len(found)) for b in (0, 1)], 1)
-                known[i] = facts(np.maximum(counts[found] - own, 0))[which]
-            stretch, gate = unfold(known)
-            mixed = mix(stretch, gate, spelled.bits, weights, RATE * (1 if turn else 4), 4096, True)
-            if turn:
-                np.add.at(hits, (spelled.bits, _place(mixed, spelled.before)), 1)
     refine = (hits[1] + 20 * grid) / (hits.sum(0) + 20)
-    known = np.concatenate([facts(counts[i : i + BLOCK]) for i in range(0, SLOTS, BLOCK)])
-    return Model(code, known, weights, np.clip(refine, 1e-5, 1 - 1e-5).astype(np.float32))
+    return Model(code, all_facts(counts), weights, np.clip(refine, 1e-5, 1 - 1e-5).astype(np.float32))
+
+
+def fit(samples: list[list[bytes]], counts: np.ndarray, code: Code) -> Model:
+    """A model with the given counts and what is learned in one place from some texts in order."""
+    learner = Learner(code)
+    for sample in samples:
+        learner.see([sample])
+    return settle(counts, code, learner.lessons())
 
 
 def scores(parts: list[list[bytes]], model: Model) -> np.ndarray:
     """log10 probability of each tokenised text; the texts do not influence each other."""
     spelled = spell(parts, model.code)
     stretch, gate = unfold(model.known.take(spelled.slots, mode="clip"))
-    mixed = mixed_by(stretch, gate, model.weights)
-    for a, b in zip(spelled.ends, spelled.ends[1:]):
-        if b - a > STEP:  # its first bits are right already; the weights that they teach are for the following ones
-            weights, c = model.weights.copy(), a + STEP
-            learn(weights, stretch[:, a:c], gate[a:c], mixed[a:c], spelled.bits[a:c], RATE)
-            mixed[c:b] = mix(stretch[:, c:b], gate[c:b], spelled.bits[c:b], weights, RATE)
+    mixed, done = np.empty(len(gate), np.float32), 0
+    for k in np.flatnonzero(np.diff(spelled.ends) > STEP):
+        a, b = spelled.ends[k : k + 2]
+        mixed[done:a] = mixed_by(stretch[:, done:a], gate[done:a], model.weights)
+        mixed[a:b] = mix(stretch[:, a:b], gate[a:b], spelled.bits[a:b], model.weights.copy(), RATE)
+        done = b
+    mixed[done:] = mixed_by(stretch[:, done:], gate[done:], model.weights)
     each = cost(mixed, spelled.bits, spelled.before, model.refine)
     return np.add.reduceat(each, spelled.ends[:-1], dtype=np.float64) / np.log(10)
 
@@ -320,34 +376,52 @@ def count_tokens(training: DataFrame) -> DataFrame:
     """token, c: over all training documents; counted in each task first."""
 
     def run(batches):
-        tally: Counter = Counter()
+        held, rows = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                tally.update(tokens(text.as_py()))
-                if len(tally) > TALLY:
-                    yield _tallied(tally)
-                    tally = Counter()
-        if tally:
-            yield _tallied(tally)
+            for some in streams(batch["text"], GATHER):
+                each = pa.array([w for _, words in some for w in words], pa.binary()).value_counts()
+                held.append(pa.table({"token": each.field("values"), "n": each.field("counts")}))
+                rows += len(each)
+                if rows > 2 * TALLY:
+                    held = [_tallied(held)]
+                    rows = held[0].num_rows
+                    if rows > TALLY:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
+        if rows:
+            yield from _tallied(held).to_batches()
 
     return training.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def _tallied(tally: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(tally), pa.binary()), longs(list(tally.values()))], ["token", "n"])
+def _tallied(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
 
-def _sample(training: DataFrame) -> list[list[bytes]]:
-    chosen = training.select("doc_id", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").limit(FIT_DOCS)
-    rows = training.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "text").orderBy("order", "doc_id")
-    out, size = [], 0
-    for row in rows.toLocalIterator():
-        if size > FIT_BYTES:
-            break
-        text = bytes(row["text"] or b"")
-        out.append(tokens(text))
-        size += len(text)
-    return out
+def letter_code(counts: DataFrame) -> Code:
+    """Prefix codes from all training tokens: for each of the CODES commonest pairs of bytes in a word what follows, for the others and on the whole what follows any."""
+
+    def run(batch):
+        data = PAD + b" ".join(batch["token"].to_pylist()) + b" "
+        raw = np.frombuffer(data, np.uint8)
+        word = _within(raw, _windows(data)) & np.uint64(0xFFFF)
+        times = np.repeat(batch["c"].to_numpy(), [len(t) + 1 for t in batch["token"].to_pylist()])
+        found, which = np.unique(word.astype(np.int64) * 256 + raw[8:], return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, which, times)
+        return pa.record_batch([longs(found >> 8), longs(found & 255), longs(total)], ["pair", "letter", "n"])
+
+    letters = counts.select("token", "c").mapInArrow(by_batch(run, GATHER), "pair long, letter long, n long").groupBy("pair", "letter").agg(F.sum("n").alias("n")).persist()
+    every = letters.groupBy("letter").agg(F.sum("n")).collect()
+    pairs = [r[0] for r in letters.groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "pair").limit(CODES).collect()]
+    rows, table = np.zeros(1 << 16, np.int64), np.zeros((len(pairs) + 1, 256), np.int64)
+    rows[pairs] = np.arange(1, len(pairs) + 1)
+    for letter, n in every:
+        table[0, letter] = n
+    for pair, letter, n in letters.where(F.col("pair").isin(pairs)).collect():
+        table[rows[pair], letter] = n
+    letters.unpersist()
+    return prefix_code(table, rows)
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, scratch: Scratch | None = None) -> DataFrame:
@@ -367,10 +441,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, scratch: Scratch | Non
     n_train = training.select("doc_id").count()
     kinds, total = known[0] + (n_train > 0), known[1] + n_train
     common = counts.where(F.length("token") <= HEAVY_BYTES).orderBy(F.col("c").desc(), "token").limit(HEAVY).toPandas()
-    heavy = sc.broadcast(dict(zip(map(bytes, common["token"]), common["c"].tolist())))
-    samples = _sample(training)
-    code = prefix_code(np.bincount(np.frombuffer(b"".join(b" ".join(s) + b"\n" for s in samples), np.uint8), minlength=256))
-    model = sc.broadcast(fit(samples, count_bits(training, code, scratch), code))
+    heavy = sc.broadcast((pa.array(common["token"], pa.binary()), np.append(np.log10(common["c"].to_numpy(float) + 1), 0)))
+    code = letter_code(counts)
+    bits, lessons = learned(training, code, scratch)
+    model = sc.broadcast(settle(bits, code, lessons))
+    del bits
     found = scratch.keep(_look(plain.withColumn("held_out", held_out).withColumn("row", F.monotonically_increasing_id()), heavy, model, n_train), from_scan=True)
     rare = found.select("row", F.explode("rare").alias("r")).select("row", F.col("r.token").alias("token"), F.col("r.n").alias("n"))
     met = rare.join(counts, "token").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
@@ -383,26 +458,24 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, scratch: Scratch | Non
 def _look(rows: DataFrame, heavy: Broadcast, model: Broadcast, n_train: int) -> DataFrame:
     """Per row what the broadcast counts say, the model's score, and the tokens that are not among the broadcast ones."""
     def run(batch):
-        table, n = heavy.value, batch.num_rows
-        n_tokens, n_known, logs, score = np.zeros(n, np.int64), np.full(n, int(n_train > 0)), np.full(n, np.log10(n_train + 1)), np.zeros(n)
-        rare, times, sizes = [], [], []
+        (names, logarithms), n = heavy.value, batch.num_rows
+        sizes, score, words = np.zeros(n, np.int64), np.zeros(n), []
         for some in streams(batch["text"]):
             score[[i for i, _ in some]] = scores([t for _, t in some], model.value)
-            for i, words in some:
-                n_tokens[i] = len(words) + 1
-                counted = Counter(words)
-                found = list(map(table.get, counted))
-                known = [(c, k) for c, k in zip(found, counted.values()) if c is not None]
-                if known:
-                    c, k = np.array(known).T
-                    n_known[i] += k.sum()
-                    logs[i] += np.log10(c + 1.0) @ k
-                left = [(w, k) for (w, k), c in zip(counted.items(), found) if c is None]
-                rare += [w for w, _ in left]
-                times += [k for _, k in left]
-                sizes.append(len(left))
+            for i, found in some:
+                sizes[i] = len(found)
+                words += found
+        place = pc.index_in(pa.array(words, pa.binary()), value_set=names).fill_null(-1).to_numpy()
+        of = np.repeat(np.arange(n), sizes)
+        n_known = np.bincount(of[place >= 0], minlength=n) + int(n_train > 0)
+        logs = np.bincount(of, weights=logarithms[place], minlength=n) + np.log10(n_train + 1)
+        left = np.flatnonzero(place < 0)
+        ends = np.searchsorted(left, np.concatenate([[0], sizes.cumsum()])).tolist()
+        left = [words[k] for k in left.tolist()]
+        lists = [Counter(left[a:b]) for a, b in zip(ends, ends[1:])]
+        rare, times = [w for r in lists for w in r], [k for r in lists for k in r.values()]
         pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), longs(times)], ["token", "n"])
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pairs)
-        return pa.record_batch([batch["row"], batch["doc_id"], batch["held_out"], longs(n_tokens), longs(n_known), pa.array(logs), pa.array(score), lists], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, lists)]).astype(np.int32), pairs)
+        return pa.record_batch([batch["row"], batch["doc_id"], batch["held_out"], longs(sizes + 1), longs(n_known), pa.array(logs), pa.array(score), lists], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
 
     return rows.select("row", "doc_id", "held_out", "text").mapInArrow(by_batch(run), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<struct<token:binary,n:bigint>>")
