@@ -449,6 +449,44 @@ def test_codes_counts_and_weights_are_learned_from_all_training_documents(spark)
     assert (model.weights != np.float32(0.4)).any()
 
 
+def test_tokens_of_a_column_are_those_of_each_text():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    odd_bytes = b" \t\n\x0b\x0c\r\x00\x1c\x1f\x85\xa0AZaz\xc3\xff"
+    rows = [None, b"", b" ", b"A", "\u00c4B c\x85d".encode(), *(bytes(rng.choice(odd_bytes) for _ in range(rng.randrange(30))) for _ in range(2000))]
+    column = pa.array([b"before", *rows], pa.binary()).slice(1)
+    found = mixing.tokenised(column)
+    assert found.flatten().cast(pa.binary()).to_pylist() == [w for r in rows for w in mixing.tokens(r)]
+    assert found.value_lengths().fill_null(0).to_pylist() == [len(mixing.tokens(r)) for r in rows]
+    assert [t for some in mixing.streams(column, found) for t in some] == [(i, b" ".join(mixing.tokens(r)) + b"\n") for i, r in enumerate(rows)]
+
+
+def test_a_step_moves_each_weight_by_the_errors_under_its_gate():
+    rng = np.random.default_rng(14)
+    stretch, gate = rng.normal(size=(len(mixing.CONTEXTS), 500)).astype(np.float32), rng.integers(0, mixing.GATES, 500)
+    bits, chance = rng.integers(0, 2, 500).astype(np.uint8), rng.random(500).astype(np.float32)
+    weights = np.full((len(mixing.CONTEXTS), mixing.GATES), 0.4, np.float32)
+    opened = mixing.learn(weights, stretch, gate, chance, bits, 0.1)
+    for g in range(mixing.GATES):
+        here = gate == g
+        assert opened[g] == here.sum()
+        for w, s in zip(weights, stretch):
+            moved = 0.1 * ((bits[here] - chance[here]).astype(float) * s[here]).sum() / max(here.sum(), 1) ** 0.5
+            assert math.isclose(w[g], 0.4 + moved, rel_tol=1e-5, abs_tol=1e-5)
+
+
+def test_often_read_paths_of_a_code_lie_together():
+    rng = np.random.default_rng(15)
+    code = mixing.prefix_code(rng.integers(0, 1 << 20, (40, 256)) ** 3)
+    order = np.argsort(code.starts)
+    assert (np.diff(code.sizes[order]) >= 0).all() and (code.starts[order][1:] == np.cumsum(code.sizes[order])[:-1]).all()
+    for row in range(0, 40, 13):
+        paths = {tuple(code.turns[code.starts[c] : code.starts[c] + code.sizes[c]]) for c in range(256 * row, 256 * row + 256)}
+        assert len(paths) == 256 and math.isclose(sum(0.5 ** len(p) for p in paths), 1)
+        assert code.turns.itemsize == 2
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs, empty = odd(spark), frame(spark, [])
     path = public_tokenizers.path("byte_bpe_50k.json")

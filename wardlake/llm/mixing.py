@@ -39,6 +39,7 @@ _TAILS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uin
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 LEVELS = (1, 2, 4, 10, 40, 200)  # counts at which confidence rises
 _LEVEL = np.searchsorted(np.array(LEVELS), np.arange(LEVELS[-1] + 1), side="right").astype(np.int16)
+_ONE = np.array([1, 0, 0, 1], np.uint32).view(np.uint64)  # a zero and a one as a slot's pair of counts
 GATES = (len(LEVELS) + 1) ** len(TABLE_BITS)
 PAD = b"\n" * 8
 STREAM = 1 << 16  # bytes looked at together
@@ -57,27 +58,38 @@ TALLY = 300_000  # tokens a task holds before it passes its counts on
 GATHER = 4 << 20  # bytes of distinct tokens whose letters are counted together
 
 
+ANY_BYTES = pc.CastOptions(pa.string(), allow_invalid_utf8=True)
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def tokenised(column: pa.Array) -> pa.ListArray:
+    """The same for every text of a column of bytes; null where there are no tokens."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.cast(column, options=ANY_BYTES)))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(text, ""), None, text))
+
+
 class Code(NamedTuple):
     """Prefix codes of bytes: the bits of byte b after the bytes p, q of its word are at starts[c] : starts[c] + sizes[c], c = rows[256 * p + q] + b."""
 
     rows: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
-    nodes: np.ndarray  # numbered from the root on, those met most often first
-    bits: np.ndarray
+    turns: np.ndarray  # 2 * node + bit; nodes are numbered from the root on, those met most often first. Short paths lie together: few are read often
 
 
 def prefix_code(counts: np.ndarray, rows: np.ndarray | None = None) -> Code:
     """Huffman's codes of 256 symbols, one for each row of counts; every symbol has a path. By default all pairs of bytes use the first."""
     paths = [p for row in np.reshape(counts, (-1, 256)) for p in _paths(row.tolist())]
     sizes = np.array([len(p) for p in paths])
-    flat = np.array([x for p in paths for x in p])
+    order = np.argsort(sizes, kind="stable")
+    turns = np.array([2 * node + bit for i in order.tolist() for node, bit in paths[i]], np.int16)
+    starts = np.empty(len(paths), np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
     rows = np.zeros(1 << 16, np.int64) if rows is None else rows * 256
-    return Code(rows, sizes.cumsum() - sizes, sizes, flat[:, 0].copy(), flat[:, 1].astype(np.uint8))
+    return Code(rows, starts, sizes, turns)
 
 
 def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
@@ -115,7 +127,7 @@ def _windows(data: bytes) -> np.ndarray:
 
 def _within(raw: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """Of the eight bytes before each place, those of the current word."""
-    place = np.arange(len(raw), dtype=np.int32)
+    place = np.arange(len(raw))
     gap = np.maximum.accumulate(np.where(raw <= 32, place, 0))
     return tail & _TAILS.take(np.minimum(place[7:-1] - gap[7:-1], 8))
 
@@ -136,12 +148,13 @@ def spell(parts: list[list[bytes]], code: Code, which: tuple[int, ...] = EVERY)
     return spell_bytes([b" ".join(p) + b"\n" for p in parts], code, which)
 
 
-def spell_bytes(spelled: list[bytes], code: Code, which: tuple[int, ...]) -> Bits:
+def spell_bytes(spelled: list[bytes], code: Code, which: tuple[int, ...] = EVERY) -> Bits:
     data = PAD + PAD.join(spelled)
     raw = np.frombuffer(data, np.uint8)
     tail = _windows(data)
     word = _within(raw, tail)
-    cell = code.rows.take((word & np.uint64(0xFFFF)).view(np.int64), mode="clip") + raw[8:]
+    cell = code.rows.take((word & np.uint64(0xFFFF)).view(np.int64), mode="clip")
+    cell += raw[8:]
     n = code.sizes.take(cell, mode="clip")
     lengths = np.array([len(s) + len(PAD) for s in spelled])
     begin = lengths.cumsum() - lengths
@@ -150,23 +163,24 @@ def spell_bytes(spelled: list[bytes], code: Code, which: tuple[int, ...]) -> Bit
     of = np.repeat(np.arange(len(n)), n)  # each bit's byte
     path = (code.starts.take(cell, mode="clip") - first).take(of, mode="clip")
     path += np.arange(len(path))
-    node = code.nodes.take(path, mode="clip")
+    turn = code.turns.take(path, mode="clip")
+    node = np.right_shift(turn, 1, out=path)
     slots = np.empty((len(which), len(path)), np.int64)
     for out, c in zip(slots, which):
         reach, inside = CONTEXTS[c]
         _bases((word if inside else tail) & _TAILS[reach], c).take(of, mode="clip", out=out)
         out += node
-    return Bits(slots, code.bits.take(path, mode="clip"), raw[7:-1].take(of, mode="clip"), np.append(first[begin], len(path)))
+    return Bits(slots, (turn & 1).astype(np.uint8), raw[7:-1].take(of, mode="clip"), np.append(first[begin], len(path)))
 
 
-def streams(column, most: int = STREAM):
-    """Lists of (number, tokens) of about so many bytes."""
+def streams(column: pa.Array, found: pa.ListArray):
+    """Lists of (number, tokens joined and closed) of texts of about STREAM bytes together."""
     some, size = [], 0
-    for i, text in enumerate(column):
-        text = text.as_py()
-        some.append((i, tokens(text)))
-        size += len(text or b"")
-        if size >= most:
+    joined = pc.binary_join(found, " ").cast(pa.binary()).to_pylist()
+    for i, (text, n) in enumerate(zip(joined, pc.binary_length(column).to_pylist())):
+        some.append((i, (text or b"") + b"\n"))
+        size += n or 0
+        if size >= STREAM:
             yield some
             some, size = [], 0
     if some:
@@ -190,7 +204,7 @@ def learned(training: DataFrame, code: Code, scratch: Scratch) -> tuple[np.ndarr
     def fill(batches):
         learner = Learner(shared.value)
         for batch in batches:
-            for some in streams(batch["text"]):
+            for some in streams(batch["text"], tokenised(batch["text"])):
                 learner.see([t for _, t in some])
         part = TaskContext.get().partitionId()
         if learner.seen:
@@ -247,19 +261,28 @@ def all_facts(counts: np.ndarray) -> np.ndarray:
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.exp(-x)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
 def _place(x: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Where the refinement of a mixed prediction after a byte is kept."""
-    return before * np.int32(REFINE) + (np.clip(x + 8, 0, 16) * np.float32((REFINE - 1) / 16) + np.float32(0.5)).astype(np.int32)
+    cell = x + np.float32(8)
+    np.clip(cell, 0, 16, out=cell)
+    cell *= np.float32((REFINE - 1) / 16)
+    cell += np.float32(0.5)
+    out = before * np.int64(REFINE)
+    out += cell.astype(np.int32)
+    return out
 
 
 def unfold(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[context][bit] of what is known -> stretched predictions and gates."""
-    gate = np.zeros(known.shape[1], np.int16)
-    for row in known:
-        gate = gate * np.int16(len(LEVELS) + 1) + (row & 7)
+    gate = known[0] & 7
+    for row in known[1:]:
+        gate *= np.int16(len(LEVELS) + 1)
+        gate += row & 7
     return (known >> 3) * np.float32(1 / SCALE), gate.astype(np.int64)
 
 
@@ -270,33 +293,39 @@ def mixed_by(stretch: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.n
     return np.clip(out, -12, 12, out=out)
 
 
-def learn(weights: np.ndarray, stretch: np.ndarray, gate: np.ndarray, mixed: np.ndarray, bits: np.ndarray, rate: float) -> None:
-    """One online step on the bits just predicted, in place."""
-    error = bits - _squash(mixed)
-    seen = np.sqrt(np.maximum(np.bincount(gate, minlength=GATES), 1))
-    for w, s in zip(weights, stretch):
-        w += rate * np.bincount(gate, weights=error * s, minlength=GATES) / seen
-
-
-def mix(stretch: np.ndarray, gate: np.ndarray, bits: np.ndarray, weights: np.ndarray, rate: float, step: int = STEP, carry: bool = False) -> np.ndarray:
-    """The mixed predictions (stretched) of a text's bits in order; weights learn after every step, in place, after the last one only if they are carried on to another text."""
-    if len(bits) <= step and not carry:
-        return mixed_by(stretch, gate, weights)
-    out = np.empty(len(bits), np.float32)
-    for at in range(0, len(bits), step):
-        s, g = stretch[:, at : at + step], gate[at : at + step]
-        out[at : at + step] = mixed_by(s, g, weights)
-        if at + step < len(bits) or carry:
-            learn(weights, s, g, out[at : at + step], bits[at : at + step], rate)
-    return out
-
-
-def cost(mixed: np.ndarray, bits: np.ndarray, before: np.ndarray, refine: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each bit: the mean of the mixed prediction and its refinement."""
-    p = _squash(mixed)
-    p += refine.take(_place(mixed, before), mode="clip")
+def learn(weights: np.ndarray, stretch: np.ndarray, gate: np.ndarray, chance: np.ndarray, bits: np.ndarray, rate: float) -> np.ndarray:
+    """One online step on the bits just predicted, in place. Returns how often each gate was open."""
+    error = bits - chance
+    sums = np.zeros((2, GATES), np.complex128)  # two sums in one pass
+    both = np.empty(len(bits), np.complex128)
+    both.real, both.imag = error * stretch[0], error * stretch[1]
+    np.add.at(sums[0], gate, both)
+    both.real, both.imag = error * stretch[2], 1
+    np.add.at(sums[1], gate, both)
+    opened = sums[1].imag
+    weights += rate * np.stack([sums[0].real, sums[0].imag, sums[1].real]) / np.sqrt(np.maximum(opened, 1))
+    return opened
+
+
+def mix(stretch: np.ndarray, gate: np.ndarray, bits: np.ndarray, weights: np.ndarray, rate: float, carry: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mixed predictions (stretched, and as chances of a one) of a text's bits in order, and how often each gate was open where weights were learned; they learn after every step, in place, after the last one only if they are carried on to another text."""
+    mixed, chance, opened = np.empty(len(bits), np.float32), np.empty(len(bits), np.float32), np.zeros(GATES)
+    for at in range(0, len(bits), STEP):
+        here = slice(at, at + STEP)
+        mixed[here] = mixed_by(stretch[:, here], gate[here], weights)
+        chance[here] = _squash(mixed[here])
+        if at + STEP < len(bits) or carry:
+            opened += learn(weights, stretch[:, here], gate[here], chance[here], bits[here], rate)
+    return mixed, chance, opened
+
+
+def cost(mixed: np.ndarray, bits: np.ndarray, before: np.ndarray, refine: np.ndarray, chance: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithm of the probability of each bit: the mean of the mixed prediction (its chance of a one, if known already) and its refinement."""
+    p = refine.take(_place(mixed, before), mode="clip")
+    p += _squash(mixed) if chance is None else chance
     p *= np.float32(0.5)
-    return np.log(np.abs(p - (1 - bits)))  # 1 - p where the bit is 0
+    p -= 1 - bits
+    return np.log(np.abs(p, out=p), out=p)  # 1 - p where the bit is 0
 
 
 class Learner:
@@ -311,21 +340,20 @@ class Learner:
         self.hits = np.zeros(2 * 256 * REFINE, np.int64)
         self.seen, self.renewed = 0, 0
 
-    def see(self, parts: list[list[bytes]]) -> None:
+    def see(self, texts: list[bytes]) -> None:
         """The first texts count before the next is looked at, later ones together."""
-        for some in [[p] for p in parts] if self.seen < FIRST else [parts]:
+        for some in [[t] for t in texts] if self.seen < FIRST else [texts]:
             self._see(some)
 
-    def _see(self, parts: list[list[bytes]]) -> None:
-        spelled = spell(parts, self.code)
+    def _see(self, texts: list[bytes]) -> None:
+        spelled = spell_bytes(texts, self.code)
         stretch, gate = unfold(self.known.take(spelled.slots, mode="clip"))
-        mixed = mix(stretch, gate, spelled.bits, self.weights, RATE * (4 if self.seen < WARM else 1), STEP, True)
-        self.opened += np.bincount(gate, minlength=GATES)
-        self.hits += np.bincount(_place(mixed, spelled.before) + spelled.bits * np.int32(256 * REFINE), minlength=len(self.hits))
-        places = np.left_shift(spelled.slots, 1, out=spelled.slots)
-        places += spelled.bits
-        for row in places:
-            np.add.at(self.table, row, np.uint32(1))  # with other index or value types adding in place is twenty times slower
+        mixed, _, opened = mix(stretch, gate, spelled.bits, self.weights, RATE * (4 if self.seen < WARM else 1), True)
+        self.opened += opened.astype(np.int64)
+        self.hits += np.bincount(_place(mixed, spelled.before) + spelled.bits * np.int64(256 * REFINE), minlength=len(self.hits))
+        ones, pairs = _ONE.take(spelled.bits), self.table.view(np.uint64)
+        for row in spelled.slots:
+            np.add.at(pairs, row, ones)  # with other index or value types adding in place is twenty times slower
         self.seen += len(spelled.bits)
         if self.seen >= RENEW * self.renewed:
             self.renewed = self.seen
@@ -353,22 +381,22 @@ def fit(samples: list[list[bytes]], counts: np.ndarray, code: Code) -> Model:
     """A model with the given counts and what is learned in one place from some texts in order."""
     learner = Learner(code)
     for sample in samples:
-        learner.see([sample])
+        learner.see([b" ".join(sample) + b"\n"])
     return settle(counts, code, learner.lessons())
 
 
-def scores(parts: list[list[bytes]], model: Model) -> np.ndarray:
-    """log10 probability of each tokenised text; the texts do not influence each other."""
-    spelled = spell(parts, model.code)
+def scores(texts: list[bytes], model: Model) -> np.ndarray:
+    """log10 probability of each text, its tokens joined and closed; the texts do not influence each other."""
+    spelled = spell_bytes(texts, model.code)
     stretch, gate = unfold(model.known.take(spelled.slots, mode="clip"))
-    mixed, done = np.empty(len(gate), np.float32), 0
-    for k in np.flatnonzero(np.diff(spelled.ends) > STEP):
-        a, b = spelled.ends[k : k + 2]
+    mixed, chance, done = np.empty(len(gate), np.float32), np.empty(len(gate), np.float32), 0
+    for k in [*np.flatnonzero(np.diff(spelled.ends) > STEP), len(texts)]:
+        a, b = spelled.ends[k], spelled.ends[min(k + 1, len(texts))]
         mixed[done:a] = mixed_by(stretch[:, done:a], gate[done:a], model.weights)
-        mixed[a:b] = mix(stretch[:, a:b], gate[a:b], spelled.bits[a:b], model.weights.copy(), RATE)
+        chance[done:a] = _squash(mixed[done:a])
+        mixed[a:b], chance[a:b], _ = mix(stretch[:, a:b], gate[a:b], spelled.bits[a:b], model.weights.copy(), RATE)
         done = b
-    mixed[done:] = mixed_by(stretch[:, done:], gate[done:], model.weights)
-    each = cost(mixed, spelled.bits, spelled.before, model.refine)
+    each = cost(mixed, spelled.bits, spelled.before, model.refine, chance)
     return np.add.reduceat(each, spelled.ends[:-1], dtype=np.float64) / np.log(10)
 
 
@@ -378,16 +406,15 @@ def count_tokens(training: DataFrame) -> DataFrame:
     def run(batches):
         held, rows = [], 0
         for batch in batches:
-            for some in streams(batch["text"], GATHER):
-                each = pa.array([w for _, words in some for w in words], pa.binary()).value_counts()
-                held.append(pa.table({"token": each.field("values"), "n": each.field("counts")}))
-                rows += len(each)
-                if rows > 2 * TALLY:
-                    held = [_tallied(held)]
-                    rows = held[0].num_rows
-                    if rows > TALLY:
-                        yield from held[0].to_batches()
-                        held, rows = [], 0
+            each = tokenised(batch["text"]).flatten().value_counts()
+            held.append(pa.table({"token": each.field("values").cast(pa.binary()), "n": each.field("counts")}))
+            rows += len(each)
+            if rows > 2 * TALLY:
+                held = [_tallied(held)]
+                rows = held[0].num_rows
+                if rows > TALLY:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
         if rows:
             yield from _tallied(held).to_batches()
 
@@ -459,19 +486,17 @@ def _look(rows: DataFrame, heavy: Broadcast, model: Broadcast, n_train: int) ->
     """Per row what the broadcast counts say, the model's score, and the tokens that are not among the broadcast ones."""
     def run(batch):
         (names, logarithms), n = heavy.value, batch.num_rows
-        sizes, score, words = np.zeros(n, np.int64), np.zeros(n), []
-        for some in streams(batch["text"]):
+        found, score = tokenised(batch["text"]), np.zeros(n)
+        for some in streams(batch["text"], found):
             score[[i for i, _ in some]] = scores([t for _, t in some], model.value)
-            for i, found in some:
-                sizes[i] = len(found)
-                words += found
-        place = pc.index_in(pa.array(words, pa.binary()), value_set=names).fill_null(-1).to_numpy()
+        sizes, words = found.value_lengths().fill_null(0).to_numpy().astype(np.int64), found.flatten().cast(pa.binary())
+        place = pc.index_in(words, value_set=names).fill_null(-1).to_numpy()
         of = np.repeat(np.arange(n), sizes)
         n_known = np.bincount(of[place >= 0], minlength=n) + int(n_train > 0)
         logs = np.bincount(of, weights=logarithms[place], minlength=n) + np.log10(n_train + 1)
         left = np.flatnonzero(place < 0)
         ends = np.searchsorted(left, np.concatenate([[0], sizes.cumsum()])).tolist()
-        left = [words[k] for k in left.tolist()]
+        left = words.take(pa.array(left)).to_pylist()
         lists = [Counter(left[a:b]) for a, b in zip(ends, ends[1:])]
         rare, times = [w for r in lists for w in r], [k for r in lists for k in r.values()]
         pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), longs(times)], ["token", "n"])
