@@ -3,6 +3,7 @@
 import fnmatch
 import random
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -176,3 +177,14 @@ def test_intake_packs_its_table(spark, tmp_path):
     intake.take(spark.readStream.schema("line_id string, source string, line string").parquet(folder))
     assert [r["kind"] for r in intake.table().collect()] == ["dead"]
     assert all(name.endswith(".zstd.parquet") for name in intake.table().inputFiles())
+
+
+def test_intake_reads_each_source_once(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    rows = [("z1", "zeek", '{"ts":"1704067200.5","uid":"u","id.orig_p":"7"}'), ("z2", "zeek", '{"ts":"x","uid":"u"}'), ("z3", "zeek", "[1]"), ("z4", "zeek", "{broken"), ("o1", "other", "{}"), ("n1", None, "{}")]
+    spark.createDataFrame(rows, "line_id string, source string, line string").write.parquet(folder)
+    whole = ch.read_batch(spark.read.parquet(folder), {"zeek": lambda r: nz.zeek(lines.parse_zeek_json(r.withColumn("value", F.col("line")), only=nz.ZEEK_CONN), "conn", ["line_id", "line"])})
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # its events and dead letters; lines that are no records
+    got = {r["line_id"]: (r["kind"], r["error_type"], r["source"], r["line"], r["src_port"]) for r in whole.collect()}
+    dead = {i: ("dead", "schema_validation" if i == "z2" else "parse_error", s, line, None) for i, s, line in rows[1:]}
+    assert got == {"z1": ("event", None, "Zeek", None, 7)} | dead
