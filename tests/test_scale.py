@@ -179,6 +179,27 @@ def test_intake_packs_its_table(spark, tmp_path):
     assert all(name.endswith(".zstd.parquet") for name in intake.table().inputFiles())
 
 
+def test_rows_of_a_stream_wait_in_packed_entries(spark, tmp_path):
+    """20,000 rows that wait for the watermark are a few entries of each bucket's state, not one each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        folder = str(tmp_path / "flows")
+        flows = spark.range(20_000).select(F.concat(F.lit("a"), F.col("id") % 3_000).alias("src_ip"), (F.lit(1_704_067_200_000_000) + F.col("id") * 1000).alias("time_us"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("flow_id"), F.when(F.col("id") % 5 > 0, F.col("id") * 3).alias("bytes"))
+        flows.withColumn("time", F.timestamp_micros("time_us")).coalesce(1).write.parquet(folder)
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        query = od.Job(spark, "packed")
+        closing = od.Closing(spark, query.base)
+        df = od.in_order(closing.attach(stream), ["src_ip"], ["time_us", "flow_id", "bytes"], lambda rows, _: (rows, None, None), "time_us long, flow_id string, bytes long", "1 hour")
+        first = query.drain(df)
+        closing.end()
+        query.drain(df)
+        assert 0 < max(od.state_rows(first)) <= 6 * od.BUCKETS
+        assert Counter(map(tuple, query.result(df.schema).collect())) == Counter(map(tuple, flows.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_intake_reads_each_source_once(spark, tmp_path):
     folder = str(tmp_path / "raw")
     rows = [("z1", "zeek", '{"ts":"1704067200.5","uid":"u","id.orig_p":"7"}'), ("z2", "zeek", '{"ts":"x","uid":"u"}'), ("z3", "zeek", "[1]"), ("z4", "zeek", "{broken"), ("o1", "other", "{}"), ("n1", None, "{}")]
