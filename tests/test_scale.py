@@ -209,3 +209,23 @@ def test_intake_reads_each_source_once(spark, tmp_path):
     got = {r["line_id"]: (r["kind"], r["error_type"], r["source"], r["line"], r["src_port"]) for r in whole.collect()}
     dead = {i: ("dead", "schema_validation" if i == "z2" else "parse_error", s, line, None) for i, s, line in rows[1:]}
     assert got == {"z1": ("event", None, "Zeek", None, 7)} | dead
+
+
+def test_a_table_of_very_many_days_has_few_folders(spark):
+    """2,000 days of a row each are months; rows, counts and the periods that stay are as with days."""
+    table = "scale_many_days"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    day = 86_400_000_000
+    rows = spark.range(2001).select("id", F.when(F.col("id") < 2000, F.lit(1_704_067_200_000_000) + F.col("id") * day).alias("time_us"))
+    try:
+        dated.create(rows, table, "id")
+        folders = {r["day"] for r in spark.table(table).select("day").distinct().collect()}
+        assert len(folders) <= dated.FOLDERS and {"2024-01", "2024-12", "undated"} <= folders
+        old = F.col("time_us") < 1_704_067_200_000_000 + 40 * day
+        assert {tuple(r) for r in dated.delete_rows(spark, table, old).collect()} == {("2024-01", 31, 0), ("2024-02", 9, 20)}
+        assert sorted(r["id"] for r in spark.table(table).collect()) == list(range(40, 2001))
+        done = dated.update_rows(spark, table, spark.createDataFrame([(50, 7), (9999, 8)], "id long, time_us long")).collect()
+        assert [tuple(r) for r in done] == [(1, 1)]
+        assert spark.table(table).where("id = 50").select("time_us", "day").collect() == [(7, "2024-02")]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
