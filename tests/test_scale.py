@@ -229,3 +229,42 @@ def test_a_table_of_very_many_days_has_few_folders(spark):
         assert spark.table(table).where("id = 50").select("time_us", "day").collect() == [(7, "2024-02")]
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_regular_contacts_of_busy_and_quiet_keys_equal_a_plain_loop(spark):
+    """Keys that are never silent for the gap, ties, missing ids and keys; ids travel once and are gone from what follows."""
+    rng = random.Random(9)
+    rows, start = [], 1_704_067_200_000_000 + 17 * 3_600_000_000 + 3_560_000_000  # just before the evening
+    for key in range(14):
+        t = start + rng.randrange(200) * 10**6
+        for i in range(rng.randrange(700, 1100) if key % 2 else rng.randrange(20, 120)):
+            step = rng.choice([0, 400_000, 900_000, 1_000_000, 1_600_000 if key % 4 == 1 else 2_000_000]) if key % 2 else rng.choice([0, 1_500_000, 61_000_000, 60_000_000, 90_000_000 if key % 4 else 61_000_000])
+            t += step
+            rows.append((f"10.0.0.{key}", "8.8.8.8" if i % 50 else None, 443 + key % 2, t, f"f{rng.randrange(10**6):06}" if i % 9 or key % 3 else None, rng.choice([0, None, 500, 510, 505])))
+    rows.append(("10.0.0.0", "8.8.8.8", 443, None, "x", 1))
+    want = {}
+    for key in {r[0] for r in rows}:
+        last, kept = None, []
+        of_key = sorted((r for r in rows if r[0] == key and r[1] and r[3] is not None), key=lambda r: (r[3], r[4] is None, r[4]))
+        for r in of_key:
+            if last is None or r[3] - last >= 2_000_000:
+                last = r[3]
+                if r[4] is not None:  # an instant without any id holds the gap but is no contact
+                    kept.append(r)
+        off = 0
+        for i, r in enumerate(kept):
+            off += (r[3] // 3_600_000_000) % 24 >= 18 or (r[3] // 3_600_000_000) % 24 < 8
+            w = [x for x in kept[max(0, i - 19) : i + 1] if x[3] >= r[3] - 1800 * 10**6]
+            gaps = [(b[3] - a[3]) / 1e6 for a, b in zip(w, w[1:])]
+            if len(w) < 5:
+                continue
+            mean = sum(gaps) / len(gaps)
+            if (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean * 100 < 12:
+                want[key] = (r[3], len(w), round(mean, 6), round(off / len(w) * 100, 6))
+                break
+    flows = spark.createDataFrame(rows, "src_ip string, dst_ip string, dst_port int, time_us long, flow_id string, bytes_out long")
+    out = pk.beacon_multi(flows.repartition(5), "flow_id", "bytes_out", 1800 * 10**6, 5, 12.0, max_samples=20)
+    got = {r["src_ip"]: (r["time_us"], r["samples"], round(r["mean_s"], 6), round(r["off_hours_pct"], 6)) for r in out.collect()}
+    assert got == want and len(want) > 6
+    assert {int(k.rsplit(".")[-1]) % 2 for k in want} == {0, 1} and any(x[3] > 0 for x in want.values())
+    assert "flow_id" not in out._jdf.queryExecution().toString()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlake import fixed
 from wardlake.operators import timeline as tl
+from wardlake.session import settle
 
 FLOW_KEY = {"src_ip": "string", "dst_ip": "string", "dst_port": "int"}
 
@@ -198,7 +199,71 @@ def beacon_cv(packets: DataFrame, interval_s: float = 60.0, jitter_pct: float =
     return hit.groupBy(*keys).agg(F.min(F.struct("time_us", "samples", "mean_s", "cv")).alias("f")).select(*keys, "f.*")
 
 
-_REGULAR = "time_us long, samples int, mean_s double, jitter_pct double, steady_payload boolean, off_hours_pct double"
+def _contacts(gap_us: int, width: int, keys: list[str]):
+    """(key, slice, time, id)* in order -> the contacts that count, one an instant, without their ids.
+
+    A contact with none in the gap before it counts whatever came earlier, and settles those after it. The first
+    ones of a slice, up to such a contact, depend on the slice before: all of them come out, as not sure. The
+    contacts of the gap before the slice (not own) only tell which of its contacts those are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tl.whole_groups(batches, (*keys, tl.SLICE)):
+            ts, own = tl._flat(t, tl.TS).to_numpy(), tl._flat(t, "_own").to_numpy(zero_copy_only=False)
+            group = np.zeros(len(ts), dtype=np.int64)
+            group[tl._run_starts(*[tl._flat(t, c) for c in (*keys, tl.SLICE)])[1:]] = 1
+            group = np.cumsum(group)
+            instant = np.ones(len(ts), dtype=bool)  # the lowest id comes first
+            instant[1:] = (group[1:] != group[:-1]) | (ts[1:] != ts[:-1])
+            row = np.flatnonzero(instant)
+            ts, own, group = ts[row], own[row], group[row]
+            alone = np.ones(len(ts), dtype=bool)
+            alone[1:] = (group[1:] != group[:-1]) | (ts[1:] - ts[:-1] >= gap_us)
+            row, ts, group, alone = row[own], ts[own], group[own], alone[own]
+            if not len(ts):
+                continue
+            step = tl._next_kept(group, ts, gap_us, width)
+            first = np.full(group[-1] + 1, len(ts))
+            at = np.flatnonzero(alone)[::-1]
+            first[group[at]] = at  # the last one written is the first of its group
+            sure = np.arange(len(ts)) >= first[group]
+            out = ~sure
+            frontier = first[first < len(ts)]
+            while len(frontier):
+                out[frontier] = True
+                following = step[frontier]
+                frontier = following[following != frontier]
+            taken = pa.array(row[out])
+            yield from pa.table({**{k: tl._flat(t, k).take(taken) for k in keys}, "time_us": ts[out], "_size": tl._flat(t, "_size").take(taken),
+                                 "_named": tl._flat(t, "_named").take(taken), "_sure": sure[out]}).to_batches()
+
+    return run
+
+
+def _debounced(packets: DataFrame, order_id: str, payload: str, min_gap_us: int, slice_us: int = 300 * tl.SECOND) -> DataFrame:
+    """(key, time_us, _size): contacts that follow the last one that counts after the gap or later, of an instant the lowest id.
+
+    Packets meet by (key, slice) once, and only that exchange carries ids. Contacts that a slice can't
+    judge are few unless a key is never silent for the gap; such keys alone go through the chain of slices.
+    """
+    keys = list(FLOW_KEY)
+    width = max(slice_us, min_gap_us)
+    usable = packets.where(F.col("time_us").isNotNull()).dropna(subset=keys)
+    rows = usable.select(*keys, F.col("time_us").cast("long").alias(tl.TS), F.col(order_id).alias("_id"), F.col(payload).alias("_size"))
+    spread = tl.sliding(rows, tl.TS, min_gap_us, width).drop("_own").repartition(*keys, tl.SLICE)
+    own = F.col(tl.SLICE) == tl.slice_of(F.col(tl.TS), width)  # told by the time, so it need not travel
+    spread = spread.sortWithinPartitions(*keys, tl.SLICE, tl.TS, F.col("_id").asc_nulls_last()).select(*keys, tl.SLICE, tl.TS, F.col("_size").cast("double").alias("_size"), F.col("_id").isNotNull().alias("_named"), own.alias("_own"))
+    found = settle(spread.mapInArrow(_contacts(min_gap_us, width, keys), ", ".join([*[f"{k} {t}" for k, t in FLOW_KEY.items()], "time_us long, _size double, _named boolean, _sure boolean"])))
+    open_keys = settle(found.where("NOT _sure").select(*keys).distinct())
+    if not open_keys.isEmpty():
+        chained = found.join(open_keys, keys, "left_semi")
+        kept = tl.anchors(chained, keys, "time_us", min_gap_us, slice_us).select(F.col(tl.KEY).alias("_k"), F.col("anchor_us").alias("_a"))
+        chained = chained.withColumn(tl.KEY, tl.key_column(keys)).join(kept, (F.col(tl.KEY) == F.col("_k")) & (F.col("time_us") == F.col("_a")), "left_semi").drop(tl.KEY)
+        found = found.join(open_keys, keys, "left_anti").unionByName(chained)
+    return found.where("_named").select(*keys, "time_us", "_size")
+
+
+_REGULAR = "time_us long, samples int, mean_s double, jitter_pct double, steady_payload boolean, _off long"
 
 
 def _moments(x: np.ndarray) -> tuple[float, float]:
@@ -208,7 +273,7 @@ def _moments(x: np.ndarray) -> tuple[float, float]:
 
 
 def _first_regular(window_us: int, min_samples: int, max_jitter_pct: float, max_samples: int, keys: list[str]):
-    """(key, slice, contact)* in order -> the first own contact of each key and slice at which the last contacts are regular.
+    """(key, slice, contact)* in order -> the off-hours contacts of each key and slice and its first own contact at which the last contacts are regular.
 
     Running sums of the gaps and their squares rule out nearly all contacts; the others are computed from their gaps.
     """
@@ -236,23 +301,25 @@ def _first_regular(window_us: int, min_samples: int, max_jitter_pct: float, max_
             if len(sizes) >= 2:
                 p_mean, p_sd = _moments(sizes)
                 steady = bool(p_sd / p_mean < 0.20)
-            return int(ts[i]), int(samples[i]), float(g_mean), float(g_sd / g_mean * 100), steady, float(off[i] / samples[i] * 100)
+            return int(ts[i]), int(samples[i]), float(g_mean), float(g_sd / g_mean * 100), steady, int(off[i])
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tl.whole_groups(batches, (tl.KEY, tl.SLICE)):
+        for t in tl.whole_groups(batches, (*keys, tl.SLICE)):
             ts, off, own = (tl._flat(t, c).to_numpy(zero_copy_only=False) for c in (tl.TS, "_off", "_own"))
             size = pc.fill_null(tl._flat(t, "_size"), 0.0).to_numpy(zero_copy_only=False)
-            starts = tl._run_starts(tl._flat(t, tl.KEY), tl._flat(t, tl.SLICE))
+            starts = tl._run_starts(*[tl._flat(t, c) for c in (*keys, tl.SLICE)])
             ends = np.append(starts[1:], len(ts))
-            found = [(a, hit(ts[a:b], size[a:b], off[a:b], own[a:b])) for a, b in zip(starts, ends) if b - a >= min_samples]
-            found = [(a, f) for a, f in found if f is not None]
-            if found:
-                at = pa.array([a for a, _ in found])
-                columns = [tl._flat(t, k).take(at) for k in keys]
-                for values, kind in zip(zip(*(f for _, f in found)), (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.float64())):
+            mine = (off & own).astype(np.int64)  # own contacts count in one slice each
+            totals = np.add.reduceat(mine, starts)
+            found = [hit(ts[a:b], size[a:b], np.cumsum(mine[a:b]), own[a:b]) if b - a >= min_samples else None for a, b in zip(starts, ends)]
+            wanted = [i for i, f in enumerate(found) if f is not None or totals[i]]
+            if wanted:
+                at = pa.array(starts[wanted])
+                columns = [*[tl._flat(t, k).take(at) for k in (*keys, tl.SLICE)], pa.array(totals[wanted])]
+                for values, kind in zip(zip(*(found[i] or (None,) * 6 for i in wanted)), (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.int64())):
                     columns.append(pa.array(list(values), kind))
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *[c.split(" ")[0] for c in _REGULAR.split(", ")]])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, tl.SLICE, "_offs", *[c.split(" ")[0] for c in _REGULAR.split(", ")]])
 
     return run
 
@@ -261,14 +328,12 @@ def beacon_multi(packets: DataFrame, order_id: str, payload: str, window_us: int
                  min_gap_us: int = 2 * tl.SECOND, max_samples: int = 200) -> DataFrame:
     """First regular stretch per flow among the last ``max_samples`` debounced contacts of the window, with side signals."""
     keys = list(FLOW_KEY)
-    packets = tl.busy_rows(packets, keys, F.count("*"), min_samples)
-    s = tl.first_in_ttl(packets.select(*keys, "time_us", order_id, payload), keys, "time_us", order_id, min_gap_us, 300 * tl.SECOND)
-    ts = F.timestamp_micros("time_us")
+    spread = tl.sliding(_debounced(packets, order_id, payload, min_gap_us), "time_us", window_us).withColumnRenamed("time_us", tl.TS)
+    ts = F.timestamp_micros(tl.TS)
     off = F.dayofweek(ts).isin(1, 7) | (F.hour(ts) < 8) | (F.hour(ts) >= 18)
-    s = tl.running_sum(s, keys, [order_id], "time_us", {"_off": off.cast("long")}, 3600 * tl.SECOND)
-    spread = tl.sliding(s.select(*keys, "time_us", payload, "_off"), "time_us", window_us).withColumn(tl.KEY, tl.key_column(keys))
-    first = (spread.select(*keys, tl.KEY, tl.SLICE, F.col("time_us").alias(tl.TS), F.col(payload).cast("double").alias("_size"), F.col("_off").cast("long").alias("_off"), "_own")
-             .repartition(tl.KEY, tl.SLICE).sortWithinPartitions(tl.KEY, tl.SLICE, tl.TS)
-             .mapInArrow(_first_regular(window_us, min_samples, max_jitter_pct, max_samples, keys), ", ".join([*[f"{k} {t}" for k, t in FLOW_KEY.items()], _REGULAR])))
+    per = (spread.repartition(*keys, tl.SLICE).sortWithinPartitions(*keys, tl.SLICE, tl.TS).withColumn("_off", off)
+           .mapInArrow(_first_regular(window_us, min_samples, max_jitter_pct, max_samples, keys), ", ".join([*[f"{k} {t}" for k, t in FLOW_KEY.items()], f"{tl.SLICE} long, _offs long", _REGULAR])))
+    earlier = F.sum("_offs").over(Window.partitionBy(*keys).orderBy(tl.SLICE).rowsBetween(Window.unboundedPreceding, -1))
+    first = per.withColumn("_before", F.coalesce(earlier, F.lit(0))).where("time_us IS NOT NULL").withColumn("off_hours_pct", (F.col("_before") + F.col("_off")) / F.col("samples") * 100)
     first = first.groupBy(*keys).agg(F.min(F.struct("time_us", "samples", "mean_s", "jitter_pct", "steady_payload", "off_hours_pct")).alias("f")).select(*keys, "f.*")
     return first.withColumns({"uncommon_port": ~F.col("dst_port").isin(*fixed.BEACON_COMMON_PORTS), "technique_id": F.when(F.col("dst_port").isin(443, 8443), "T1573").otherwise("T1071")})
